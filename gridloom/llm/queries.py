@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing
+from gridloom.llm import mixing, packing, topk, url_rules
 
-QUERIES = {"op1_mix_sources": mixing.query}
-ORACLES = {"op1_mix_sources": mixing.ORACLE}
+QUERIES = {
+    "op1_mix_sources": mixing.query,
+    "op2_exact_topk": topk.query,
+    "op5_url_filter": url_rules.query,
+    "op9_pack_lengths": packing.query,
+}
+ORACLES = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op2_exact_topk": topk.ORACLE,
+}
