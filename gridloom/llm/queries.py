@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, packing, topk, url_rules
+from gridloom.llm import mixing, packing, topk, toxicity, url_rules
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_exact_topk": topk.query,
     "op5_url_filter": url_rules.query,
+    "op7_toxicity": toxicity.query,
     "op9_pack_lengths": packing.query,
 }
 ORACLES = {
