@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, packing, topk, toxicity, url_rules
+from gridloom.llm import class_lm, mixing, packing, topk, toxicity, url_rules
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_url_filter": url_rules.query,
     "op7_toxicity": toxicity.query,
     "op9_pack_lengths": packing.query,
+    "op10_class_lm": class_lm.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
