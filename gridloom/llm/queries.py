@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from gridloom.llm import class_lm, mixing, packing, topk, toxicity, url_rules
+from gridloom.llm import class_lm, mixing, packing, topk, toxicity, url_rules, vector_dedup
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_exact_topk": topk.query,
     "op5_url_filter": url_rules.query,
     "op7_toxicity": toxicity.query,
+    "op8_vector_dedup": vector_dedup.query,
     "op9_pack_lengths": packing.query,
     "op10_class_lm": class_lm.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_exact_topk": topk.ORACLE,
+    "op8_vector_dedup": vector_dedup.ORACLE,
 }
