@@ -176,19 +176,23 @@ def _curve(strength: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each sampled text some minimum hashes of its shingles and its distinct tokens."""
+    kind = pa.struct([("h", pa.int64()), ("n", pa.int32())])
     for batch in batches:
-        out: dict[str, list] = {"doc_id": batch.column("doc_id").to_pylist(), "toxic": batch.column("toxic").to_pylist(), "n": [], "low": [], "tokens": []}
+        size, low, tokens, times = [], [], [], []
         for _, _, w in slices(batch.column("text"), space=PUNCTUATION):
             g, heads = w.grams(5), w.heads(HEAD)
             for d, whole in enumerate(w.whole()):
                 a, b = w.doc_first[d], w.doc_first[d + 1]
                 own = g[a : max(a, b - 4)]
-                out["n"].append(int(b - a))
-                out["low"].append([int((mix(own ^ U(i + 1)).min() if len(own) else whole).view(np.int64)) for i in range(LOWS)])
+                size.append(int(b - a))
+                low.append([int((mix(own ^ U(i + 1)).min() if len(own) else whole).view(np.int64)) for i in range(LOWS)])
                 long = heads[a:b] != w.hash[a:b]
-                token, times = np.unique(np.concatenate([w.hash[a:b], heads[a:b][long]]), return_counts=True)
-                out["tokens"].append([{"h": int(h), "n": int(n)} for h, n in zip(token.view(np.int64), times, strict=True)])
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", batch.schema.field("doc_id").type), ("toxic", pa.int32()), ("n", pa.int64()), ("low", pa.list_(pa.int64())), ("tokens", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])))]))
+                token, n = np.unique(np.concatenate([w.hash[a:b], heads[a:b][long]]), return_counts=True)
+                tokens.append(token.view(np.int64))
+                times.append(n)
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens or [np.empty(0)]), pa.int64()), pa.array(np.concatenate(times or [np.empty(0)]), pa.int32())], fields=list(kind))
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "n": pa.array(size, pa.int64()), "low": pa.array(low, pa.list_(pa.int64())), "tokens": pa.ListArray.from_arrays(offsets, pairs)})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
