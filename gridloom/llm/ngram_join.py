@@ -5,10 +5,12 @@ counts by group are a point, and two sets share at most the sum of their points'
 An R-tree over points bounds that for a whole node by the node's upper corner.
 
 At a high similarity points of unlike texts are no farther apart than a node is wide, so one tree over
-all texts would compare nearly all of them. Trees are therefore planted where texts can meet at all: two
-sets with similarity t share a token among the first n - ceil(t n) + 1 of each in any common order, so the
-texts that have a prefix token in common form a block, and each block has a tree. The order puts
-tokens found frequent last, so that passages in very many texts don't make blocks; it changes speed alone.
+all texts would compare nearly all of them. Trees are therefore planted where texts can meet at all. Sets
+of similarity t differ in at most D = (1 - t) / t times the smaller one's tokens, so of more than D
+groups some are the same in both, token for token: texts that have a group in common form a block, and
+each block has a tree. The number of groups goes by bands of sizes; a text also stands in the bands below
+its own that may hold a partner. Groups that are empty are equal without saying anything: a text
+with more of them than the number of groups allows for has the tokens of its prefix in addition.
 
 Stages: equal sets become one class; blocks give a spanning forest of the pairs that the bounds
 leave; its components are gathered, cut to chunks of bounded size (each with its component's leaders),
@@ -17,12 +19,14 @@ its parts that the bounds leave are verified one by one. So no link between diff
 
 Cases: a text with fewer words than n is one token, its whole sequence; null and wordless texts have
 the empty set, which links with nothing; ties at the threshold link; rows that repeat a text are in one
-component; a row without id is linked with nothing and names no component. An empty table gives no
+component; a row without id is linked with nothing and names no component; rows
+that repeat an id are one document, which links as any of them does. An empty table gives no
 rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +37,17 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import components, written
 from gridloom.llm.filters import repeated
 from gridloom.llm.graph import Union, local_components
-from gridloom.llm.textkernel import Lookup, mix, signed, slices
+from gridloom.llm.textkernel import mix, signed, slices
 from gridloom.llm.textkernel import U as U64
 
 #: Groups of a block's points and of the verification's points.
-GROUPS, FINE = 16, 64
-#: Tokens a verified chunk holds, about; the most frequent tokens known to all tasks; texts of a tally.
-CHUNK, FREQUENT, TALLY = 2_000_000, 1 << 16, 4096
+GROUPS, FINE = 32, 256
+#: Tokens a verified chunk holds, about.
+CHUNK = 2_000_000
 #: Documents whose ids may be broadcast to fetch their sets; beyond, they are joined by shuffling.
 FETCH = 1_000_000
 LEAF = 32
-FULL = 65535
+FULL = 255
 
 
 def needed(n: np.ndarray, m: np.ndarray | int, percent: int) -> np.ndarray:
@@ -64,7 +68,7 @@ def sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def point(tokens: np.ndarray, groups: int) -> np.ndarray:
-    return np.minimum(np.bincount((tokens & U64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint16)
+    return np.minimum(np.bincount((tokens & U64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -121,91 +125,89 @@ class Tree:
         return rows[shared(x, self.points[rows]) >= needed(self.sizes[rows], n, percent)]
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Up to FREQUENT tokens that stand in many texts, by falling number: what tasks find often in a
-    batch of texts. A hint for the order only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = list(sets(batch.column(0), n))
-            h, c = np.unique(np.concatenate(own or [np.empty(0, np.uint64)]), return_counts=True)
-            keep = np.flatnonzero(c >= max(4, len(own) // 1000))
-            if len(keep) > TALLY:
-                keep = keep[np.argsort(-c[keep], kind="stable")[:TALLY]]
-            yield pa.record_batch({"h": signed(h[keep]), "c": pa.array(c[keep], pa.int64())})
-
-    rows = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c >= 16")
-    top = rows.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    return np.asarray(top["h"]).view(np.uint64)
-
-
-def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, d1, d2, prefix, point): a text's set's size, 128-bit digest, prefix and point."""
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n))
+def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(band's largest size, groups, empty groups allowed) of the bands that a set of n tokens is in."""
+    sizes = [1]
+    while sizes[-1] < n:
+        sizes.append(max(sizes[-1] + 1, sizes[-1] * 3 // 2))
+    out = []
+    for size in reversed(sizes):
+        if size < n and 100 * size < percent * n:
+            break
+        differ = (100 - percent) * size // percent
+        empty = math.ceil(1.3 * differ * math.exp(-percent / (1.5 * max(1, 100 - percent)))) + 3
+        out.append((size, differ + 1 + empty, empty))
+    return out
+
+
+def marks_of(own: np.ndarray, percent: int) -> np.ndarray:
+    """What a set may share with a similar one: hashes of its groups' tokens, band by band."""
+    out = []
+    if not len(own):
+        return own
+    for size, groups, empty in bands(len(own), percent):
+        group = (own >> U64(16)) % U64(groups)
+        order = np.argsort(group, kind="stable")
+        group, tokens = group[order], mix(own[order])
+        at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        seed = mix(group[at] + U64(size << 32))
+        out.append(mix(np.add.reduceat(tokens, at) ^ seed))
+        if groups - len(at) > empty:
+            take = len(own) - -(-percent * len(own) // 100) + 1
+            out.append(mix(own[:take] ^ U64(0xC2B2AE3D27D4EB4F ^ size)))
+    return np.unique(np.concatenate(out))
+
+
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n, d1, d2): the size of each text's set and a 128-bit digest of it."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(frequent.value)
         for batch in batches:
-            size, d1, d2, prefix, points = [], [], [], [], []
+            size, d1, d2 = [], [], []
             for own in sets(batch.column("text"), n):
-                m = len(own)
-                at = lookup.find(own)
-                first = own[at < 0]
-                take = m - -(-percent * m // 100) + 1 if m else 0
-                if len(first) < take:  # the frequent ones last, the most frequent at the end
-                    hot = np.flatnonzero(at >= 0)
-                    first = np.concatenate([first, own[hot[np.argsort(-at[hot], kind="stable")]]])
-                size.append(m)
-                d1.append(int(mix(own).sum(dtype=np.uint64).view(np.int64)))
-                d2.append(int(mix(own ^ U64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)))
-                prefix.append(first[:take].tobytes())
-                points.append(point(own, GROUPS).tobytes())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()), "prefix": pa.array(prefix, pa.binary()), "point": pa.array(points, pa.binary())})
+                size.append(len(own))
+                d1.append(mix(own).sum(dtype=np.uint64))
+                d2.append(mix(own ^ U64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int64()), "d1": signed(np.array(d1, np.uint64)), "d2": signed(np.array(d2, np.uint64))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, prefix binary, point binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(s, rep, n, pos, point): a row for each prefix token that more than one class may have."""
+def postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(s, rep, n, point): a row for each mark of a document that another one may have too."""
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
+            h, c = np.unique(np.concatenate([marks_of(own, percent) for own in sets(batch.column(0), n)] or [np.empty(0, np.uint64)]), return_counts=True)
             yield pa.record_batch({"h": signed(h), "n": pa.array(c, pa.int64())})
 
-    often = classes.sparkSession.sparkContext.broadcast(repeated(classes.select("prefix").mapInArrow(tokens, "h long, n long")))
+    often = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text").mapInArrow(count, "h long, n long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
-            size = np.array([len(p) for p in own])
-            s = np.concatenate(own)
-            row = np.repeat(np.arange(len(own)), size)
-            pos = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
-            keep = np.flatnonzero(often.value(s))
-            for a in range(0, len(keep), 1 << 17):
-                k = keep[a : a + (1 << 17)]
-                at = pa.array(row[k])
-                yield pa.record_batch({"s": signed(s[k]), "rep": batch.column("rep").take(at), "n": batch.column("n").take(at), "pos": pa.array(pos[k], pa.int32()), "point": batch.column("point").take(at)})
+            s, size, points, copies = [], [], [], []
+            for own in sets(batch.column("text"), n):
+                marks = marks_of(own, percent)
+                marks = marks[often.value(marks)]
+                s.append(marks)
+                copies.append(len(marks))
+                size.append(len(own))
+                points.append(point(own, GROUPS).tobytes())
+            at = pa.array(np.repeat(np.arange(len(s)), copies))
+            yield pa.record_batch({"s": signed(np.concatenate(s or [np.empty(0, np.uint64)])), "rep": batch.column("doc_id").cast(pa.int64()).take(at), "n": pa.array(size, pa.int64()).take(at), "point": pa.array(points, pa.binary()).take(at)})
 
-    return classes.select("rep", "n", "prefix", "point").mapInArrow(run, "s long, rep long, n long, pos int, point binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "s long, rep long, n long, point binary")
 
 
-def _block(n: np.ndarray, pos: np.ndarray, points: np.ndarray, percent: int, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _block(n: np.ndarray, points: np.ndarray, percent: int, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block's rows that the bounds leave: a spanning forest, or with part all of unlike parts."""
 
-    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        least = needed(n[i], n[j], percent)
-        return 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= least
-
     k = len(n)
     if k <= 48:
         i, j = np.triu_indices(k, 1)
         low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        keep = (100 * low >= percent * high) & fits(i, j)
+        keep = 100 * low >= percent * high
         i, j = i[keep], j[keep]
         keep = shared(points[i], points[j]) >= needed(n[i], n[j], percent)
         i, j = i[keep], j[keep]
@@ -223,7 +225,6 @@ def _block(n: np.ndarray, pos: np.ndarray, points: np.ndarray, percent: int, par
             found = found[(found > i) & (part[found] != part[i])]
         else:
             found = found[root[found] != root[i]]
-        found = found[fits(np.full(len(found), i), found)]
         if not len(found):
             continue
         if part is None:
@@ -241,21 +242,20 @@ def _block(n: np.ndarray, pos: np.ndarray, points: np.ndarray, percent: int, par
 
 def block_pairs(rows: DataFrame, percent: int, parts: bool = False) -> DataFrame:
     """(a, b): pairs of rep that the bounds leave in some block, a < b; rows as from postings()."""
-    columns = ["s", "rep", "n", "pos", "point"] + (["part"] if parts else [])
+    columns = ["s", "rep", "n", "point"] + (["part"] if parts else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
-            s, rep, n, pos = (np.asarray(t[c]) for c in ("s", "rep", "n", "pos"))
-            pos = pos.astype(np.int64)
-            points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint16).reshape(len(s), -1)
+            s, rep, n = (np.asarray(t[c]) for c in ("s", "rep", "n"))
+            points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint8).reshape(len(s), -1)
             part = np.asarray(t["part"]) if parts else None
             edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
             a, b = [], []
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if y - x > 1:
-                    i, j = _block(n[x:y], pos[x:y], points[x:y], percent, part[x:y] if parts else None)
+                    i, j = _block(n[x:y], points[x:y], percent, part[x:y] if parts else None)
                     a.append(rep[x:y][i])
                     b.append(rep[x:y][j])
             a, b = (np.concatenate(v or [np.empty(0, np.int64)]) for v in (a, b))
@@ -312,23 +312,26 @@ def _fetch(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield pa.record_batch({"rep": batch.column("rep"), "tokens": pa.array([t.tobytes() for t in sets(batch.column("text"), n)], pa.binary())})
 
-    # A repeated id is fetched for each of its rows: a class is told by its tokens, so one will do.
+    # A repeated id is fetched for each of its rows; rows that share an id are one document here.
     return found.select(F.col("_rep").cast("long").alias("rep"), "text").mapInArrow(run, "rep long, tokens binary")
 
 
 def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, edges): rows doc_id, n, d1, d2; classes d1, d2, rep, copies; edges (a, b) of
     verified links that connect all that links connect."""
-    marks = written(signatures(docs, n, percent), "ngram-signatures")
+    marks = written(signatures(docs, n), "ngram-sets")
     known = marks.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("point").alias("point"))
-    classes = written(classes, "ngram-classes")
-    posted = written(postings(classes), "ngram-postings")
+    classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n")), "ngram-classes")
+    # Classes of one document are the most; only the others' further documents are left out.
+    copies = known.join(classes.where("copies > 1"), ["d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct()
+    copies = written(copies.join(classes, F.col("doc_id") == F.col("rep"), "left_anti"), "ngram-copies")
+    several = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(copies) if copies.count() <= FETCH else copies, "doc_id", "left_anti")
+    posted = written(postings(several, n, percent), "ngram-postings")
     may = written(components(block_pairs(posted, percent)), "ngram-candidates")
-    nodes = may.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "n"), "rep")
+    nodes = may.select(F.col("node").alias("rep"), "component").join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
     per = nodes.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("parts"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("lead1"), F.min("rep").alias("lead2"))
     nodes = written(nodes.join(per, "component"), "ngram-nodes")
-    tokens = written(_fetch(docs, nodes, n).dropDuplicates(["rep"]), "ngram-sets")
+    tokens = written(_fetch(docs, nodes, n).dropDuplicates(["rep", "tokens"]), "ngram-sets")
     lead = (F.col("rep") == F.col("lead1")) | (F.col("rep") == F.col("lead2"))
     # A component's leaders go to each of its chunks, which connects the chunks of one family.
     chunks = F.when(lead, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
