@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import class_lm, mixing, ngram_join, packing, suffixes, topk, toxicity, url_rules, vector_dedup
+from gridloom.llm import chunks, class_lm, mixing, ngram_join, packing, suffixes, topk, toxicity, url_rules, vector_dedup
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_exact_topk": topk.query,
     "op3_ngram_jaccard": ngram_join.query,
+    "op4_chunk_dedup": chunks.query,
     "op5_url_filter": url_rules.query,
     "op6_suffix_dedup": suffixes.query,
     "op7_toxicity": toxicity.query,
