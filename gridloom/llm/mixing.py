@@ -165,11 +165,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor:
     A document that the mixture does not reach is not there; one that it reads twice is there
     twice; the one at which a source's target is met has its first words only.
     """
-    placed, t = layout(docs, weights, factor, epochs, block)
+    rows = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")  # fixes the row numbers
+    placed, t = layout(rows, weights, factor, epochs, block, keep=["doc_id", "source", "_mix_row"])
     taken = pieces(placed, epochs, block).join(schedule(docs.sparkSession, blocks_of(t, block)), ["_mix_no", "block"])
-    reads = taken.groupBy("_mix_no", "rank", "epoch").agg(F.sum(F.col("end") - F.col("begin")).alias("_mix_words"))
-    out = placed.join(reads, ["_mix_no", "rank"])
-    whole = F.col("_mix_words") >= F.col("size")
+    reads = taken.groupBy("_mix_row", "epoch").agg(F.sum(F.col("end") - F.col("begin")).alias("_mix_words"), F.any_value("size").alias("_mix_size"))
+    out = rows.join(reads, "_mix_row")
+    whole = F.col("_mix_words") >= F.col("_mix_size")
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_mix_words").cast("int")), " ")))
     if "n_chars" in docs.columns:

@@ -367,6 +367,26 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(own, F.coalesce("copies", F.lit(1))).otherwise(1).cast("long").alias("copies"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; rows without id stay.
+
+    Of rows that repeat an id the least one in (text, other columns) stays.
+    """
+    groups = written(ngram_components(docs, n, percent, chunk).select("doc_id", "component_id"), "ngram-groups")
+    several = written(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-repeated")
+    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "ngram-gone")
+
+    def bounded(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= FETCH else ids
+
+    out = docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    if not several.limit(1).count():
+        return out
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = out.join(bounded(several), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
+    return out.join(bounded(several), "doc_id", "left_anti").select(*docs.columns).union(again)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return ngram_components(docs, n=4, percent=85).select("doc_id", "n_shingles", "component_id")

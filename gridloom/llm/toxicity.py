@@ -269,6 +269,19 @@ def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
     return docs.mapInArrow(run, kind)
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(sent.value)
+        for batch in batches:
+            strength, _, _ = scanner.scan(batch.column("text"))
+            yield batch.filter(pa.array(scanner.model.probability(strength) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column, parts: int = 3) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == 1, F.lit(False))
 
