@@ -17,15 +17,15 @@ BITS_A_KEY = 16
 class Repeated:
     """Says of a 64-bit hash whether it may be repeated; never wrongly that it isn't.
 
-    One bit for the hash's leading bits. With more keys than the largest filter is made for, more
+    One bit for the hash's last bits (minimisers are small, so that their leading bits say little). With more keys than the largest filter is made for, more
     hashes pass: what is done with those that pass has to be right for hashes that occur once.
     """
 
     def __init__(self, bits: int, field: np.ndarray):
-        self.shift, self.field = np.uint64(64 - bits), field
+        self.mask, self.field = np.uint64((1 << bits) - 1), field
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        i = h >> self.shift
+        i = h & self.mask
         return (self.field[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -41,7 +41,7 @@ def repeated(hashes: DataFrame) -> Repeated:
         field[at & ((1 << SEGMENT) - 1)] = 1
         return pa.table({"s": pa.array([int(at[0] >> SEGMENT)], pa.int32()), "b": pa.array([np.packbits(field, bitorder="little").tobytes()], pa.binary())})
 
-    at = keys.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
+    at = keys.select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("at"))
     rows = at.groupBy(F.shiftright("at", SEGMENT).alias("s")).applyInArrow(run, "s int, b binary").toArrow()
     field = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (SEGMENT - 3)
