@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
+from gridloom.llm.common import most_frequent, written
 from gridloom.llm.textkernel import U, Lookup, Tally, Words, signed, slices
 
 #: Classes besides the end's; units clustered by full exchange; units in all but shapes; words whose
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = H
     counts = written(count_words(docs), "lm-counts")
     n_docs = docs.count()
     # Bounded: the `known` most frequent words.
-    top = counts.orderBy(F.desc("n"), "h").limit(known).toArrow()
+    top = most_frequent(counts, "n", known).orderBy(F.desc("n"), "h").toArrow()
     hashes, shape, n = np.asarray(top["h"]).view(np.uint64), np.asarray(top["shape"]), np.asarray(top["n"])
     by = {r["shape"]: (r["n"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     heads = hashes[:head]
