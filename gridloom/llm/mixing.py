@@ -99,7 +99,7 @@ def layout(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float =
     t = written(targets(rows.select("source", "size"), weights, factor, epochs).withColumn("_mix_need", F.floor(F.col("target") + 0.5).cast("long")), "mix-targets")
     n = t.count() and rows.count()
     digits = 1
-    while 16**digits * 20000 < n:
+    while 16**digits * 1000 < n:
         digits += 1
     of = t.withColumnRenamed("source", "_mix_source")
     rows = rows.join(of, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")

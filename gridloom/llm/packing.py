@@ -94,7 +94,7 @@ def pack(docs: DataFrame, n_buckets: int = BUCKETS, budget: int = BUDGET, length
     bounds = boundaries(hist, n_buckets)
     n = sum(h[1] for h in hist)
     digits = 1
-    while 16**digits * 20000 < n:
+    while 16**digits * 1000 < n:
         digits += 1
     of = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     rows = rows.withColumn("bucket", F.size(F.filter(of, lambda b: b < F.col("n_tokens"))))
