@@ -6,35 +6,56 @@ folder of the input tables; the last one returns the packed batches.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import mixing, ngram_join, packing, suffixes, toxicity
-from gridloom.llm.common import written
+from gridloom.llm.common import owned, release, written
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(f: Stage) -> Stage:
+    """A stage whose scratch tables go when the next stage of the same run starts, but for what that reads."""
+
+    @wraps(f)
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(sf_dir, docs)
+        with owned(sf_dir):
+            return f(spark, docs, sf_dir)
+
+    return run_
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on labels of rows not held out, does not reject."""
-    model = toxicity.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with owned(sf_dir):
+        model = toxicity.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean(docs, model)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of 5-word Jaccard similarity of 0.8 or more."""
     return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
+@stage
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that stand earlier in the corpus."""
     return suffixes.deduplicated(docs)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture of sources reads, as often as it reads them."""
     return mixing.mixed_documents(docs)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their length bucket, batch and place in it."""
     return packing.pack(docs)
@@ -49,4 +70,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written as Parquet and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reduce(lambda d, stage: stage[1](spark, written(d, f"stage-{stage[0]}"), sf_dir), STAGES[1:], STAGES[0][1](spark, docs, sf_dir))
+
+    def then(done: DataFrame, named: tuple[str, Stage]) -> DataFrame:
+        with owned(sf_dir):
+            kept = written(done, f"before-{named[0]}")
+        return named[1](spark, kept, sf_dir)
+
+    return reduce(then, STAGES[1:], STAGES[0][1](spark, docs, sf_dir))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,11 +32,42 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Scratch tables by owner, in the order they were made.
+_made: list[tuple[str | None, str]] = []
+_owner: list[str | None] = [None]
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Scratch tables made inside are the owner's, which may release() them."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def release(owner: str, keep: DataFrame) -> None:
+    """Deletes the owner's scratch tables but for those that keep reads."""
+    mine = [p for o, p in _made if o == owner]
+    if not mine:
+        return
+    used = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()}
+    jvm, conf = keep.sparkSession.sparkContext._jvm, keep.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in mine:
+        if path.rpartition("/")[2] not in used:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            _made.remove((owner, path))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _owner[-1] is not None:
+        _made.append((_owner[-1], path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,16 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, written
+from gridloom.llm.common import components, drop_scratch, written
 from gridloom.llm.filters import repeated
 from gridloom.llm.graph import Union, local_components
 from gridloom.llm.textkernel import mix, signed, slices
 from gridloom.llm.textkernel import U as U64
 
 #: Groups of a block's points and of the verification's points.
-GROUPS, FINE = 32, 256
+GROUPS, FINE = 64, 256
 #: Tokens a verified chunk holds, about.
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 #: Documents whose ids may be broadcast to fetch their sets; beyond, they are joined by shuffling.
 FETCH = 1_000_000
 LEAF = 32
@@ -316,6 +316,27 @@ def _fetch(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return found.select(F.col("_rep").cast("long").alias("rep"), "text").mapInArrow(run, "rep long, tokens binary")
 
 
+def _fine(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the bounds of finer points leave: points are small beside the sets themselves."""
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
+            yield pa.record_batch({"rep": batch.column("rep"), "n": pa.array([len(t) for t in own], pa.int64()), "point": pa.array([point(t, FINE).tobytes() for t in own], pa.binary())})
+
+    p = written(tokens.mapInArrow(points, "rep long, n long, point binary"), "ngram-points")
+    both = pairs.join(p.toDF("a", "n", "x"), "a").join(p.toDF("b", "m", "y"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in ("x", "y"))
+            n, m = np.asarray(batch.column("n")), np.asarray(batch.column("m"))
+            yield batch.select(["a", "b"]).filter(pa.array(shared(x, y) >= needed(n, m, percent), pa.bool_()))
+
+    # A repeated id has a point for each of its rows: a pair passes if any of them does.
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, edges): rows doc_id, n, d1, d2; classes d1, d2, rep, copies; edges (a, b) of
     verified links that connect all that links connect."""
@@ -342,6 +363,7 @@ def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> tuple[Da
         label = components(edges)
         part = cut.select("rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("part"))
         pairs = block_pairs(posted.join(part, "rep"), percent, parts=True)
+        pairs = written(_fine(pairs, tokens, percent), "ngram-pairs")
         x, y = tokens.toDF("a", "x"), tokens.toDF("b", "y")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +371,12 @@ def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> tuple[Da
                 ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        edges = edges.union(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        both = written(edges.union(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")), "ngram-all-links")
+        drop_scratch(pairs)
+        drop_scratch(edges)
+        edges = both
+    for table in (posted, may, nodes, tokens):
+        drop_scratch(table)
     return marks.select("doc_id", "n", "d1", "d2"), classes.select("d1", "d2", "rep", "copies"), edges
 
 
