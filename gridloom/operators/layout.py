@@ -1,0 +1,210 @@
+"""From boxed words to rows, columns and a survey of a document's geometry.
+
+words: (doc_id, page, ord, text, x, y, w, h); ord is the order that ties fall by. Everything is grouped
+by (doc_id, page). Columns need no Python; rows are a fold over a page's words, whose state is the
+current row's mean.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from gridloom.functions.boxes import beside_separator, column_index
+from gridloom.functions.kinds import VALUE_KINDS, induced, kind_of
+
+KEY = ["doc_id", "page"]
+# Labels that mark a summary row.
+SUMMARY = ("total", "totals", "sum", "subtotal", "sub-total", "final", "balance", "grand total")
+
+
+def _both(df: DataFrame, other: DataFrame, how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
+    return df.join(other, [*KEY, *more], how)
+
+
+def median_height(words: DataFrame) -> DataFrame:
+    """(doc_id, page, height): median of the positive heights, 1 if there are none."""
+    return words.groupBy(*KEY).agg(F.coalesce(F.percentile(F.when(F.col("h") > 0, F.col("h")), 0.5), F.lit(1.0)).alias("height"))
+
+
+def separators(words: DataFrame, col_gap: float = 1.0) -> DataFrame:
+    """(doc_id, page, k, separator): middles of the gaps in the words' shadows on the x axis that are wider
+    than col_gap line heights. Gaps and islands by a running maximum of right edges."""
+    w = Window.partitionBy(*KEY).orderBy("x", "right")
+    reach = F.max("right").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seen = words.withColumn("right", F.col("x") + F.col("w")).withColumn("reach", reach)
+    wide = _both(seen, median_height(words)).where(F.col("x") - F.col("reach") > F.col("height") * col_gap)
+    cut = wide.select(*KEY, ((F.col("reach") + F.col("x")) / 2).alias("separator"))
+    return cut.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("separator")) - 1)
+
+
+def separator_lists(words: DataFrame, col_gap: float = 1.0) -> DataFrame:
+    return separators(words, col_gap).groupBy(*KEY).agg(F.array_sort(F.collect_list("separator")).alias("separators"))
+
+
+def with_columns_of(words: DataFrame, col_gap: float = 1.0) -> DataFrame:
+    """words with col and n_cols."""
+    both = _both(words, separator_lists(words, col_gap), "left")
+    both = both.withColumn("separators", F.coalesce("separators", F.array().cast("array<double>")))
+    return both.withColumn("col", column_index(F.col("x") + F.col("w") / 2, F.col("separators"))).withColumn("n_cols", F.size("separators") + 1).drop("separators")
+
+
+def with_rows_of(words: DataFrame, row_tol: float = 0.6) -> DataFrame:
+    """words with row: a word, from top to bottom, joins the current row while its centre is within row_tol
+    line heights of the row's mean, else opens the next one."""
+    centre = words.withColumn("cy", F.col("y") + F.col("h") / 2)
+    pages = centre.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("cy", "ord"))).alias("s"), F.coalesce(F.percentile(F.when(F.col("h") > 0, F.col("h")), 0.5), F.lit(1.0)).alias("height"))
+    tol = F.col("height") * row_tol
+
+    def step(a: Column, e: Column) -> Column:
+        stays = (a["n"] > 0) & (F.abs(e["cy"] - a["sum"] / F.greatest(a["n"], F.lit(1))) <= tol)
+        row = F.when(stays, a["row"]).otherwise(a["row"] + 1)
+        return F.struct(
+            F.when(stays, a["sum"] + e["cy"]).otherwise(e["cy"]).alias("sum"),
+            F.when(stays, a["n"] + 1).otherwise(1).alias("n"),
+            row.alias("row"),
+            F.concat(a["out"], F.array(F.struct(e["ord"].alias("ord"), row.alias("row")))).alias("out"),
+        )
+
+    kind = dict(words.dtypes)["ord"]
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("row"), F.array().cast(f"array<struct<ord:{kind},row:int>>").alias("out"))
+    placed = pages.select(*KEY, F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("o")).select(*KEY, "o.ord", "o.row")
+    return _both(words, placed, more=("ord",))
+
+
+def placed(words: DataFrame, row_tol: float = 0.6, col_gap: float = 1.0) -> DataFrame:
+    """words with row, col and n_cols."""
+    return with_rows_of(with_columns_of(words, col_gap), row_tol)
+
+
+def grid(words: DataFrame, row_tol: float = 0.6, col_gap: float = 1.0) -> DataFrame:
+    """(doc_id, page, row, col, text): every cell of the grid, blank ones included."""
+    at = placed(words, row_tol, col_gap)
+    filled = at.groupBy(*KEY, "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda e: e["text"]), " ").alias("text"))
+    rows = at.groupBy(*KEY, "row").agg(F.max("n_cols").alias("n_cols"))
+    every = rows.select(*KEY, "row", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col"))
+    return _both(every, filled, "left", ("row", "col")).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def grid_rows(cells: DataFrame) -> DataFrame:
+    """(doc_id, page, row, cells) from grid()."""
+    return cells.groupBy(*KEY, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda e: e["text"]).alias("cells"))
+
+
+def grid_text(cells: DataFrame) -> DataFrame:
+    """(doc_id, page, text): the grid with padded columns and bars between them."""
+    wide = cells.withColumn("width", F.max(F.length("text")).over(Window.partitionBy(*KEY, "col")))
+    wide = wide.withColumn("text", F.concat("text", F.repeat(F.lit(" "), F.col("width") - F.length("text"))))
+    lines = grid_rows(wide).withColumn("line", F.rtrim(F.array_join("cells", " | ")))
+    return lines.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda e: e["line"]), "\n").alias("text"))
+
+
+def coordinate_text(words: DataFrame, row_tol: float = 0.6) -> DataFrame:
+    """(doc_id, page, text): a line for each word in reading order, with its box."""
+    line = F.format_string("%s\t(x=%.0f, y=%.0f, w=%.0f, h=%.0f)", "text", *[F.bround(c).cast("double") for c in ("x", "y", "w", "h")])
+    lines = with_rows_of(words, row_tol).withColumn("line", line)
+    return lines.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "x", "ord", "line"))), lambda e: e["line"]), "\n").alias("text"))
+
+
+def _escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def grid_html(cells: DataFrame) -> DataFrame:
+    """(doc_id, page, html): the grid as a plain table, the floor that a model has to beat."""
+    rows = grid_rows(cells).withColumn("tr", F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda c: F.concat(F.lit("<td>"), _escaped(c), F.lit("</td>"))), ""), F.lit("</tr>")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "tr"))), lambda e: e["tr"]), "")
+    return rows.groupBy(*KEY).agg(F.concat(F.lit("<table>"), body, F.lit("</table>")).alias("html"))
+
+
+def layout_text(words: DataFrame, style: str = "grid", row_tol: float = 0.6, col_gap: float = 1.0) -> DataFrame:
+    if style == "grid":
+        return grid_text(grid(words, row_tol, col_gap))
+    if style == "coords":
+        return coordinate_text(words, row_tol)
+    raise ValueError(f"style is 'grid' or 'coords', not {style!r}")
+
+
+def pitch(words: DataFrame, row_tol: float = 0.6) -> DataFrame:
+    """(doc_id, page, pitch): median distance of neighbouring rows' centres, else the median height."""
+    rows = with_rows_of(words, row_tol).groupBy(*KEY, "row").agg(F.avg(F.col("y") + F.col("h") / 2).alias("cy"))
+    gaps = rows.withColumn("gap", F.col("cy") - F.lag("cy").over(Window.partitionBy(*KEY).orderBy("cy")))
+    middle = gaps.groupBy(*KEY).agg(F.percentile(F.when(F.col("gap") > 0, F.col("gap")), 0.5).alias("p"))
+    return _both(middle, median_height(words)).select(*KEY, F.coalesce("p", "height").alias("pitch"))
+
+
+def alignment(at: DataFrame) -> DataFrame:
+    """(doc_id, page, col, align): the edge or middle that varies least; left, right, centre on a tie."""
+    # Equal spreads differ in their last digits when computed: they are compared to 1e-9.
+    spread = lambda e: F.round(F.stddev_pop(e), 9)
+    s = at.groupBy(*KEY, "col").agg(F.count(F.lit(1)).alias("n"), spread(F.col("x")).alias("l"), spread(F.col("x") + F.col("w")).alias("r"), spread(F.col("x") + F.col("w") / 2).alias("c"))
+    align = F.when((F.col("n") < 2) | ((F.col("l") <= F.col("r")) & (F.col("l") <= F.col("c"))), "left").when(F.col("r") <= F.col("c"), "right").otherwise("center")
+    return s.select(*KEY, "col", align.alias("align"))
+
+
+def _in_reading_order(at: DataFrame) -> DataFrame:
+    return at.withColumn("seen", F.row_number().over(Window.partitionBy(*KEY).orderBy("row", "x", "ord")))
+
+
+def tracks(at: DataFrame) -> DataFrame:
+    """(doc_id, page, col, x1, x2, align, kind, fill, n_rows) of each column that holds words; at: placed()."""
+    n = at.groupBy(*KEY).agg(F.countDistinct("row").alias("n_rows"))
+    own = at.groupBy(*KEY, "col").agg(F.min("x").alias("x1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.countDistinct("row").alias("fill"))
+    kinds = induced(_in_reading_order(at), [*KEY, "col"], "text", "seen")
+    return _both(_both(_both(own, n), alignment(at), more=("col",)), kinds, more=("col",)).select(*KEY, "col", "x1", "x2", "align", "kind", "fill", "n_rows")
+
+
+def anchors(track: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, page, col): columns filled in nearly every row, else the one filled most (the first of equals)."""
+    filled = track.withColumn("o", F.col("fill") / F.col("n_rows"))
+    w = Window.partitionBy(*KEY)
+    best = F.max(F.struct("o", -F.col("col"))).over(w)
+    marked = filled.withColumn("dense", F.col("o") >= least).withColumn("any", F.max("dense").over(w)).withColumn("best", -best["col2"])
+    return marked.where(F.when(F.col("any"), F.col("dense")).otherwise(F.col("col") == F.col("best"))).select(*KEY, "col")
+
+
+def contested(words: DataFrame, col_gap: float = 1.0, margin: float = 0.5) -> DataFrame:
+    """words near a column boundary, with both columns they may belong to."""
+    near = _both(_both(words, separator_lists(words, col_gap)), median_height(words))
+    near = near.withColumn("columns", beside_separator(F.col("x") + F.col("w") / 2, F.col("separators"), F.col("height") * margin))
+    return near.where("columns is not null").drop("separators", "height")
+
+
+def row_kinds(rows: DataFrame, anchor: DataFrame, track: DataFrame) -> DataFrame:
+    """(doc_id, page, row, cells, kind, body): empty, summary, section or data by what is filled; header for
+    rows above the first that fits the columns' kinds. rows: grid_rows()."""
+    lists = anchor.groupBy(*KEY).agg(F.collect_list("col").alias("anchors"))
+    kinds = track.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("col", "kind"))).alias("kinds"))
+    seen = _both(_both(rows, lists, "left"), kinds, "left")
+    marked = F.filter(F.transform("cells", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda e: F.trim(e["c"]) != "")
+    seen = seen.withColumn("f", marked)
+    value = F.exists("f", lambda e: kind_of(e["c"]).isin(*VALUE_KINDS))
+    lead = F.when(F.size(F.coalesce("anchors", F.array().cast("array<int>"))) > 0, F.col("anchors")).otherwise(F.array(F.lit(0)))
+    inside = F.forall("f", lambda e: F.array_contains(F.col("_lead"), e["i"]))
+    seen = seen.withColumn("_lead", lead)
+    kind = F.when(F.size("f") == 0, "empty").when(F.lower(F.trim(F.col("f")[0]["c"])).isin(*SUMMARY), "summary").when(inside & ~value, "section").otherwise("data")
+    body = F.exists("f", lambda e: F.col("kinds")[e["i"]].isin(*VALUE_KINDS) & (kind_of(e["c"]) == F.col("kinds")[e["i"]]))
+    seen = seen.withColumn("kind", kind).withColumn("body", F.coalesce(body, F.lit(False)))
+    first = F.min(F.when(F.col("body"), F.col("row"))).over(Window.partitionBy(*KEY))
+    head = (F.col("row") < F.coalesce(first, F.lit(1 << 30))) & (F.col("kind") != "empty") & (F.size("f") >= 2) & ~F.col("body")
+    return seen.withColumn("kind", F.when(head, "header").otherwise(F.col("kind"))).select(*KEY, "row", "cells", "kind", "body")
+
+
+def survey(words: DataFrame, row_tol: float = 0.6, col_gap: float = 1.0) -> dict[str, DataFrame]:
+    """tracks, rows, anchors, pitch and contested of each page.
+
+    Tracks' kinds and alignments are taken again from what is neither header nor empty.
+    """
+    at = placed(words, row_tol, col_gap)
+    first = tracks(at)
+    anchor = anchors(first)
+    rows = row_kinds(grid_rows(grid(words, row_tol, col_gap)), anchor, first)
+    centre = at.groupBy(*KEY, "row").agg(F.avg(F.col("y") + F.col("h") / 2).alias("cy"))
+    body = _both(at, rows.where("kind not in ('header', 'empty')").select(*KEY, "row"), more=("row",))
+    kinds = induced(_in_reading_order(body), [*KEY, "col"], "text", "seen").withColumnRenamed("kind", "k")
+    sides = alignment(body).withColumnRenamed("align", "a")
+    again = _both(_both(first, kinds, "left", ("col",)), sides, "left", ("col",))
+    again = again.withColumn("kind", F.coalesce("k", "kind")).withColumn("align", F.coalesce("a", "align")).drop("k", "a")
+    return {"tracks": again, "rows": _both(rows, centre, more=("row",)), "anchors": anchor, "pitch": pitch(words, row_tol), "contested": contested(words, col_gap)}
