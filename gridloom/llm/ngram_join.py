@@ -40,10 +40,10 @@ from gridloom.llm.graph import Union, local_components
 from gridloom.llm.textkernel import mix, signed, slices
 from gridloom.llm.textkernel import U as U64
 
-#: Groups of a block's points and of the verification's points.
-GROUPS, FINE = 64, 256
+#: Groups of a block's points, by the most tokens that a set of its band has, and of the finer points.
+GROUPS, FINE = ((1024, 64), (4096, 256), (1 << 62, 512)), 256
 #: Tokens a verified chunk holds, about.
-CHUNK = 4_000_000
+CHUNK = 8_000_000
 #: Documents whose ids may be broadcast to fetch their sets; beyond, they are joined by shuffling.
 FETCH = 1_000_000
 LEAF = 32
@@ -71,6 +71,11 @@ def point(tokens: np.ndarray, groups: int) -> np.ndarray:
     return np.minimum(np.bincount((tokens & U64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
 
 
+def folded(blob: bytes, groups: int) -> bytes:
+    """A point of more groups as one of fewer."""
+    return np.minimum(np.frombuffer(blob, np.uint8).reshape(-1, groups).astype(int).sum(0), FULL).astype(np.uint8).tobytes()
+
+
 def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Upper bounds of the intersections of points x and y (broadcast); a full count may be any."""
     low = np.minimum(x, y).astype(np.int64)
@@ -140,22 +145,22 @@ def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def marks_of(own: np.ndarray, percent: int) -> np.ndarray:
-    """What a set may share with a similar one: hashes of its groups' tokens, band by band."""
+def marks_of(own: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """What a set may share with a similar one, band by band: the band's points' groups, and the hashes of the
+    set's groups' tokens."""
     out = []
-    if not len(own):
-        return own
-    for size, groups, empty in bands(len(own), percent):
+    for size, groups, empty in bands(len(own), percent) if len(own) else []:
         group = (own >> U64(16)) % U64(groups)
         order = np.argsort(group, kind="stable")
         group, tokens = group[order], mix(own[order])
         at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         seed = mix(group[at] + U64(size << 32))
-        out.append(mix(np.add.reduceat(tokens, at) ^ seed))
+        marks = mix(np.add.reduceat(tokens, at) ^ seed)
         if groups - len(at) > empty:
             take = len(own) - -(-percent * len(own) // 100) + 1
-            out.append(mix(own[:take] ^ U64(0xC2B2AE3D27D4EB4F ^ size)))
-    return np.unique(np.concatenate(out))
+            marks = np.concatenate([marks, mix(own[:take] ^ U64(0xC2B2AE3D27D4EB4F ^ size))])
+        out.append((next(g for most, g in GROUPS if size <= most), marks))
+    return out
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -179,23 +184,30 @@ def postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c = np.unique(np.concatenate([marks_of(own, percent) for own in sets(batch.column(0), n)] or [np.empty(0, np.uint64)]), return_counts=True)
+            h, c = np.unique(np.concatenate([m for own in sets(batch.column(0), n) for _, m in marks_of(own, percent)] or [np.empty(0, np.uint64)]), return_counts=True)
             yield pa.record_batch({"h": signed(h), "n": pa.array(c, pa.int64())})
 
     often = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text").mapInArrow(count, "h long, n long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, size, points, copies = [], [], [], []
-            for own in sets(batch.column("text"), n):
-                marks = marks_of(own, percent)
-                marks = marks[often.value(marks)]
-                s.append(marks)
-                copies.append(len(marks))
-                size.append(len(own))
-                points.append(point(own, GROUPS).tobytes())
-            at = pa.array(np.repeat(np.arange(len(s)), copies))
-            yield pa.record_batch({"s": signed(np.concatenate(s or [np.empty(0, np.uint64)])), "rep": batch.column("doc_id").cast(pa.int64()).take(at), "n": pa.array(size, pa.int64()).take(at), "point": pa.array(points, pa.binary()).take(at)})
+            s, row, size, points, copies = [], [], [], [], []
+            for i, own in enumerate(sets(batch.column("text"), n)):
+                for groups, marks in marks_of(own, percent):
+                    marks = marks[often.value(marks)]
+                    if len(marks):
+                        s.append(marks)
+                        row.append(i)
+                        size.append(len(own))
+                        points.append(point(own, groups).tobytes())
+                        copies.append(len(marks))
+            at = np.repeat(np.arange(len(s)), copies)
+            s = np.concatenate(s or [np.empty(0, np.uint64)])
+            rep = np.asarray(batch.column("doc_id").cast(pa.int64()))[np.array(row, int)]
+            size, points = np.array(size, np.int64), pa.array(points, pa.binary())
+            for a in range(0, len(s), 1 << 16):
+                k = at[a : a + (1 << 16)]
+                yield pa.record_batch({"s": signed(s[a : a + (1 << 16)]), "rep": pa.array(rep[k], pa.int64()), "n": pa.array(size[k], pa.int64()), "point": points.take(pa.array(k))})
 
     return docs.select("doc_id", "text").mapInArrow(run, "s long, rep long, n long, point binary")
 
@@ -249,13 +261,16 @@ def block_pairs(rows: DataFrame, percent: int, parts: bool = False) -> DataFrame
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
             s, rep, n = (np.asarray(t[c]) for c in ("s", "rep", "n"))
-            points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint8).reshape(len(s), -1)
+            blobs = t["point"].to_pylist()
             part = np.asarray(t["part"]) if parts else None
             edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
             a, b = [], []
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if y - x > 1:
-                    i, j = _block(n[x:y], points[x:y], percent, part[x:y] if parts else None)
+                    # A mark's band gives its points' length; should marks of two bands be equal, points are folded.
+                    own, least = blobs[x:y], min(map(len, blobs[x:y]))
+                    own = [folded(p, least) if len(p) > least else p for p in own]
+                    i, j = _block(n[x:y], np.frombuffer(b"".join(own), np.uint8).reshape(y - x, -1), percent, part[x:y] if parts else None)
                     a.append(rep[x:y][i])
                     b.append(rep[x:y][j])
             a, b = (np.concatenate(v or [np.empty(0, np.int64)]) for v in (a, b))
