@@ -140,9 +140,11 @@ def blocks_of(targets_: DataFrame, block: int = BLOCK) -> DataFrame:
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
     """The mixture itself: a row for each part of a document that a slot takes.
 
-    Columns: slot (the order of the mixture), block, epoch, begin, end (words of the text), then
-    those of docs. Sort by slot, epoch and rank for the stream.
+    Columns: slot (the order of the mixture), block, epoch, begin, end (words of the text), rank, then
+    those of docs but for any that has one of these names or of layout()'s. Sort by slot, epoch and rank
+    for the stream.
     """
+    docs = docs.drop("slot", "block", "epoch", "begin", "end", "rank", "size", "source_size", "target", "before")
     placed, t = layout(docs, weights, factor, epochs, block)
     taken = pieces(placed, epochs, block)
     return taken.join(schedule(docs.sparkSession, blocks_of(t, block)), ["_mix_no", "block"]).select("slot", "block", "epoch", "begin", "end", "rank", *docs.columns)
@@ -168,7 +170,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor:
     rows = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")  # fixes the row numbers
     placed, t = layout(rows, weights, factor, epochs, block, keep=["doc_id", "source", "_mix_row"])
     taken = pieces(placed, epochs, block).join(schedule(docs.sparkSession, blocks_of(t, block)), ["_mix_no", "block"])
-    reads = taken.groupBy("_mix_row", "epoch").agg(F.sum(F.col("end") - F.col("begin")).alias("_mix_words"), F.any_value("size").alias("_mix_size"))
+    reads = taken.groupBy("_mix_row", "epoch").agg(F.sum(F.col("end") - F.col("begin")).alias("_mix_words"), F.any_value("size").alias("_mix_size")).drop("epoch")
     out = rows.join(reads, "_mix_row")
     whole = F.col("_mix_words") >= F.col("_mix_size")
     words = F.filter(F.split("text", SPACES), lambda w: w != "")

@@ -84,8 +84,12 @@ def boundaries(hist: list[tuple[int, int, int]], n_buckets: int) -> list[int]:
 
 
 def pack(docs: DataFrame, n_buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None, keep: list[str] | None = None) -> DataFrame:
-    """keep's columns (default all) and n_tokens, bucket, bucket_length, batch, batch_row, padding."""
-    keep = docs.columns if keep is None else keep
+    """keep's columns (default all) and n_tokens, bucket, bucket_length, batch, batch_row, padding.
+
+    A column of docs that has one of these names, or is called rank or before, is left out.
+    """
+    added = ("n_tokens", "bucket", "bucket_length", "batch", "batch_row", "padding", "rank", "before")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     length = n_words(F.col("text")) if length is None else length
     rows = docs.withColumn("n_tokens", length.cast("long")).withColumn("_pack_key", F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))))
     rows = written(rows.select(*keep, "n_tokens", "_pack_key"), "pack-lengths")

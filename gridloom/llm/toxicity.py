@@ -248,12 +248,13 @@ def _strengths(spark: SparkSession, rows: DataFrame, model: Model) -> list[tuple
 
 
 def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
-    """docs without text, with score, n_passages and, if asked for, the passages found.
+    """docs without text, with score, n_passages and, if asked for, the passages found; they take the place of
+    columns of these names.
 
     passages: array of (first, last token of the text, expected number in clean text as long).
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+    rest = [f for f in docs.schema.fields if f.name not in ("text", "score", "n_passages", "passages")]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     kind += (", " if kind else "") + "score double, n_passages int" + (", passages array<struct<first:int,last:int,expected:double>>" if passages else "")
 

@@ -491,6 +491,34 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
+def test_clashing_and_extra_columns(spark):
+    """Columns that are called like added ones crash nothing; nulls in any column stay nulls."""
+    rng = random.Random(20)
+    names = ["size", "rank", "before", "epoch", "block", "slot", "n_tokens", "bucket", "score", "start", "end", "n", "h", "component", "component_id", "target"]
+    d = docs(spark, [prose(rng, 30) for _ in range(20)] + [None], [None if i % 4 == 0 else "s" for i in range(21)])
+    d = d.withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.lit(None).cast("long"))
+    for c in names:
+        d = d.withColumn(c, F.lit(7))
+    n = d.count()
+    assert mixing.taken_words(d).count() == n and mixing.mixture(d).count() > 0 and set(mixing.mixed_documents(d).columns) == set(d.columns)
+    assert packing.pack(d).count() == n and ngram_join.ngram_components(d).count() == n and ngram_join.one_of_each(d).columns == d.columns
+    assert chunks.report(d).count() == suffixes.report(d).count() == n and suffixes.deduplicated(d).columns == d.columns == chunks.deduplicated(d).columns
+    model, counts = class_lm.fit(d)
+    assert class_lm.score(d, model, counts, ["doc_id"]).count() == n
+    none = toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(d, none).count() == toxicity.clean(d, none).count() == n
+
+
+def test_long_texts(spark):
+    """One text of 300,000 words among small ones, and one word of two million letters."""
+    long = " ".join(str(i % 977) + "x" for i in range(300_000))
+    d = docs(spark, [long, "small text here", "q" * 2_000_000, None])
+    assert {r["doc_id"]: r["size"] for r in mixing.taken_words(d).collect()} == {0: 300_000, 1: 3, 2: 1, 3: 0}
+    assert {r["doc_id"]: r["n_shingles"] for r in ngram_join.ngram_components(d).collect()} == {0: 977, 1: 1, 2: 1, 3: 0}
+    assert {r["doc_id"]: r["dup_words"] for r in suffixes.report(d).collect()} == {0: 300_000 - 977, 1: 0, 2: 0, 3: 0}
+    assert chunks.report(d).count() == 4 and packing.pack(d).agg(F.max("n_tokens")).first()[0] == 300_000
+
+
 def test_arrow_slices_of_columns():
     column = pa.chunked_array([pa.array(["a b", None]), pa.array(["c"])]).combine_chunks().slice(1)
     assert [len(w.hash) for _, _, w in textkernel.slices(column)] == [1]
