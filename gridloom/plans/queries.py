@@ -29,6 +29,10 @@ def query(f: Query) -> Query:
     return f
 
 
+def _long(name: str):
+    return F.col(name).cast("long").alias(name)
+
+
 def _r(name: str, digits: int = 9):
     return F.round(name, digits).alias(name)
 
@@ -151,17 +155,17 @@ def leakage_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def difficulty_score(spark: SparkSession, sf: str) -> DataFrame:
     c = X.cells(spark, sf)
     depth = c.select("uid").distinct().withColumn("header_depth", F.lit(2))
-    return corpus.complexity(c, depth).select("uid", "n_rows", "n_cols", "n_cells", "n_spanning", _r("score", 6))
+    return corpus.complexity(c, depth).select("uid", "n_rows", "n_cols", _long("n_cells"), _long("n_spanning"), _r("score", 6))
 
 
 @query
 def column_separators(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.separators(_words(spark, sf)).select("doc_id", "k", "separator")
+    return layout.separators(_words(spark, sf)).select("doc_id", _long("k"), "separator")
 
 
 @query
 def grid_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.with_columns_of(_words(spark, sf).drop("row", "col")).select("doc_id", "ord", "col")
+    return layout.with_columns_of(_words(spark, sf).drop("row", "col")).select("doc_id", "ord", _long("col"))
 
 
 @query
@@ -177,22 +181,22 @@ def cluster_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def track_fill(spark: SparkSession, sf: str) -> DataFrame:
     t = layout.tracks(layout.placed(_words(spark, sf).drop("row", "col")))
-    return t.select("doc_id", "col", "x1", "x2", "fill", "n_rows")
+    return t.select("doc_id", _long("col"), "x1", "x2", "fill", "n_rows")
 
 
 @query
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.anchors(layout.tracks(layout.placed(_words(spark, sf).drop("row", "col")))).select("doc_id", "col")
+    return layout.anchors(layout.tracks(layout.placed(_words(spark, sf).drop("row", "col")))).select("doc_id", _long("col"))
 
 
 @query
 def contested(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.contested(_words(spark, sf), margin=1.0).select("doc_id", "ord", F.col("columns")[0].alias("k"))
+    return layout.contested(_words(spark, sf), margin=1.0).select("doc_id", "ord", F.col("columns")[0].cast("long").alias("k"))
 
 
 @query
 def alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.alignment(layout.with_columns_of(_words(spark, sf).drop("row", "col"))).select("doc_id", "col", "align")
+    return layout.alignment(layout.with_columns_of(_words(spark, sf).drop("row", "col"))).select("doc_id", _long("col"), "align")
 
 
 @query
@@ -325,7 +329,7 @@ def iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def levenshtein(spark: SparkSession, sf: str) -> DataFrame:
     p = X.table(spark, sf, "part").select("p_partkey", "p_name")
     o = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_partkey").alias("b"), F.col("p_name").alias("other"))
-    return p.join(o, "p_partkey").select(F.col("p_partkey").alias("a"), "b", F.levenshtein("p_name", "other").alias("distance"))
+    return p.join(o, "p_partkey").select(F.col("p_partkey").alias("a"), "b", F.levenshtein("p_name", "other").cast("long").alias("distance"))
 
 
 @query
