@@ -1,15 +1,17 @@
 """Language-model scores from Brown classes.
 
-A word's unit is the word itself if it is among the most frequent ones, else its shape (length,
-last byte, letters beyond ASCII). Exchange clustering puts the most frequent units into classes:
-a unit moves to the class that most raises the likelihood of the class bigrams, until a sweep moves
-few. The other units are then placed by one such exchange each, from the classes beside them. A text's
-probability is the product of class transitions and of the words' shares in their classes, both
-smoothed; the text's end is a token in a class of its own.
+Every training word has a class; a word never seen there goes by its shape (length, last byte, letters
+beyond ASCII). Exchange clustering puts the most frequent words and the shapes into classes: a unit
+moves to the class that most raises the likelihood of the class bigrams, until a sweep moves few. The
+next most frequent words are then placed by one such exchange each, from the classes beside them, and all
+rarer words likewise from a distributed table of the classes beside each of them, where rarer neighbours stand as their
+shapes. A text's probability is the product of class transitions and of the words' shares in their classes,
+both smoothed; the text's end is a token in a class of its own.
 
 All counts are over all training documents and whole texts. Words are known by 64-bit hashes; their
-counts stay a distributed table. The driver holds what is bounded: HEAD units, their class neighbours,
-and the counts of the KNOWN most frequent words, which tasks look up themselves; rarer words are joined.
+counts and classes stay a distributed table. The driver holds what is bounded: HEAD units, their class
+neighbours, and the counts and classes of the KNOWN most frequent words, which tasks look up themselves;
+rarer words are joined.
 
 Cases: a null or empty text is the end token alone; words never seen in training share the mass of
 one unseen word in their shape; without training documents all counts are 0; rows that repeat are
@@ -26,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import most_frequent, written
-from gridloom.llm.textkernel import U, Lookup, Tally, Words, signed, slices
+from gridloom.llm.common import drop_scratch, most_frequent, written
+from gridloom.llm.textkernel import Lookup, Tally, Words, mix, signed, slices
 
-#: Classes besides the end's; units clustered by full exchange; units in all but shapes; words whose
-#: counts every task holds; sweeps at most.
+#: Classes besides the end's; words clustered by full exchange; words placed on the driver; words whose
+#: counts and classes every task holds; sweeps at most.
 CLASSES, CORE, HEAD, KNOWN, SWEEPS = 64, 1024, 8192, 1 << 18, 10
 SHAPES = 16
 #: Pseudo-count of the unigram class distribution in a class's transitions.
@@ -47,25 +49,23 @@ def shapes(w: Words) -> np.ndarray:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(h, shape, n) of each word over all texts."""
+    """(h, n) of each word over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, shape_of = Tally(2), None
+        tally = Tally()
 
         def out() -> pa.RecordBatch:
             k, c = tally.take()
-            return pa.record_batch({"h": signed(k), "shape": pa.array(c[:, 1] // np.maximum(c[:, 0], 1), pa.int32()), "n": pa.array(c[:, 0], pa.int64())})
+            return pa.record_batch({"h": signed(k), "n": pa.array(c[:, 0], pa.int64())})
 
         for batch in batches:
             for _, _, w in slices(batch.column(0)):
-                k, at, n = np.unique(w.hash, return_index=True, return_counts=True)
-                shape_of = shapes(w)[at]
-                tally.add(k, np.stack([n, n * shape_of], 1))
+                tally.add(*np.unique(w.hash, return_counts=True))
             if tally.full():
                 yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "h long, shape int, n long").groupBy("h", "shape").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -180,34 +180,108 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = SWEEPS) -> np.ndar
     return cls
 
 
+def place(n: np.ndarray, own: np.ndarray, word: np.ndarray, left: np.ndarray, right: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Of each word the class whose _gains() are highest, from its neighbours' classes.
+
+    own: of each word the class that it is counted in; word: ascending, each word at least once; left,
+    right, times: the classes beside it and how often. What it gains in its own class is without its own counts.
+    """
+    c1, size = len(n), len(own)
+    r = np.bincount(word * c1 + right, times, size * c1).reshape(size, c1)
+    p = np.bincount(word * c1 + left, times, size * c1).reshape(size, c1)
+    base, diag = _f(n), np.diagonal(n)
+    gain = np.zeros((size, c1))
+    # Only the classes that stand beside a word add to its gains.
+    for beside, table, logs in ((r, n.T, base.T), (p, n, base)):
+        w, j = np.nonzero(beside)
+        e, times_ = np.arange(len(j)), beside[w, j]
+        more = _f(table[j] + times_[:, None]) - logs[j]
+        more[e, own[w]] = logs[j, own[w]] - _f(np.maximum(table[j, own[w]] - times_, 0))
+        more[e, j] = 0
+        gain += np.add.reduceat(more, np.searchsorted(w, np.arange(size)), axis=0)
+    w, j = np.nonzero(r + p)
+    both = r[w, j] + p[w, j]
+    gain[w, j] += np.where(j == own[w], _f(diag[j]) - _f(np.maximum(diag[j] - both, 0)), _f(diag[j] + both) - _f(diag[j]))
+    for edge, total in ((n.sum(1), r.sum(1)), (n.sum(0), p.sum(1))):
+        more = _f(edge + total[:, None]) - _f(edge)
+        more[np.arange(size), own] = _f(edge[own]) - _f(np.maximum(edge[own] - total, 0))
+        gain -= more
+    return gain[:, :-1].argmax(1)
+
+
+def tail_words(docs: DataFrame, units: Units, now: np.ndarray) -> DataFrame:
+    """(h, n, class) of every word but the heads; now: counts of the class bigrams of the others."""
+    spark = docs.sparkSession
+    sent, c1 = spark.sparkContext.broadcast((units, now)), len(now)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = sent.value[0]
+        for batch in batches:
+            hashes, pairs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for _, _, w in slices(batch.column(0)):
+                seq, _ = u.sequence(w)
+                c = u.classes[seq]
+                at = np.flatnonzero((seq >= len(u.heads)) & (seq != u.end))
+                hashes.append(w.hash[(np.cumsum(seq != u.end) - 1)[at]])
+                pairs.append((c[at] * c1 + c[at - 1]) * c1 + c[at + 1])
+            h, pair = np.concatenate(hashes), np.concatenate(pairs)
+            _, first, n = np.unique(mix(h ^ mix(pair.astype(np.uint64))), return_index=True, return_counts=True)
+            # One number for the classes and how often: fewer bytes to shuffle.
+            yield pa.record_batch({"h": signed(h[first]), "k": pa.array(n * c1**3 + pair[first], pa.int64())})
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(h: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+            n, own, pair = k // c1**3, k // c1**2 % c1, k % c1**2
+            cls = place(sent.value[1], own[first], word, pair // c1, pair % c1, n)
+            return pa.record_batch({"h": pa.array(h[first], pa.int64()), "n": pa.array(np.add.reduceat(n, first), pa.int64()), "class": pa.array(cls, pa.int32())})
+
+        h, k = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            h, k = np.concatenate([h, np.asarray(batch.column("h"))]), np.concatenate([k, np.asarray(batch.column("k"))])
+            # The last word may go on in the next batch.
+            whole = int(np.searchsorted(h, h[-1])) if len(h) else 0
+            if whole:
+                yield out(h[:whole], k[:whole])
+                h, k = h[whole:], k[whole:]
+        if len(h):
+            yield out(h, k)
+
+    found = docs.select("text").mapInArrow(beside, "h long, k long").repartition("h").sortWithinPartitions("h")
+    return written(found.mapInArrow(placed, "h long, n long, class int"), "lm-words")
+
+
 @dataclass
 class Model:
-    units: Units
-    transition: np.ndarray  # log10, from class to class
-    emission: np.ndarray  # log10 of a head word's or the end's share in its class; of a shape, less its words' counts
     known: Lookup
     known_counts: np.ndarray
+    known_class: np.ndarray
+    weight: np.ndarray  # log10 of a known word's mass in its class
+    shape_class: np.ndarray
+    mass: np.ndarray  # log10 of each class's mass
     base_floor: float  # log10 of the base's denominator
     end_count: int
     train_tokens: int
+    transition: np.ndarray | None = None  # log10, from class to class
 
+    @property
+    def end(self) -> int:
+        return len(self.mass) - 1
 
-def fit(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = HEAD, known: int = KNOWN) -> tuple[Model, DataFrame]:
-    """The model from all texts, and the table of the word counts (h, n)."""
+
+def learnt(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = HEAD, known: int = KNOWN) -> tuple[Model, DataFrame]:
+    """The model from all texts but for its transitions, and the table (h, n, class) of all words but the heads."""
+    if classes > 255:
+        raise ValueError("a class is a byte")
     counts = written(count_words(docs), "lm-counts")
     n_docs = docs.count()
     # Bounded: the `known` most frequent words.
     top = most_frequent(counts, "n", known).orderBy(F.desc("n"), "h").toArrow()
-    hashes, shape, n = np.asarray(top["h"]).view(np.uint64), np.asarray(top["shape"]), np.asarray(top["n"])
-    by = {r["shape"]: (r["n"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    hashes, n = np.asarray(top["h"]).view(np.uint64), np.asarray(top["n"])
     heads = hashes[:head]
-    total = sum(x[0] for x in by.values()) + n_docs
-    types = sum(x[1] for x in by.values()) + (n_docs > 0)
-    shape_n, shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
-    for s, (a, b) in by.items():
-        shape_n[s], shape_v[s] = a, b
-    np.subtract.at(shape_n, shape[:head], n[:head])
-    np.subtract.at(shape_v, shape[:head], 1)
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, types = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
 
     m = min(core, len(heads))
     units = Units(heads, np.full(len(heads) + SHAPES + 1, -1))
@@ -217,10 +291,13 @@ def fit(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = H
         c = np.where(seq < m, seq, np.where(seq >= len(u.heads), seq - len(u.heads) + m, -1))
         yield c[:-1], c[1:]
 
-    cls = exchange(_pairs(docs, units, core_pairs, k, k), classes)
+    pairs = _pairs(docs, units, core_pairs, k, k).astype(float)
+    cls = exchange(pairs, classes)
     units.classes[:m] = cls[:m]
     units.classes[len(heads) :] = cls[m:]
     c1 = classes + 1
+    hot = np.eye(c1)[cls]
+    now = hot.T @ pairs @ hot
     if len(heads) > m:
         rest = len(heads) - m
 
@@ -229,86 +306,185 @@ def fit(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = H
             open_ = np.where((seq >= m) & (seq < len(u.heads)), seq - m, -1)
             yield open_[:-1], np.where(c[1:] >= 0, c[1:], -1)
             yield np.where(open_[1:] >= 0, open_[1:] + rest, -1), np.where(c[:-1] >= 0, c[:-1], -1)
-            yield np.where(c[:-1] >= 0, c[:-1] + 2 * rest, -1), c[1:]
 
-        near = _pairs(docs, units, beside, 2 * rest + c1, c1).astype(float)
-        now = near[2 * rest :]
+        near = _pairs(docs, units, beside, 2 * rest, c1).astype(float)
         for w in range(rest):
             units.classes[m + w] = int(np.argmax(_gains(now, near[w], near[rest + w], 0.0)[:-1]))
-
-    def classes_of(u: Units, seq: np.ndarray):
-        c = u.classes[seq]
-        yield c[:-1], c[1:]
-
-    moves = _pairs(docs, units, classes_of, c1, c1).astype(float)
-    seen = moves.sum(0)
-    prior = (seen + 1) / (seen.sum() + c1)
-    transition = np.log10((moves + BACKOFF * prior) / (moves.sum(1, keepdims=True) + BACKOFF))
-    unit_n = np.concatenate([n[:head].astype(float), shape_n + 0.5, [n_docs or 1.0]])
-    in_class = np.bincount(units.classes, unit_n, minlength=c1)
-    emission = np.log10(unit_n) - np.log10(np.maximum(in_class[units.classes], 1e-300))
-    emission[len(heads) : -1] -= np.log10(shape_n + 0.5 * (shape_v + 1))
-    model = Model(units, transition, emission, Lookup(hashes), n, float(np.log10(total + 0.5 * (types + 1))), n_docs, total)
-    return model, counts.select("h", "n")
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str]) -> DataFrame:
-    """keep's columns of docs and n_tokens, n_known, base_score, score of every text."""
+        hot = np.eye(c1)[units.classes[m : len(heads)]]
+        now = now + hot.T @ near[:rest] + (hot.T @ near[rest:]).T
+
+    words = tail_words(docs, units, now)
+    cls = np.zeros(len(hashes), np.int64)
+    cls[: len(heads)] = units.classes[: len(heads)]
+    lookup = Lookup(hashes)
+    if len(hashes) > len(heads):
+        more = words.where(F.col("n") >= int(n[-1])).select("h", "class").toArrow()
+        at = lookup.find(np.asarray(more["h"]).view(np.uint64))
+        cls[at[at >= 0]] = np.asarray(more["class"])[at >= 0]
+    # A head counts as often as it stands there, a rarer word half a time more, an unseen one half.
+    weight = n + np.where(np.arange(len(n)) < len(heads), 0.0, 0.5)
+    mass = np.bincount(cls[: len(heads)], weight[: len(heads)], c1) + np.bincount(units.classes[len(heads) : -1], np.full(SHAPES, 0.5), c1)
+    for r in words.groupBy("class").agg(F.sum(F.col("n") + 0.5).cast("double").alias("m")).collect():
+        mass[r["class"]] += r["m"]
+    mass[-1] = n_docs or 1.0
+    model = Model(lookup, n, cls, np.log10(weight), units.classes[len(heads) : -1], np.log10(np.maximum(mass, 1e-300)), float(np.log10(total + 0.5 * (types + 1))), n_docs, total)
+    return model, words
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, offsets) of a binary column."""
+    _, offsets, values = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(values, np.uint8) if values is not None and values.size else np.empty(0, np.uint8)
+    return data[at[0] : at[-1]], (at - at[0]).astype(np.int64)
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.astype(np.uint8))])
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(all items, offsets, row of each item) of a list column."""
+    at = np.asarray(column.offsets).astype(np.int64)
+    return column.values[int(at[0]) : int(at[-1])], at - at[0], np.repeat(np.arange(len(column)), np.diff(at))
+
+
+def coded(docs: DataFrame, model: Model, words: DataFrame, keep: list[str]) -> DataFrame:
+    """keep's columns of docs and _seq (a byte a word: its class), _known, _base, _emit (log10 of the words' shares in their classes) of every text."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
-    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
+    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "_seq binary, _known long, _base double, _emit double"
+    half = float(np.log10(0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        count = np.concatenate([m.known_counts, [0]])
-        log_count = np.log10(count + 0.5)
-        plain = m.units.end - SHAPES
+        log_count = np.log10(np.concatenate([m.known_counts, [0]]) + 0.5)
+        weight, classes = np.concatenate([m.weight, [half]]), np.concatenate([m.known_class, [0]])
         for batch in batches:
             parts: list[tuple] = []
+            rare, which, where = [], [], []
             for _, _, w in slices(batch.column("text")):
-                seq, begin = m.units.sequence(w)
-                c = m.units.classes[seq]
                 at = m.known.find(w.hash)
+                c = np.where(at >= 0, classes[at], m.shape_class[shapes(w)])
                 size = w.counts()
-                model_lp = m.transition[c[:-1], c[1:]] + m.emission[seq[1:]]
-                inner = seq[1:] != m.units.end
-                word_lp = log_count[at]
-                shaped = (seq[1:][inner] >= plain)
-                add = np.zeros(len(model_lp))
-                add[inner] = np.where(shaped, word_lp, 0.0)
-                # Sums of one text only: the differences of long running sums would lose digits.
-                score_ = np.add.reduceat(model_lp + add, begin - 1)
-                edge = np.concatenate([word_lp, [0.0]])
-                sums = np.add.reduceat(edge, np.minimum(w.doc_first[:-1], len(edge) - 1))
-                sums = np.where(size > 0, sums, 0.0)
-                known = np.concatenate([[0], np.cumsum(at >= 0)])
-                n_known = known[w.doc_first[1:]] - known[w.doc_first[:-1]] + (m.end_count > 0)
-                base = sums + np.log10(m.end_count + 0.5) - (size + 1) * m.base_floor
-                rare, times = [], []
+
+                def summed(x: np.ndarray) -> np.ndarray:
+                    # Sums of one text only: the differences of long running sums would lose digits.
+                    x = np.concatenate([x, [0.0]])
+                    return np.where(size > 0, np.add.reduceat(x, np.minimum(w.doc_first[:-1], len(x) - 1)), 0.0)
+
                 missing = np.flatnonzero(at < 0)
                 cut = np.searchsorted(missing, w.doc_first)
                 for d in range(len(size)):
-                    h, t = np.unique(w.hash[missing[cut[d] : cut[d + 1]]], return_counts=True)
+                    own = missing[cut[d] : cut[d + 1]]
+                    h, i = np.unique(w.hash[own], return_inverse=True)
                     rare.append(h.view(np.int64))
-                    times.append(t)
-                parts.append((size + 1, n_known, base, score_, rare, times))
-            cols = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-            rare = [x for p in parts for x in p[4]]
-            times = [x for p in parts for x in p[5]]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rare), pa.int64()))
-            ns = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), lists, ns], [*keep, "n_tokens", "n_known", "base_score", "score", "rare", "times"])
-
-    out = docs.select(*keep, "text").mapInArrow(run, kind).withColumn("_row", F.monotonically_increasing_id())
-    out = written(out, "lm-scores")  # the row numbers are fixed from here on
-    rare = out.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_row", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
+                    which.append(i)
+                    where.append(own - w.doc_first[d])
+                parts.append((c, size, size - np.diff(cut) + (m.end_count > 0), summed(log_count[at]) + np.log10(m.end_count + 0.5) - (size + 1) * m.base_floor, summed(weight[at] - m.mass[c])))
+            if not parts:
+                continue
+            c, size, known, base, emit = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+            def lists(x: list[np.ndarray], t: pa.DataType) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(i) for i in x])]), pa.int32()), pa.array(np.concatenate(x), t))
+
+            data = [_binary(c, np.r_[0, np.cumsum(size)]), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(emit, pa.float64()), lists(rare, pa.int64()), lists(which, pa.int32()), lists(where, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], *data], [*keep, "_seq", "_known", "_base", "_emit", "_rare", "_which", "_where"])
+
+    out = docs.select(*keep, "text").mapInArrow(run, kind + ", _rare array<long>, _which array<int>, _where array<int>").withColumn("_row", F.monotonically_increasing_id())
+    out = written(out, "lm-codes")  # the row numbers are fixed from here on
     # Words outside the `known` most frequent ones; those among them are looked up in the tasks.
-    gain = rare.join(counts, "h").groupBy("_row").agg(F.sum("times").alias("_k"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - float(np.log10(0.5)))).alias("_g"))
-    out = out.drop("rare", "times").join(gain, "_row", "left")
-    known, more = F.coalesce("_k", F.lit(0)), F.coalesce("_g", F.lit(0.0))
-    return out.withColumn("n_known", F.col("n_known") + known).withColumn("base_score", F.col("base_score") + more).withColumn("score", F.col("score") + more).drop("_row", "_k", "_g")
+    rare = out.select("_row", F.posexplode("_rare").alias("_i", "h")).join(words, "h")
+    found = rare.groupBy("_row").agg(F.collect_list(F.struct("_i", "n", "class")).alias("_found"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = sent.value.mass
+        for batch in batches:
+            seq, at = _bytes(batch.column("_seq"))
+            seq = seq.astype(np.int64)
+            items, _, row = _lists(batch.column("_found"))
+            _, start, _ = _lists(batch.column("_rare"))
+            n, cls = np.zeros(start[-1]), np.full(start[-1], -1)
+            i = start[row] + np.asarray(items.field("_i"))
+            n[i], cls[i] = np.asarray(items.field("n")), np.asarray(items.field("class"))
+            which, _, row = _lists(batch.column("_which"))
+            where, _, _ = _lists(batch.column("_where"))
+            i, place_ = start[row] + np.asarray(which), at[row] + np.asarray(where)
+            hit = cls[i] >= 0
+            i, place_, row = i[hit], place_[hit], row[hit]
+            gain = np.log10(n[i] + 0.5) - half
+            emit = gain - mass[cls[i]] + mass[seq[place_]]
+            seq[place_] = cls[i]
+            k = batch.num_rows
+            sums = [np.asarray(batch.column("_known")) + np.bincount(row, minlength=k), np.asarray(batch.column("_base")) + np.bincount(row, gain, k), np.asarray(batch.column("_emit")) + np.bincount(row, emit, k)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], _binary(seq, at), *map(pa.array, sums)], [*keep, "_seq", "_known", "_base", "_emit"])
+
+    full = written(out.join(found, "_row", "left").drop("_row").mapInArrow(fill, kind), "lm-classes")
+    drop_scratch(out)
+    return full
+
+
+def _ended(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes with an end before the first text and after each, and where each text begins."""
+    seq, at = _bytes(column)
+    out = np.full(len(seq) + len(at), end, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[at + np.arange(len(at))] = False
+    out[inside] = seq
+    return out, at[:-1] + np.arange(1, len(at))
+
+
+def transitions(table: DataFrame, c1: int) -> np.ndarray:
+    """log10 of the share of each class after each, from the texts' classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(c1 * c1, np.int64)
+        for batch in batches:
+            c, _ = _ended(batch.column(0), c1 - 1)
+            total += np.bincount(c[:-1] * c1 + c[1:], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"k": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    rows = table.select("_seq").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    moves = np.zeros(c1 * c1)
+    moves[np.asarray(rows["k"])] = np.asarray(rows["n"])
+    moves = moves.reshape(c1, c1)
+    seen = moves.sum(0)
+    prior = (seen + 1) / (seen.sum() + c1)
+    return np.log10((moves + BACKOFF * prior) / (moves.sum(1, keepdims=True) + BACKOFF))
+
+
+def scored(table: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """keep's columns and n_tokens, n_known, base_score, score from the texts' classes."""
+    sent = table.sparkSession.sparkContext.broadcast((model.transition, model.end))
+    fields = [table.schema[c] for c in keep]
+    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "n_tokens long, n_known long, base_score double, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, end = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, begin = _ended(batch.column("_seq"), end)
+            total = np.add.reduceat(transition[c[:-1], c[1:]], begin - 1) + np.asarray(batch.column("_emit"))
+            size = np.diff(np.r_[begin, len(c)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(size, pa.int64()), batch.column("_known"), batch.column("_base"), pa.array(total)], [*keep, "n_tokens", "n_known", "base_score", "score"])
+
+    return table.mapInArrow(run, kind)
+
+
+def fit(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = HEAD, known: int = KNOWN) -> tuple[Model, DataFrame]:
+    """The model from all texts, and the table (h, n, class) of all words but the heads."""
+    model, words = learnt(docs, classes, core, head, known)
+    model.transition = transitions(coded(docs, model, words, []), classes + 1)
+    return model, words
+
+
+def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[str]) -> DataFrame:
+    """keep's columns of docs and n_tokens, n_known, base_score, score of every text."""
+    return scored(coded(docs, model, words, keep), model, keep)
 
 
 def held_out(doc_id: Column, parts: int = 5) -> Column:
@@ -316,7 +492,9 @@ def held_out(doc_id: Column, parts: int = 5) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model, counts = fit(docs.where(~held_out(F.col("doc_id"))))
-    out = score(docs, model, counts, ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    model, words = learnt(docs.where("not held_out"))
+    table = coded(docs, model, words, ["doc_id", "held_out"])
+    model.transition = transitions(table.where("not held_out"), model.end + 1)
+    out = scored(table, model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -461,6 +461,62 @@ def test_exchange_raises_likelihood():
     assert likelihood(class_lm.exchange(pairs, 3)) > likelihood(start)
 
 
+def test_place_is_the_best_gain():
+    rng = np.random.default_rng(21)
+    n, own = rng.integers(100, 200, (9, 9)).astype(float), rng.integers(0, 8, 50)
+    word = np.sort(np.r_[np.arange(50), rng.integers(0, 50, 150)])
+    left, right, times = rng.integers(0, 9, 200), rng.integers(0, 9, 200), rng.integers(1, 6, 200)
+    got = class_lm.place(n, own, word, left, right, times)
+    f = class_lm._f
+    for w in range(50):
+        r, p = (np.bincount(x[word == w], times[word == w], 9) for x in (right, left))
+        gain, o = class_lm._gains(n, r, p, 0.0), own[w]
+        less = n.copy()
+        less[o] -= r
+        less[:, o] -= p
+        gain[o] = (f(n) - f(less)).sum() - f(n[o].sum()) + f(n[o].sum() - r.sum()) - f(n[:, o].sum()) + f(n[:, o].sum() - p.sum())
+        assert got[w] == np.argmax(gain[:-1])
+
+
+def test_every_training_word_has_a_class(spark):
+    """Words of one shape beyond the head go by what stands beside them, and a text's score by the definition."""
+    rng = random.Random(22)
+    word = lambda x: f"{x}{rng.choice([rng.randrange(100, 104), rng.randrange(104, 400)])}"
+    texts = [" ".join(x for _ in range(rng.randrange(3, 12)) for x in ("aa", word("p"), "bb", word("q"))) for _ in range(300)] + ["aa p999 bb", None]
+    d = docs(spark, texts).select("doc_id", "text")
+    train = d.where("doc_id < 290")
+    model, words = class_lm.fit(train, classes=5, core=8, head=10, known=60)
+    c = Counter(w for t in texts[:290] for w in split(t))
+    table = {r["h"]: (r["n"], r["class"]) for r in words.collect()}
+    of = lambda t: int(next(textkernel.texts([t]))[2].hash.view(np.int64)[0])
+    rare = [w for w in c if of(w.decode()) in table]
+    assert len(table) == len(rare) == len(c) - 10 and all(table[of(w.decode())][0] == c[w] for w in rare)
+    ps, qs = ({table[of(w.decode())][1] for w in rare if w.startswith(x)} for x in (b"p", b"q"))
+    assert len(ps) == len(qs) == 1 and ps != qs
+    (_, _, w), = textkernel.texts([" ".join(x.decode() for x in c)])
+    at = model.known.find(w.hash)
+    cls = {x: int(model.known_class[a]) if a >= 0 else table[of(x.decode())][1] for x, a in zip(c, at)}
+    weight = {x: c[x] + (0.5 if of(x.decode()) in table else 0.0) for x in c}
+    mass = Counter({i: 0.5 * int((model.shape_class == i).sum()) for i in range(5)})
+    for x in c:
+        mass[cls[x]] += weight[x]
+    assert np.allclose(model.mass[:5], [math.log10(max(mass[i], 1e-300)) for i in range(5)])
+    out = {r["doc_id"]: r for r in class_lm.score(d, model, words, ["doc_id"]).collect()}
+    moves = np.zeros((6, 6))
+    for t in texts[:290]:
+        s = [5, *[cls[x] for x in split(t)], 5]
+        np.add.at(moves, (s[:-1], s[1:]), 1)
+    prior = (moves.sum(0) + 1) / (moves.sum() + 6)
+    move = np.log10((moves + 10 * prior) / (moves.sum(1, keepdims=True) + 10))
+    for i, t in enumerate(texts):
+        ws = split(t)
+        (_, _, w), = textkernel.texts([t])
+        shape = model.shape_class[class_lm.shapes(w)] if ws else []
+        s = [5, *[cls.get(x, shape[j]) for j, x in enumerate(ws)], 5]
+        want = sum(move[a, b] for a, b in zip(s, s[1:])) + sum(math.log10(weight.get(x, 0.5) / mass[k]) for x, k in zip(ws, s[1:]))
+        assert math.isclose(out[i]["score"], want, abs_tol=1e-8)
+
+
 # the pipeline
 
 
