@@ -10,7 +10,8 @@ number of links and a spanning forest of the links, never the links themselves.
 Cases: equal vectors of a label are one class with a count (copies link with each other and are not
 expanded); a null label, and vectors that are null, empty, zero or hold null or non-finite
 components, link with nothing; a shorter vector is as one with zeros at its end; rows that repeat
-an id are vectors of their own with that id; a row without id links, but names no component. Ties
+an id are vectors of their own with that id; a row without id counts as a link of others, but neither names
+nor connects components. Ties
 at the threshold link. An empty table gives no rows. Other columns are not read.
 """
 
@@ -129,7 +130,10 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
             a, b = a[keep], b[keep]
         n = len(t)
         count = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
-        edges = [(x, y) for x, y in forest(a, b, n) if reps[x] is not None and reps[y] is not None]
+        # Only then the forest: its roots would else be dropped with all that they connect.
+        named = np.array([r is not None for r in reps], bool)
+        named = named[a] & named[b]
+        edges = forest(a[named], b[named], n)
         some = np.flatnonzero(count)
         label = table["label"][0].as_py()
         m = len(some) + len(edges)

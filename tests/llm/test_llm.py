@@ -378,6 +378,22 @@ def test_vectors_against_all_pairs(spark):
     assert vector_dedup.near_duplicates(v.limit(0)).count() == 0
 
 
+def test_vectors_without_id_cut_off_no_others(spark):
+    rng = np.random.default_rng(23)
+    m = 1 + rng.normal(scale=0.02, size=(40, 16))
+    # Of four vectors three have no id, so that in some label one of those is the first of a tile.
+    rows = [(100 * k + i if i % 4 == 0 else None, [float(x) for x in m[i] + k * (np.arange(16) % 2)], k) for i in range(40) for k in range(8)]
+    # One without id between two that are not near each other.
+    for k in range(8, 16):
+        x, y, z = ([math.cos(t), math.sin(t)] + [0.0] * 14 for t in (k, k + 0.3, k + 0.6))
+        rows += [(100 * k, x, k), (None, y, k), (100 * k + 1, z, k)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for tile in (2048, 8):
+        out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(v, tile=tile).where("vec_id is not null").collect()}
+        want = {100 * k + i: (39, 100 * k, i == 0) for k in range(8) for i in range(0, 40, 4)}
+        assert out == want | {100 * k + i: (1, 100 * k + i, True) for k in range(8, 16) for i in (0, 1)}
+
+
 def test_int8_bound_holds():
     rng = np.random.default_rng(14)
     x = rng.normal(size=(300, 24))
