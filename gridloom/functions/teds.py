@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.functions.html import SECTIONS, Node, span_of, table_of
+import numpy as np
 
-#: Nodes of the largest tree compared; the cost grows with their product.
-MOST_NODES = 4000
+from gridloom.functions.html import CELLS, Node, Table, span_of, table_of
+
+#: What of a table's tree is a node of its own.
+PARTS = ("tr", "thead", "tbody", *CELLS)
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -20,87 +22,106 @@ def levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
-def labelled(node: Node) -> tuple[list[tuple], list[int]]:
-    """Labels in postorder and of each node its leftmost leaf. Only rows, cells, head and body are nodes."""
-    labels: list[tuple] = []
-    first: list[int] = []
-
-    def visit(n: Node) -> int:
-        leaf = -1
-        for c in n.nodes():
-            if c.tag in ("tr", "td", "th", "thead", "tbody") and c.tag != SECTIONS[2]:
-                low = visit(c)
-                leaf = low if leaf < 0 else leaf
-        text = " ".join(n.text().split()) if n.tag in ("td", "th") else ""
-        labels.append((n.tag, span_of(n, "colspan"), span_of(n, "rowspan"), text))
-        first.append(leaf if leaf >= 0 else len(labels) - 1)
-        return first[-1]
-
-    visit(node)
-    return labels, first
+class Shapes:
+    """A tree in postorder, its equal subtrees known as one shape.
 
+    shape: of each node its shape; size: nodes of its subtree; of the shapes by number: label, nodes (the
+    shapes in postorder, the root's last) and the sizes beside them.
+    """
 
-def rename_cost(a: tuple, b: tuple, structure_only: bool) -> float:
+    def __init__(self, root: Node, structure_only: bool):
+        self.shape: list[int] = []
+        self.size: list[int] = []
+        self.labels: list[tuple] = []
+        self.trees: list[tuple[np.ndarray, np.ndarray]] = []
+        known: dict[tuple, int] = {}
+        stack: list[tuple[Node, list[Node], list[int], int]] = [(root, self._parts(root), [], 0)]
+        while stack:
+            node, left, done, start = stack[-1]
+            if left:
+                child = left.pop()
+                stack.append((child, self._parts(child), [], len(self.shape)))
+                continue
+            stack.pop()
+            cell = node.tag in CELLS
+            spans = (span_of(node, "colspan"), span_of(node, "rowspan")) if cell else (1, 1)
+            label = (node.tag, *spans, node.text() if cell and not structure_only else "")
+            shape = known.setdefault((label, *done), len(known))
+            self.shape.append(shape)
+            self.size.append(len(self.shape) - start)
+            if shape == len(self.labels):
+                self.labels.append(label)
+                self.trees.append((np.array(self.shape[start:]), np.array(self.size[start:])))
+            if stack:
+                stack[-1][2].append(shape)
+
+    @staticmethod
+    def _parts(node: Node) -> list[Node]:
+        return [] if node.tag in CELLS else [c for c in node.nodes() if c.tag in PARTS][::-1]
+
+    def __len__(self) -> int:
+        return len(self.shape)
+
+
+def rename_cost(a: tuple, b: tuple) -> float:
     if a[:3] != b[:3]:
         return 1.0
-    if structure_only or a[0] not in ("td", "th") or not (a[3] or b[3]):
+    if a[3] == b[3]:
         return 0.0
     return levenshtein(a[3], b[3]) / max(len(a[3]), len(b[3]))
 
 
-def tree_distance(x: tuple[list[tuple], list[int]], y: tuple[list[tuple], list[int]], structure_only: bool = True) -> float:
+def tree_distance(x: Shapes, y: Shapes) -> float:
     """Least cost to turn one ordered tree into the other by renaming, deleting and inserting nodes.
 
-    Keyroot by keyroot: forests are prefixes in postorder of the trees below a pair of keyroots.
+    Of every pair of shapes, small ones first: the forests are the prefixes of both postorders; a pair of
+    nodes either leaves the forests as they are before both subtrees, at the subtrees' own distance, or loses
+    one node. A row of the table is one numpy pass: an insertion's run is a running minimum.
     """
-    (lx, fx), (ly, fy) = x, y
-    n, m = len(lx), len(ly)
-    roots = lambda first: sorted({f: i for i, f in enumerate(first)}.values())
-    tree = [[0.0] * m for _ in range(n)]
-    for i in roots(fx):
-        for j in roots(fy):
-            a, b = fx[i], fy[j]
-            rows, cols = i - a + 2, j - b + 2
-            d = [[0.0] * cols for _ in range(rows)]
-            for p in range(1, rows):
-                d[p][0] = p
-            d[0] = [float(q) for q in range(cols)]
-            for p in range(1, rows):
-                u = a + p - 1
-                for q in range(1, cols):
-                    v = b + q - 1
-                    least = min(d[p - 1][q], d[p][q - 1]) + 1
-                    if fx[u] == a and fy[v] == b:
-                        least = min(least, d[p - 1][q - 1] + rename_cost(lx[u], ly[v], structure_only))
-                        tree[u][v] = least
-                    else:
-                        least = min(least, d[fx[u] - a][fy[v] - b] + tree[u][v])
-                    d[p][q] = least
-    return tree[n - 1][m - 1]
+    between = np.zeros((len(x.labels), len(y.labels)))
+    order = lambda t: sorted(range(len(t.trees)), key=lambda s: len(t.trees[s][0]))
+    right = order(y)
+    for s in order(x):
+        nodes, sizes = x.trees[s]
+        n = len(nodes)
+        for t in right:
+            other, their = y.trees[t]
+            m = len(other)
+            if n == m == 1:
+                between[s, t] = rename_cost(x.labels[s], y.labels[t])
+                continue
+            step = np.arange(m + 1.0)
+            before = np.arange(m) + 1 - their
+            d = np.empty((n + 1, m + 1))
+            d[0] = step
+            for p in range(1, n + 1):
+                both = d[p - sizes[p - 1], before] + between[nodes[p - 1], other]
+                if p == n:
+                    both[-1] = d[n - 1, m - 1] + rename_cost(x.labels[s], y.labels[t])
+                d[p, 0] = p
+                d[p, 1:] = np.minimum(both, d[p - 1, 1:] + 1)
+                d[p] = np.minimum.accumulate(d[p] - step) + step
+            between[s, t] = d[n, m]
+    return float(between[x.shape[-1], y.shape[-1]])
+
+
+def similarity(guess: Table | None, truth: Table, structure_only: bool = True) -> float:
+    """1 - distance / nodes of the larger tree, at least 0; no table predicted is 0."""
+    if guess is None:
+        return 0.0
+    x, y = Shapes(guess.root, structure_only), Shapes(truth.root, structure_only)
+    return max(0.0, 1.0 - tree_distance(x, y) / max(len(x), len(y)))
 
 
 def score(pred: str | None, true: str, structure_only: bool = True) -> float:
-    """1 - distance / nodes of the larger tree, at least 0; no table predicted is 0; no true table raises."""
+    """similarity() of two tables as HTML; no true table raises."""
     truth = table_of(true)
     if truth is None:
         raise ValueError("the true html holds no table")
-    guess = table_of(pred)
-    if guess is None:
-        return 0.0
-    x, y = labelled(guess), labelled(truth)
-    most = max(len(x[0]), len(y[0]))
-    if structure_only:
-        x, y = (([(*t[:3], "") for t in z[0]], z[1]) for z in (x, y))
-    if x == y:
-        return 1.0
-    if most > MOST_NODES:
-        raise ValueError(f"a table of {most} nodes is over the limit of {MOST_NODES}")
-    return max(0.0, 1.0 - tree_distance(x, y, structure_only) / most)
+    return similarity(table_of(pred), truth, structure_only)
 
 
 def batch(preds: list[str], trues: list[str], structure_only: bool = True) -> list[float]:
     """Scores of pairs; a pair without a true table is 0."""
-    out = []
-    for p, t in zip(preds, trues, strict=True):
-        out.append(score(p, t, structure_only) if table_of(t) is not None else 0.0)
-    return out
+    truths = map(table_of, trues)
+    return [0.0 if t is None else similarity(table_of(p), t, structure_only) for p, t in zip(preds, truths, strict=True)]

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.kinds import folded, norm, plurality
 from gridloom.functions.text import outer_json
+from gridloom.operators.folds import Rows, by_page
 
 # The payload's fields.
 CELL = "struct<r:int,c:int,rs:int,cs:int,h:boolean,t:string,b:array<double>,p:int,f:array<int>>"
@@ -47,20 +49,26 @@ def positions(c: DataFrame, *keys: str) -> DataFrame:
 
 
 def occupancy(c: DataFrame) -> DataFrame:
-    """The cells that stand in the grid: by (r, c, ord), a cell stands if no standing one covers its corner.
-
-    A fold over a table's cells, whose state are those that stand.
-    """
-    geometry = F.struct("r", "c", "ord", "rs", "cs")
-    lists = _sane(c).groupBy("doc_id").agg(F.array_sort(F.collect_list(geometry)).alias("s"))
-    kind = "array<struct<r:int,c:int,ord:int,rs:int,cs:int>>"
-
-    def step(a: Column, e: Column) -> Column:
-        over = F.exists(a, lambda s: (s["r"] <= e["r"]) & (e["r"] < s["r"] + s["rs"]) & (s["c"] <= e["c"]) & (e["c"] < s["c"] + s["cs"]))
-        return F.when(over, a).otherwise(F.array_append(a, e))
-
-    standing = lists.select("doc_id", F.explode(F.aggregate(F.col("s").cast(kind), F.array().cast(kind), step)).alias("e")).select("doc_id", "e.*")
-    return standing.join(c.drop("r", "c", "rs", "cs"), ["doc_id", "ord"])
+    """The cells that stand in the grid: by (r, c, ord), a cell stands if no standing one covers its corner."""
+
+    def fold(rows: Rows, at: np.ndarray) -> tuple[np.ndarray, Rows]:
+        r, c_, rs, cs, ord_ = (np.asarray(rows[n]).astype(np.int64) for n in ("r", "c", "rs", "cs", "ord"))
+        order = np.lexsort((ord_, c_, r, np.repeat(np.arange(len(at) - 1), np.diff(at))))
+        stand = []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            # Rows come from the top: a standing cell is over a corner if it has the column and ends below.
+            above: list[tuple[int, int, int]] = []
+            row = -1
+            for i in order[a:b].tolist():
+                y, x = r[i], c_[i]
+                if y > row:
+                    above, row = [s for s in above if s[2] > y], y
+                if not any(low <= x < high for low, high, _ in above):
+                    above.append((x, x + cs[i], y + rs[i]))
+                    stand.append(i)
+        return np.array(stand, np.int64), {}
+
+    return by_page(_sane(c), ["doc_id"], fold)
 
 
 def dims(payloads: DataFrame, c: DataFrame) -> DataFrame:

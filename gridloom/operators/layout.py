@@ -7,11 +7,14 @@ current row's mean.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.boxes import beside_separator, column_index
 from gridloom.functions.kinds import VALUE_KINDS, induced, kind_of
+from gridloom.operators.folds import Rows, by_page, medians, numbers
 
 KEY = ["doc_id", "page"]
 # Labels that mark a summary row.
@@ -51,25 +54,28 @@ def with_columns_of(words: DataFrame, col_gap: float = 1.0) -> DataFrame:
 
 def with_rows_of(words: DataFrame, row_tol: float = 0.6) -> DataFrame:
     """words with row: a word, from top to bottom, joins the current row while its centre is within row_tol
-    line heights of the row's mean, else opens the next one."""
-    centre = words.withColumn("cy", F.col("y") + F.col("h") / 2)
-    pages = centre.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("cy", "ord"))).alias("s"), F.coalesce(F.percentile(F.when(F.col("h") > 0, F.col("h")), 0.5), F.lit(1.0)).alias("height"))
-    tol = F.col("height") * row_tol
-
-    def step(a: Column, e: Column) -> Column:
-        stays = (a["n"] > 0) & (F.abs(e["cy"] - a["sum"] / F.greatest(a["n"], F.lit(1))) <= tol)
-        row = F.when(stays, a["row"]).otherwise(a["row"] + 1)
-        return F.struct(
-            F.when(stays, a["sum"] + e["cy"]).otherwise(e["cy"]).alias("sum"),
-            F.when(stays, a["n"] + 1).otherwise(1).alias("n"),
-            row.alias("row"),
-            F.concat(a["out"], F.array(F.struct(e["ord"].alias("ord"), row.alias("row")))).alias("out"),
-        )
-
-    kind = dict(words.dtypes)["ord"]
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("row"), F.array().cast(f"array<struct<ord:{kind},row:int>>").alias("out"))
-    placed = pages.select(*KEY, F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("o")).select(*KEY, "o.ord", "o.row")
-    return _both(words, placed, more=("ord",))
+    median heights of the row's mean, else opens the next one. A word without place opens a row of its own,
+    after all others."""
+
+    def fold(rows: Rows, at: np.ndarray) -> tuple[None, Rows]:
+        page = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        height = numbers(rows["h"])
+        centre, ord_ = numbers(rows["y"]) + height / 2, np.asarray(rows["ord"])
+        order = np.lexsort((ord_, centre, page))
+        row = np.empty(len(order), np.int32)
+        tolerance = medians(height, page, len(at) - 1, 1.0) * row_tol
+        for p in range(len(at) - 1):
+            found, total, n, now = [], 0.0, 0, -1
+            for cy in centre[order[at[p] : at[p + 1]]].tolist():
+                if n and abs(cy - total / n) <= tolerance[p]:
+                    total, n = total + cy, n + 1
+                else:
+                    total, n, now = cy, 1, now + 1
+                found.append(now)
+            row[order[at[p] : at[p + 1]]] = found
+        return None, {"row": pa.array(row, pa.int32())}
+
+    return by_page(words, KEY, fold, "row int")
 
 
 def placed(words: DataFrame, row_tol: float = 0.6, col_gap: float = 1.0) -> DataFrame:

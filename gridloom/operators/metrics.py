@@ -10,11 +10,12 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gridloom.functions import teds
+from gridloom.functions.html import CELL, exploded, table_of
 from gridloom.functions.kinds import folded
-from gridloom.functions.html import cells as html_cells
+from gridloom.sources.scratch import kept
 
 #: Resamples, confidence and seed of the bootstrap.
 RESAMPLES, CONFIDENCE, SEED = 2000, 0.95, 0
@@ -72,17 +73,29 @@ def schema_match(pred: DataFrame, true: DataFrame) -> DataFrame:
 @F.pandas_udf(DoubleType())
 def teds_score(pred: pd.Series, true: pd.Series) -> pd.Series:
     """Structure similarity; a pair without a true table is null."""
-    return pd.Series([teds.score(p, t) if teds.table_of(t) is not None else None for p, t in zip(pred, true, strict=True)], dtype="float64")
+    pairs = ((table_of(p), table_of(t)) for p, t in zip(pred, true, strict=True))
+    return pd.Series([None if t is None else teds.similarity(p, t) for p, t in pairs], dtype="float64")
+
+
+def _judged(pred: str | None, true: str | None) -> dict:
+    guess, truth = table_of(pred), table_of(true)
+    cells = lambda t: [] if t is None else [dict(zip(CELL.names, c, strict=True)) for c in t.cells()]
+    return {"teds_struct": None if truth is None else teds.similarity(guess, truth), "pred": cells(guess), "true": cells(truth)}
+
+
+#: Both tables' cells and their structure similarity, from one parse of each.
+judged = F.udf(_judged, StructType([StructField("teds_struct", DoubleType()), StructField("pred", ArrayType(CELL)), StructField("true", ArrayType(CELL))]), useArrow=True)
 
 
 def evaluate(records: DataFrame, predictions: DataFrame) -> DataFrame:
     """Scores of each record (uid, html, difficulty, n_spanning, image_path); a missing prediction is ''.
 
-    predictions: (uid, html).
+    predictions: (uid, html). What is read of both tables is written once; the scores start from there.
     """
     both = records.join(predictions.select("uid", F.col("html").alias("pred_html")), "uid", "left").withColumn("pred_html", F.coalesce("pred_html", F.lit(""))).withColumnRenamed("html", "true_html")
-    true, pred = html_cells(both, "uid", "true_html"), html_cells(both, "uid", "pred_html")
-    out = both.withColumn("teds_struct", teds_score("pred_html", "true_html")).withColumn("parse_failed", F.trim("pred_html") == "")
+    seen = kept(both.withColumn("_j", judged("pred_html", "true_html")))
+    true, pred = (exploded(seen.select("uid", F.col(f"_j.{side}").alias("cells")), "uid", "cells") for side in ("true", "pred"))
+    out = seen.withColumn("teds_struct", F.col("_j.teds_struct")).drop("_j").withColumn("parse_failed", F.trim("pred_html") == "")
     out = out.join(placement(pred, true).select("uid", "content_placement", "blank_preservation"), "uid", "left")
     out = out.join(spans(pred, true).select("uid", "span_recall", "span_f1"), "uid", "left")
     out = out.join(schema_match(pred, true).select("uid", F.col("cols_correct").alias("schema_cols_correct")), "uid", "left")
@@ -181,8 +194,8 @@ def cases(results: DataFrame, limit: int | None = None, hardest_first: bool = Tr
 
 
 def rewards(cells: DataFrame) -> DataFrame:
-    """(uid, validity, total_error): self-checks of one table. validity: half for any cell, a quarter for two
-    rows and columns, a quarter by the share of filled cells. total_error: 1 - relative error of the last
+    """(uid, validity, total_reconciles): self-checks of one table. validity: half for any cell, a quarter for two
+    rows and columns, a quarter by the share of filled cells. total_reconciles: 1 - relative error of the last
     total row against the sum of the rows above in the rightmost numeric column; null without one."""
     from gridloom.functions.kinds import number  # noqa: PLC0415
 
@@ -211,9 +224,9 @@ def adjacency(cells: DataFrame) -> DataFrame:
     """(uid, a, b, direction): neighbouring non-blank texts in rows and columns."""
     c = cells.where("trim(text) <> ''").select("uid", "row", "col", "rowspan", "colspan", folded(F.col("text")).alias("t"))
     o = c.select("uid", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("t").alias("t2"))
-    right = c.join(o.withColumnRenamed("r2", "row"), ["uid", "row"]).where("c2 = col + colspan").select("uid", F.col("t").alias("a"), F.col("t2").alias("b"), F.lit("right").alias("direction"))
-    down = c.join(o.withColumnRenamed("c2", "col"), ["uid", "col"]).where("r2 = row + rowspan").select("uid", F.col("t").alias("a"), F.col("t2").alias("b"), F.lit("down").alias("direction"))
-    return right.unionByName(down)
+    beside = F.explode(F.array(F.struct("row", (F.col("col") + F.col("colspan")).alias("col"), F.lit("right").alias("direction")), F.struct((F.col("row") + F.col("rowspan")).alias("row"), "col", F.lit("down").alias("direction"))))
+    at = c.select("uid", F.col("t").alias("a"), beside.alias("n")).select("uid", "a", "n.direction", F.col("n.row").alias("r2"), F.col("n.col").alias("c2"))
+    return at.join(o, ["uid", "r2", "c2"]).select("uid", "a", F.col("t2").alias("b"), "direction")
 
 
 def adjacency_f1(pred: DataFrame, true: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def test_teds_against_the_definition():
 
     for _ in range(40):
         (ha, ta), (hb, tb) = table(), table()
-        x, y = teds.labelled(teds.table_of(ha)), teds.labelled(teds.table_of(hb))
+        x, y = (teds.Shapes(teds.table_of(h).root, True) for h in (ha, hb))
         assert teds.tree_distance(x, y) == brute_distance(ta, tb)
     assert teds.score(ha, ha) == 1.0 and teds.score(None, ha) == 0.0
     with pytest.raises(ValueError):
@@ -92,6 +92,34 @@ def test_teds_against_the_definition():
     assert teds.levenshtein("kitten", "sitting") == 3 and teds.batch([ha], ["none"]) == [0.0]
 
 
+def test_teds_of_texts_and_of_a_large_table():
+    a, b = ("<table>" + "".join(f"<tr><td>{x}<td>{y}</tr>" for x, y in rows) + "</table>" for rows in ([("ab", "c"), ("d", "")], [("abc", "c"), ("d", "e")]))
+    assert teds.score(a, b, structure_only=False) == pytest.approx(1 - (1 / 3 + 1) / 7)
+    row = "<tr>" + "<td>v" * 10 + "</tr>"
+    large, other = f"<table>{row * 400}</table>", f"<table>{row * 200}<tr><th>v</tr>{row * 199}</table>"
+    assert teds.score(other, large) == pytest.approx(1 - 10 / 4401)
+
+
+def test_long_spans_cost_nothing():
+    html = "<table><tr><td rowspan=1000000000 colspan=1000000000>a<td>b</tr><tr><td>c</tr></table>"
+    assert [c[:4] for c in H.cells_of(html)] == [(0, 0, 10**9, 10**9), (0, 10**9, 1, 1), (1, 10**9, 1, 1)]
+
+
+def test_cells_against_a_set_of_positions():
+    rng = random.Random(11)
+    for _ in range(200):
+        rows = [[(rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 2, 3])) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(1, 6))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td rowspan={a} colspan={b}>x" for a, b in r) + "</tr>" for r in rows) + "</table>"
+        taken, want = set(), []
+        for y, r in enumerate(rows):
+            x = 0
+            for down, right in r:
+                x = next(k for k in range(x, 99) if (y, k) not in taken)
+                taken |= {(y + i, x + j) for i in range(down) for j in range(right)}
+                want.append((y, x, down, right))
+        assert [c[:4] for c in H.cells_of(html)] == want
+
+
 def test_cleaning(spark):
     t = "<table><tr><td>1</td></tr></table>"
     raws = [t, f"```html\n{t}\n```", f"see {t} end", "none", "", "<TABLE><tr>", f"```\nno\n```\n```\n{t}\n```", None]
