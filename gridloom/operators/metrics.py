@@ -130,7 +130,7 @@ def poisson_intervals(results: DataFrame, group: list[str], value: str, key: str
 
     The weight of a row in a resample comes from a hash of its key and the resample's number.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("b")), F.lit(1 << 40)) / float(1 << 40)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("b").cast("string"))), 1, 10), 16, 10).cast("double") / float(1 << 40)
     steps, total, term = [], 0.0, 0.36787944117144233  # exp(-1)
     for k in range(8):
         total += term

@@ -58,6 +58,30 @@ def reads(word: DataFrame) -> DataFrame:
     return each.select("doc_id", "page", (F.col("read") * 100000 + F.col("ord")).alias("ord"), F.when(wrong, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("text"), (F.col("x") + F.col("read")).alias("x"), "y", "w", "h")
 
 
+def moved_reads(word: DataFrame) -> DataFrame:
+    """Three reads of each word, 20 to 49 hundredths of its width apart by the part's key; rows from the fourth on
+    are on a second page, and the third read misreads where the key is a multiple of 4."""
+    each = word.withColumn("read", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    wrong = (F.col("read") == 2) & (F.col("pk") % 4 == 0)
+    x = F.col("x") + F.col("read") * F.col("w") * (20 + F.col("pk") % 30) / 100.0
+    return each.select("doc_id", F.when(F.col("row") >= 3, 2).otherwise(1).alias("page"), (F.col("read") * 100000 + F.col("ord")).alias("ord"), F.when(wrong, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("text"), x.alias("x"), "y", "w", "h")
+
+
+def tilted(word: DataFrame) -> DataFrame:
+    return word.withColumn("y", (F.col("row") * 20 + (F.col("pk") * 7 + F.col("col") * 5) % 17).cast("double"))
+
+
+# Shapes of a model's answer around a text (@).
+TABLE_ANSWERS = (
+    "Here it is:\n```html\n<table><tr><td>@</td></tr></table>\n```\nThat is all.",
+    "  <TABLE><tr><td>@</td></tr></Table> and more",
+    "```\n@\n```\nthen\n```html\nsee <table><tr><td>@</td></tr></table> </table> end\n```",
+    "cut off: <table><tr><td>@ \n",
+    "@",
+)
+THOUGHTS = ("<THINK>first\nthis</think> answer @", "@<think>a</think>b<think>\nc</Think>\n", "<think>never closed @ ", " \t@\r\n", "<think>@</think>")
+
+
 def cell_list(word: DataFrame) -> DataFrame:
     """(doc_id, ord, r, c, rs, cs, h, t, b, p, f): a cell for each word, citing it."""
     box = F.array(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"))

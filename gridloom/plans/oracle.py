@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans.fixtures import LINES
+from gridloom.plans.fixtures import LINES, TABLE_ANSWERS, THOUGHTS
 
 _BASE = f"""lines AS ({LINES.format(lineitem="lineitem", part="part")}),
 tru0 AS (SELECT uid, pk, row, unnest(range(7)) AS col, unnest([name, qty, price, flag, tax, disc, status]) AS text FROM lines),
@@ -13,17 +13,28 @@ words AS (SELECT uid AS doc_id, row * 7 + col AS ord, text, CAST(col * 100 + pk
 
 
 def with_base(*more: str, last: str) -> str:
-    return "WITH " + ",\n".join([_BASE, *more]) + "\n" + last
+    return "WITH RECURSIVE " + ",\n".join([_BASE, *more]) + "\n" + last
 
 
 def kind(t: str) -> str:
     """A value's kind."""
     return f"""CASE WHEN {t} = '' THEN 'other' WHEN contains({t}, '%') AND regexp_matches({t}, '^[-+(]?\\s*\\d[\\d,]*\\.?\\d*\\s*%\\)?$') THEN 'percent'
- WHEN regexp_matches({t}, '^\\d{{1,4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,4}}$') THEN 'date'
+ WHEN regexp_matches({t}, '^\\d{{1,4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,4}}$') OR regexp_matches({t}, '(?i)^\\d{{1,2}}[-\\s](jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*([-\\s,]*\\d{{2,4}})?$') THEN 'date'
  WHEN regexp_matches({t}, '[$€£¥₩₹฿]') OR regexp_matches({t}, '^\\(?[-+]?\\s*\\d{{1,3}}(,\\d{{3}})+(\\.\\d+)?\\)?$') OR regexp_matches({t}, '^\\(\\s*[-+]?\\d[\\d,]*\\.?\\d*\\s*\\)$') THEN 'amount'
  WHEN regexp_matches({t}, '^[-+]?\\d+(\\.\\d+)?$') THEN 'numeric' WHEN length({t}) = 1 OR (length({t}) <= 2 AND NOT regexp_matches({t}, '\\d')) THEN 'symbol' ELSE 'text' END"""
 
 
+def norm(t: str) -> str:
+    """White space of any script collapsed."""
+    return f"trim(regexp_replace({t}, '[\\t-\\r \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+def shapes(texts: tuple[str, ...]) -> str:
+    """Every turn's text in one of several shapes."""
+    quoted = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+    return f"r AS (SELECT conv_id, turn, replace([{quoted}][CAST((conv_id + turn) % {len(texts)} + 1 AS INT)], '@', text) AS raw FROM conversations)"
+
+
 _PLACED = """b AS (SELECT t.uid, t.row, t.col, lower(t.text) AS t, coalesce(lower(p.text), '') AS p FROM tru t LEFT JOIN pred p ON t.uid = p.uid AND t.row = p.row AND t.col = p.col),
 s AS (SELECT uid, count(*) FILTER (t <> '' AND t = p) AS placed, count(*) FILTER (t <> '') AS texts, count(*) FILTER (t = '' AND p = '') AS kept, count(*) FILTER (t = '') AS blanks FROM b GROUP BY uid),
 m AS (SELECT *, CASE WHEN texts = 0 THEN 1.0::DOUBLE ELSE placed / texts::DOUBLE END AS content_placement, CASE WHEN blanks = 0 THEN 1.0::DOUBLE ELSE kept / blanks::DOUBLE END AS blank_preservation FROM s),
@@ -65,8 +76,8 @@ ORACLES["compare_delta"] = with_base(
 )
 ORACLES["classify_kind_hist"] = with_base(last=f"SELECT col, {kind('text')} AS kind, count(*) AS n FROM tru GROUP BY ALL")
 ORACLES["kind_of_words"] = f"""
-WITH w AS (SELECT unnest(string_split_regex(text, '\\s+')) AS t FROM documents), d AS (SELECT t, count(*) AS n FROM w WHERE t <> '' AND regexp_matches(t, '^[\\x21-\\x7E]+$') GROUP BY t)
-SELECT {kind('t')} AS kind, count(*) AS n_words, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY ALL"""
+WITH w AS (SELECT unnest(string_split_regex(text, '[\\t-\\r ]+')) AS t FROM documents), d AS (SELECT t, {norm('t')} AS s, count(*) AS n FROM w WHERE t <> '' GROUP BY t)
+SELECT {kind('s')} AS kind, count(*) AS n_words, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY ALL"""
 ORACLES["induce_kind"] = with_base(
     f"v AS (SELECT uid, col, {kind('text')} AS kind, row FROM tru WHERE text <> ''), c AS (SELECT uid, col, kind, count(*) AS n, min(row) AS f FROM v GROUP BY ALL), b AS (SELECT uid, col, kind, row_number() OVER (PARTITION BY uid, col ORDER BY n DESC, f) AS k FROM c)",
     last="SELECT t.uid, t.col, coalesce(b.kind, 'other') AS kind FROM (SELECT DISTINCT uid, col FROM tru) t LEFT JOIN b ON b.uid = t.uid AND b.col = t.col AND b.k = 1",
@@ -98,7 +109,13 @@ ORACLES["grid_complete"] = with_base(
     "g AS (SELECT doc_id, row, gcol AS col, string_agg(text, ' ' ORDER BY x, ord) AS text FROM plc GROUP BY ALL), e AS (SELECT doc_id, row, unnest(range(n_cols)) AS col FROM (SELECT DISTINCT doc_id, row FROM plc) JOIN nc USING (doc_id))",
     last="SELECT e.doc_id, e.row, CAST(e.col AS INT) AS col, coalesce(g.text, '') AS text FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.row = e.row AND g.col = e.col",
 )
-ORACLES["cluster_rows"] = with_base(last="SELECT doc_id, ord, row FROM words")
+ORACLES["cluster_rows"] = with_base(
+    """q AS (SELECT doc_id, ord, row * 20 + (pk * 7 + col * 5) % 17 + h / 2 AS cy, row_number() OVER (PARTITION BY doc_id ORDER BY row * 20 + (pk * 7 + col * 5) % 17, ord) AS k FROM words)""",
+    """f AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 0::BIGINT AS ord, 0.0::DOUBLE AS total, 0::BIGINT AS n, -1 AS row FROM q UNION ALL
+  SELECT q.doc_id, q.k, q.ord, CASE WHEN stays THEN total + cy ELSE cy END, CASE WHEN stays THEN n + 1 ELSE 1 END, CASE WHEN stays THEN row ELSE row + 1 END
+  FROM (SELECT q.doc_id, q.k, q.ord, q.cy, f.total, f.n, f.row, f.n > 0 AND abs(q.cy - f.total / greatest(f.n, 1)) <= 12.0::DOUBLE * 0.6::DOUBLE AS stays FROM f JOIN q ON q.doc_id = f.doc_id AND q.k = f.k + 1) q)""",
+    last="SELECT doc_id, ord, row FROM f WHERE k > 0",
+)
 _TRACKS = _COLS + """,
 nr AS (SELECT doc_id, count(DISTINCT row) AS n_rows FROM plc GROUP BY doc_id),
 tr AS (SELECT doc_id, gcol AS col, min(x) AS x1, max(x + w) AS x2, count(DISTINCT row) AS fill FROM plc GROUP BY ALL)"""
@@ -117,9 +134,31 @@ ORACLES["pitch"] = with_base(
     "rc AS (SELECT doc_id, row, avg(y + h / 2) AS cy FROM words GROUP BY ALL), g AS (SELECT doc_id, cy - lag(cy) OVER (PARTITION BY doc_id ORDER BY cy) AS gap FROM rc)",
     last="SELECT doc_id, round(coalesce(quantile_cont(gap, 0.5) FILTER (gap > 0), 12.0), 6) AS pitch FROM g GROUP BY doc_id",
 )
-ORACLES["merge_fragments"] = with_base(last="SELECT doc_id, count(*) AS fragments, count(*) FILTER (pk % 4 = 0) AS contested, round(sum(x + 1), 3) AS x_sum, round(sum(CASE WHEN pk % 4 = 0 THEN 2 / 3::DOUBLE ELSE 1 END), 6) AS conf_sum FROM words GROUP BY doc_id")
+ORACLES["merge_fragments"] = with_base(
+    """q AS (SELECT doc_id, CASE WHEN row >= 3 THEN 2 ELSE 1 END AS page, read * 100000 + ord AS ord, CASE WHEN read = 2 AND pk % 4 = 0 THEN text || '?' ELSE text END AS text, x + read * w * (20 + pk % 30) / 100.0 AS x, y, w, h
+  FROM words, (VALUES (0), (1), (2)) v(read)), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS k FROM q)""",
+    """f AS (SELECT DISTINCT doc_id, page, 0::BIGINT AS k, 0::BIGINT AS ord, 0::BIGINT AS cluster, CAST([] AS STRUCT(o BIGINT, x DOUBLE, y DOUBLE, u DOUBLE, v DOUBLE)[]) AS seeds FROM p UNION ALL
+  SELECT doc_id, page, k, ord, coalesce(hit, ord), CASE WHEN hit IS NULL THEN list_append(seeds, {'o': ord, 'x': x, 'y': y, 'u': u, 'v': v}) ELSE seeds END
+  FROM (SELECT p.doc_id, p.page, p.k, p.ord, p.x, p.y, p.x + p.w AS u, p.y + p.h AS v, f.seeds, list_filter(f.seeds, lambda s: greatest(0, least(s.u, p.x + p.w) - greatest(s.x, p.x)) * greatest(0, least(s.v, p.y + p.h) - greatest(s.y, p.y))
+    >= 0.5::DOUBLE * ((s.u - s.x) * (s.v - s.y) + p.w * p.h - greatest(0, least(s.u, p.x + p.w) - greatest(s.x, p.x)) * greatest(0, least(s.v, p.y + p.h) - greatest(s.y, p.y))))[1].o AS hit
+    FROM f JOIN p ON p.doc_id = f.doc_id AND p.page = f.page AND p.k = f.k + 1))""",
+    """c AS (SELECT f.doc_id, f.page, f.cluster, p.ord, p.text, p.x, p.y, p.w, p.h FROM f JOIN p ON p.doc_id = f.doc_id AND p.page = f.page AND p.ord = f.ord WHERE f.k > 0),
+t AS (SELECT doc_id, page, cluster, text, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT doc_id, page, cluster, max(n) / sum(n)::DOUBLE AS conf, count(*) > 1 AS contested FROM t GROUP BY ALL),
+b AS (SELECT doc_id, page, cluster, avg(x) AS x, avg(y) AS y, avg(w) AS w, avg(h) AS h FROM c GROUP BY ALL),
+i AS (SELECT b.*, m.conf, m.contested, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.page, round(y + h / 2, 1), x + w / 2, b.cluster) - 1 AS id FROM b JOIN m USING (doc_id, page, cluster))""",
+    last="SELECT doc_id, count(*) AS fragments, count(*) FILTER (contested) AS contested, round(sum(x), 6) AS x_sum, round(sum(conf), 6) AS conf_sum, round(sum(id * conf * page), 6) AS order_sum FROM i GROUP BY doc_id",
+)
 ORACLES["fragment_identity"] = with_base(
-    last="""SELECT doc_id, count(*) FILTER (pk % 6 = 0) AS invented, count(*) FILTER (pk % 6 = 0) AS dropped FROM words GROUP BY doc_id HAVING count(*) FILTER (pk % 6 = 0) > 0""",
+    """c AS (SELECT doc_id, ord, CASE WHEN pk % 6 = 0 THEN [ord + 50000] WHEN pk % 9 = 1 THEN [ord, ord] WHEN pk % 10 = 3 THEN [] ELSE [ord] END AS f FROM words),
+refs AS (SELECT doc_id, ord, unnest(f) AS fid, unnest(range(len(f))) AS pos FROM c), known AS (SELECT *, row_number() OVER (PARTITION BY doc_id, fid ORDER BY ord, pos) AS n FROM refs r WHERE EXISTS (SELECT 1 FROM words w WHERE w.doc_id = r.doc_id AND w.ord = r.fid)),
+ign AS (SELECT doc_id, ord AS fid FROM words WHERE pk % 4 = 1 UNION ALL SELECT DISTINCT doc_id, 90000 FROM words),
+found AS (SELECT doc_id, 'uncited' AS k FROM c WHERE len(f) = 0
+  UNION ALL SELECT doc_id, 'invented' FROM refs r WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.doc_id = r.doc_id AND w.ord = r.fid)
+  UNION ALL SELECT doc_id, 'duplicated' FROM known WHERE n > 1
+  UNION ALL SELECT doc_id, 'unknown' FROM ign i WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.doc_id = i.doc_id AND w.ord = i.fid)
+  UNION ALL SELECT doc_id, 'both' FROM ign i WHERE EXISTS (SELECT 1 FROM known u WHERE u.doc_id = i.doc_id AND u.fid = i.fid)
+  UNION ALL SELECT doc_id, 'dropped' FROM words w WHERE NOT EXISTS (SELECT 1 FROM known u WHERE u.doc_id = w.doc_id AND u.fid = w.ord) AND NOT EXISTS (SELECT 1 FROM ign i WHERE i.doc_id = w.doc_id AND i.fid = w.ord))""",
+    last="SELECT doc_id, " + ", ".join(f"count(*) FILTER (k = '{k}') AS {k}" for k in ("uncited", "invented", "duplicated", "dropped", "both", "unknown")) + " FROM found GROUP BY doc_id",
 )
 ORACLES["fill_cells"] = with_base(last="SELECT doc_id, row AS r, string_agg(text, ' ' ORDER BY x, ord) AS t, min(x) AS x1, max(x + w) AS x2 FROM words GROUP BY ALL")
 ORACLES["vote_cells"] = with_base(
@@ -132,7 +171,11 @@ ORACLES["overlap_check"] = with_base(
     "c AS (SELECT doc_id, ord, row AS r, col AS c, CASE WHEN pk % 8 = 0 THEN 2 ELSE 1 END AS cs FROM words), p AS (SELECT doc_id, ord, r, c + i AS x FROM c, (VALUES (0), (1)) v(i) WHERE i < cs), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, r, x ORDER BY ord) AS n FROM p)",
     last="SELECT doc_id, count(*) AS overlaps FROM n WHERE n > 1 GROUP BY doc_id",
 )
-ORACLES["word_bag"] = with_base(last="SELECT doc_id, count(DISTINCT regexp_extract(text, '[^ ]+$')) AS invented FROM words WHERE pk % 6 = 0 GROUP BY doc_id")
+ORACLES["word_bag"] = with_base(
+    """c AS (SELECT doc_id, string_agg(CASE WHEN pk % 6 = 0 THEN text || '!' WHEN pk % 10 = 1 THEN 'zz' || substr(text, 2) ELSE text END, ' ' ORDER BY ord) AS joined, list_distinct(flatten(list(string_split(text, ' ')))) AS bag FROM words GROUP BY doc_id),
+n AS (SELECT doc_id, len(list_filter(list_distinct(string_split(joined, ' ')), lambda t: t <> '' AND NOT list_contains(bag, t))) AS invented, (SELECT count(*) FROM words w WHERE w.doc_id = c.doc_id AND NOT contains(c.joined, w.text)) AS dropped FROM c)""",
+    last="SELECT * FROM n WHERE invented + dropped > 0",
+)
 ORACLES["type_coherence"] = with_base(
     f"""v AS (SELECT uid, pk, row, col, text, {kind('text')} AS k FROM pred WHERE text <> ''), c AS (SELECT uid, col, k, count(*) AS n, min(row) AS f FROM v GROUP BY ALL),
 b AS (SELECT uid, col, k AS kind, row_number() OVER (PARTITION BY uid, col ORDER BY n DESC, f) AS o FROM c),
@@ -146,9 +189,10 @@ s AS (SELECT uid, col, count(*) AS n, max(v) FILTER (k = 1) AS t, max(abs(v)) FI
     last="SELECT uid AS doc_id, col AS c FROM s WHERE n >= 4 AND abs(t) >= 1.2 * s2 AND abs(t - rest) / greatest(abs(t), abs(rest), 1.0) > 0.005 AND abs(t - rest) / greatest(abs(t), abs(rest), 1.0) <= 0.08",
 )
 ORACLES["geometry_shift"] = with_base(
-    """c AS (SELECT doc_id, ord, row, CASE WHEN pk % 17 = 0 AND col > 0 THEN col - 1 ELSE col END AS c, x + w / 2 AS m FROM words), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, row, c ORDER BY ord) AS k FROM c) WHERE k = 1),
-q AS (SELECT doc_id, c, quantile_cont(m, 0.5) AS z FROM d GROUP BY ALL), n AS (SELECT d.doc_id, d.row, d.c, q.c AS near, row_number() OVER (PARTITION BY d.doc_id, d.row, d.c ORDER BY abs(q.z - d.m), q.c) AS k, count(*) OVER (PARTITION BY d.doc_id, d.row, d.c) AS nq FROM d JOIN q ON q.doc_id = d.doc_id)""",
-    last="SELECT doc_id, row AS r, c FROM n WHERE k = 1 AND nq >= 2 AND near <> c",
+    """c AS (SELECT doc_id, ord, row, CASE WHEN doc_id % 13 = 0 THEN 6 - col WHEN pk % 17 = 0 AND col > 0 THEN col - 1 ELSE col END AS c, x + w / 2 AS m FROM words), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, row, c ORDER BY ord) AS k FROM c) WHERE k = 1),
+q AS (SELECT doc_id, c, quantile_cont(m, 0.5) AS z FROM d GROUP BY ALL), n AS (SELECT d.doc_id, d.row, d.c, q.c AS near, row_number() OVER (PARTITION BY d.doc_id, d.row, d.c ORDER BY abs(q.z - d.m), q.c) AS k, count(*) OVER (PARTITION BY d.doc_id, d.row, d.c) AS nq FROM d JOIN q ON q.doc_id = d.doc_id),
+o AS (SELECT doc_id, c, z >= lead(z) OVER (PARTITION BY doc_id ORDER BY c) AS wrong FROM q)""",
+    last="SELECT doc_id, row AS r, c FROM n WHERE k = 1 AND nq >= 2 AND near <> c UNION ALL SELECT doc_id, NULL, c FROM o WHERE wrong",
 )
 ORACLES["schema_echo"] = with_base(last="SELECT d.doc_id, c.c FROM (SELECT DISTINCT doc_id FROM words) d, (SELECT unnest(range(7))::INT AS c) c WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.doc_id = d.doc_id AND w.col = c.c)")
 _TRIAL = f"""v AS (SELECT uid, pk, row, col, text, {kind('text')} AS k FROM pred WHERE text <> '' AND col >= 0),
@@ -174,10 +218,13 @@ ORACLES["iou_pairs"] = with_base(
     last="SELECT doc_id, a, b, round(n / (u - n), 6) AS iou FROM i WHERE n > 0",
 )
 ORACLES["levenshtein"] = "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
-ORACLES["clean_predictions"] = """
-WITH r AS (SELECT conv_id, turn, text FROM conversations)
-SELECT conv_id, turn, '<table><tr><td>' || text || '</td></tr></table>' AS html FROM r WHERE text IS NOT NULL AND NOT contains(lower(text), '<table') AND NOT contains(text, '```')"""
-ORACLES["strip_thinking"] = "SELECT conv_id, turn, regexp_replace(regexp_replace('answer ' || text, '^[ \\t\\n\\r]+', ''), '[ \\t\\n\\r]+$', '') AS text FROM conversations WHERE text IS NOT NULL AND NOT contains(lower(text), 'think>')"
+ORACLES["clean_predictions"] = f"""
+WITH {shapes(TABLE_ANSWERS)}, b AS (SELECT conv_id, turn, coalesce(list_filter(string_split(coalesce(raw, ''), '```'), lambda b, i: i % 2 = 0 AND contains(b, '<table'))[1], raw, '') AS s FROM r),
+t AS (SELECT conv_id, turn, instr(lower(s), '<table') AS start, substr(s, instr(lower(s), '<table')) AS body FROM b),
+c AS (SELECT *, instr(reverse(lower(body)), '>elbat/<') AS back FROM t)
+SELECT conv_id, turn, CASE WHEN start = 0 THEN '' ELSE regexp_replace(CASE WHEN back > 0 THEN substr(body, 1, length(body) - back + 1) ELSE body END, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g') END AS html FROM c"""
+ORACLES["strip_thinking"] = f"""
+WITH {shapes(THOUGHTS)} SELECT conv_id, turn, regexp_replace(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') AS text FROM r"""
 ORACLES["registry_gate"] = """
 SELECT * FROM (VALUES ('mineru-2.5-pro', 'reader', 'specialist'), ('paddleocr-vl-1.6', 'reader', 'specialist'), ('dots-ocr', 'reader', 'specialist'), ('glm-ocr', 'reader', 'specialist'), ('qwen3-vl-30b-a3b', 'anchor', 'generative'), ('qwen3-vl-8b', 'student', 'generative'), ('qwen3-vl-4b', 'student', 'generative')) t(name, role, backend)"""
 ORACLES["resume_anti_join"] = "SELECT doc_id AS uid, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
@@ -205,3 +252,50 @@ ORACLES["edge_accuracy"] = with_base(
 )
 
 ORACLES["pages_table_scan"] = "SELECT 'empty' AS bin, count(*) AS n FROM pages"
+
+_POISSON = []
+_total, _term = 0.0, 0.36787944117144233
+for _k in range(8):
+    _total += _term
+    _POISSON.append(f"CASE WHEN u >= {_total!r}::DOUBLE THEN 1 ELSE 0 END")
+    _term /= _k + 1
+ORACLES["bootstrap_poisson"] = with_base(
+    _PLACED, _RUN.replace("SELECT difficulty", "SELECT uid, difficulty"),
+    "d AS (SELECT uid, difficulty, content_placement AS v, b, CAST('0x' || substr(md5(uid || ':' || b), 1, 10) AS BIGINT)::DOUBLE / 1099511627776.0::DOUBLE AS u FROM e, (SELECT unnest(range(1, 21)) AS b))",
+    f"k AS (SELECT difficulty, b, {' + '.join(_POISSON)} AS w, v FROM d), r AS (SELECT difficulty, b, sum(w * v) / sum(w) AS m FROM k GROUP BY ALL)",
+    "l AS (SELECT difficulty, quantile_cont(m, 0.025::DOUBLE) AS lo, quantile_cont(m, 0.975::DOUBLE) AS hi FROM r GROUP BY ALL), g AS (SELECT difficulty, avg(content_placement) AS mean FROM e GROUP BY ALL)",
+    last="SELECT difficulty, round(mean, 6) AS mean, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high FROM g JOIN l USING (difficulty)",
+)
+ORACLES["grid_tokens"] = with_base(
+    """c AS (SELECT uid, row, col, colspan AS cs FROM tru WHERE NOT (col = 1 AND pk % 5 = 0) AND NOT (col = 2 AND pk % 11 = 0)),
+a AS (SELECT uid, row, col + i AS x, CASE WHEN i = 0 THEN 'C' ELSE 'L' END AS t FROM c, (VALUES (0), (1)) v(i) WHERE i < cs), d AS (SELECT uid, max(row) AS h, max(x) AS w FROM a GROUP BY uid),
+g AS (SELECT uid, w, unnest(range(w + 1)) AS x, row FROM (SELECT uid, w, unnest(range(h + 1)) AS row FROM d))""",
+    last="SELECT g.uid, string_agg(coalesce(a.t, 'E') || CASE WHEN g.x = g.w THEN ' NL' ELSE '' END, ' ' ORDER BY g.row, g.x) AS tokens FROM g LEFT JOIN a ON a.uid = g.uid AND a.row = g.row AND a.x = g.x GROUP BY g.uid",
+)
+_GRID = _COLS + """,
+gc AS (SELECT doc_id, row, gcol AS col, string_agg(text, ' ' ORDER BY x, ord) AS text FROM plc GROUP BY ALL), ge AS (SELECT doc_id, row, unnest(range(n_cols)) AS col FROM (SELECT DISTINCT doc_id, row FROM plc) JOIN nc USING (doc_id)),
+grid AS (SELECT e.doc_id, e.row, e.col, coalesce(g.text, '') AS text FROM ge e LEFT JOIN gc g ON g.doc_id = e.doc_id AND g.row = e.row AND g.col = e.col)"""
+ORACLES["layout_text"] = with_base(
+    _GRID, "w AS (SELECT *, max(length(text)) OVER (PARTITION BY doc_id, col) AS wide FROM grid), l AS (SELECT doc_id, row, rtrim(string_agg(text || repeat(' ', wide - length(text)), ' | ' ORDER BY col)) AS line FROM w GROUP BY ALL)",
+    last="SELECT doc_id, string_agg(line, chr(10) ORDER BY row) AS text FROM l GROUP BY doc_id",
+)
+_SURVEY = _GRID + f""",
+tk AS (SELECT doc_id, gcol AS col, {kind('text')} AS k, count(*) AS n, min(struct_pack(r := row, x := x, o := ord)) AS f FROM plc GROUP BY ALL), tkind AS (SELECT doc_id, col, arg_min(k, struct_pack(n := -n, f := f)) AS kind FROM tk GROUP BY ALL),
+tfill AS (SELECT doc_id, gcol AS col, count(DISTINCT row) / (max(nr))::DOUBLE AS o FROM plc JOIN (SELECT doc_id, count(DISTINCT row) AS nr FROM plc GROUP BY doc_id) USING (doc_id) GROUP BY ALL),
+anc AS (SELECT doc_id, col FROM (SELECT *, max(o) OVER (PARTITION BY doc_id) AS m, row_number() OVER (PARTITION BY doc_id ORDER BY o DESC, col) AS k FROM tfill) WHERE CASE WHEN m >= 0.8 THEN o >= 0.8 ELSE k = 1 END),
+cell AS (SELECT g.doc_id, g.row, g.col, g.text, {kind('g.text')} AS k, t.kind, a.col IS NOT NULL AS lead FROM grid g LEFT JOIN tkind t ON t.doc_id = g.doc_id AND t.col = g.col LEFT JOIN anc a ON a.doc_id = g.doc_id AND a.col = g.col),
+rk AS (SELECT doc_id, row, string_agg(text, '|' ORDER BY col) AS cells, count(*) FILTER (text <> '') AS n, arg_min(text, col) FILTER (text <> '') AS first, coalesce(bool_or(k IN ('numeric', 'amount', 'percent', 'symbol', 'date')) FILTER (text <> ''), false) AS value,
+  coalesce(bool_and(lead) FILTER (text <> ''), true) AS inside, coalesce(bool_or(kind IN ('numeric', 'amount', 'percent', 'symbol', 'date') AND k = kind) FILTER (text <> ''), false) AS body FROM cell GROUP BY ALL),
+rq AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN lower(trim(first)) IN ('total', 'totals', 'sum', 'subtotal', 'sub-total', 'final', 'balance', 'grand total') THEN 'summary' WHEN inside AND NOT value THEN 'section' ELSE 'data' END AS k0, min(row) FILTER (body) OVER (PARTITION BY doc_id) AS b FROM rk),
+sv AS (SELECT doc_id, row, cells, CASE WHEN row < coalesce(b, 1073741824) AND k0 <> 'empty' AND n >= 2 AND NOT body THEN 'header' ELSE k0 END AS kind FROM rq)"""
+ORACLES["page_survey"] = with_base(_SURVEY, last="SELECT s.doc_id, s.row, s.kind, s.cells, round(avg(w.y + w.h / 2), 6) AS cy FROM sv s JOIN words w ON w.doc_id = s.doc_id AND w.row = s.row GROUP BY ALL")
+_HTML = """hc AS (SELECT doc_id, row, col, '<td data-bbox="' || CAST(round_even(x + {dx}, 0) AS BIGINT) || ',' || CAST(round_even(y, 0) AS BIGINT) || ',' || CAST(round_even(x + {dx} + w, 0) AS BIGINT) || ',' || CAST(round_even(y + h, 0) AS BIGINT) || '">' || text || '</td>' AS s FROM words),
+hr AS (SELECT doc_id, unnest(range(max(row) + 1)) AS row FROM words GROUP BY doc_id), hg AS (SELECT doc_id, row, unnest(range(7)) AS col FROM hr),
+ht AS (SELECT g.doc_id, g.row, '<tr>' || string_agg(coalesce(c.s, '<td></td>'), '' ORDER BY g.col) || '</tr>' AS s FROM hg g LEFT JOIN hc c ON c.doc_id = g.doc_id AND c.row = g.row AND c.col = g.col GROUP BY ALL),
+html AS (SELECT doc_id, '<table>' || string_agg(s, '' ORDER BY row) || '</table>' AS html FROM ht GROUP BY doc_id)"""
+ORACLES["cells_html"] = with_base(_HTML.format(dx="0"), last="SELECT doc_id, html FROM html")
+ORACLES["skew"] = with_base(
+    "a AS (SELECT doc_id, -3.0::DOUBLE + 2 * 3.0::DOUBLE * i / 60 AS a, x + w / 2 AS cx, y + h / 2 AS cy FROM words, (SELECT unnest(range(61)) AS i)), b AS (SELECT doc_id, a, floor((cx * cos(radians(a)) + cy * sin(radians(a))) / 12.0::DOUBLE) AS bin, count(*) AS n FROM a GROUP BY ALL)",
+    "s AS (SELECT doc_id, a, sum(n * n) AS s FROM b GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, abs(a)) AS k FROM s)",
+    last="SELECT doc_id, round(a, 6) AS degrees FROM k WHERE k = 1",
+)

@@ -97,7 +97,7 @@ def classify_kind_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kind_of_words(spark: SparkSession, sf: str) -> DataFrame:
-    w = X.table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("t")).where(F.col("t").rlike(r"^[\x21-\x7E]+$"))
+    w = X.table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("t")).where("t <> ''")
     d = w.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     return d.groupBy(kind_of(F.col("t")).alias("kind")).agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n"))
 
@@ -175,7 +175,8 @@ def grid_complete(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cluster_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.with_rows_of(_words(spark, sf).drop("row", "col")).select("doc_id", "ord", "row")
+    """Words that lie up to 16 off their row's height of 20, so that rows run into each other."""
+    return layout.with_rows_of(X.tilted(_words(spark, sf)).drop("row", "col")).select("doc_id", "ord", "row")
 
 
 @query
@@ -206,8 +207,9 @@ def pitch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def merge_fragments(spark: SparkSession, sf: str) -> DataFrame:
-    m = fragments.merged(X.reads(_words(spark, sf)))
-    return m.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fragments"), F.count_if("contested").alias("contested"), F.round(F.sum("x"), 3).alias("x_sum"), F.round(F.sum("conf"), 6).alias("conf_sum"))
+    """Reads that lie 20 to 49 hundredths of a word apart, so that some overlap enough and others just not, on two pages."""
+    m = fragments.merged(X.moved_reads(_words(spark, sf)))
+    return m.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fragments"), F.count_if("contested").alias("contested"), F.round(F.sum("x"), 6).alias("x_sum"), F.round(F.sum("conf"), 6).alias("conf_sum"), F.round(F.sum(F.col("id") * F.col("conf") * F.col("page")), 6).alias("order_sum"))
 
 
 def _fragments(word: DataFrame) -> DataFrame:
@@ -217,9 +219,14 @@ def _fragments(word: DataFrame) -> DataFrame:
 @query
 def fragment_identity(spark: SparkSession, sf: str) -> DataFrame:
     word = _words(spark, sf)
-    cell = X.cell_list(word).withColumn("f", F.when(F.col("pk") % 6 == 0, F.array(F.col("ord") + 50000)).otherwise(F.array("ord")).cast("array<int>"))
-    found = C.identity(X.payloads(cell), _fragments(word))
-    return found.groupBy("doc_id").agg(F.count_if(F.col("message").endswith("(invented)")).alias("invented"), F.count_if(F.col("message").endswith("(dropped)")).alias("dropped"))
+    pk, own = F.col("pk"), F.col("ord").cast("int")
+    cited = F.when(pk % 6 == 0, F.array(own + 50000)).when(pk % 9 == 1, F.array(own, own)).when(pk % 10 == 3, F.array().cast("array<int>")).otherwise(F.array(own))
+    passed = word.groupBy("doc_id").agg(F.array_append(F.collect_list(F.when(pk % 4 == 1, own)), F.lit(90000)).alias("ignored"))
+    payload = X.payloads(X.cell_list(word).withColumn("f", cited)).join(passed, "doc_id").select("doc_id", F.col("payload").withField("ignored", F.col("ignored")).alias("payload"))
+    found = C.identity(payload, _fragments(word))
+    ends = {"uncited": "cites no fragment", "invented": "(invented)", "duplicated": "(duplicated)", "dropped": "(dropped)", "both": "both used and ignored"}
+    n = lambda end: F.count_if(F.col("message").endswith(end))
+    return found.groupBy("doc_id").agg(*[n(end).alias(k) for k, end in ends.items()], F.count_if(F.col("message").startswith("ignored lists")).alias("unknown"))
 
 
 @query
@@ -250,9 +257,9 @@ def overlap_check(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def word_bag(spark: SparkSession, sf: str) -> DataFrame:
     word = _words(spark, sf)
-    cell = X.cell_list(word).withColumn("t", F.when(F.col("pk") % 6 == 0, F.concat("t", F.lit("!"))).otherwise(F.col("t")))
-    found = C.word_bag(X.payloads(cell), word)
-    return found.where(F.col("message").endswith("(invented)")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("invented"))
+    text = F.when(F.col("pk") % 6 == 0, F.concat("t", F.lit("!"))).when(F.col("pk") % 10 == 1, F.concat(F.lit("zz"), F.substr("t", F.lit(2)))).otherwise(F.col("t"))
+    found = C.word_bag(X.payloads(X.cell_list(word).withColumn("t", text)), word)
+    return found.groupBy("doc_id").agg(*[F.count_if(F.col("message").endswith(f"({k})")).alias(k) for k in ("invented", "dropped")])
 
 
 def _plain_cells(cell: DataFrame) -> DataFrame:
@@ -273,8 +280,10 @@ def arithmetic_near_miss(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def geometry_shift(spark: SparkSession, sf: str) -> DataFrame:
-    cell = X.cell_list(_words(spark, sf)).withColumn("c", F.when((F.col("pk") % 17 == 0) & (F.col("c") > 0), F.col("c") - 1).otherwise(F.col("c")))
-    return verify.geometry(C.occupancy(cell.drop("pk"))).where("r is not null").select("doc_id", "r", "c")
+    """Cells a column too far left, and tables whose columns run from the right."""
+    c = F.col("c")
+    placed = F.when(F.col("doc_id") % 13 == 0, 6 - c).when((F.col("pk") % 17 == 0) & (c > 0), c - 1).otherwise(c)
+    return verify.geometry(C.occupancy(X.cell_list(_words(spark, sf)).withColumn("c", placed).drop("pk"))).select("doc_id", "r", "c")
 
 
 @query
@@ -332,17 +341,21 @@ def levenshtein(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(o, "p_partkey").select(F.col("p_partkey").alias("a"), "b", F.levenshtein("p_name", "other").cast("long").alias("distance"))
 
 
+def _answers(spark: SparkSession, sf: str, shapes: tuple[str, ...]) -> DataFrame:
+    """Every turn's text in one of several shapes of a model's answer, in turn."""
+    r = X.table(spark, sf, "conversations")
+    shape = F.element_at(F.array(*map(F.lit, shapes)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(shapes))) + 1).cast("int"))
+    return r.select("conv_id", "turn", F.replace(shape, F.lit("@"), F.col("text")).alias("raw"))
+
+
 @query
 def clean_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    r = X.table(spark, sf, "conversations").where("text is not null and not contains(lower(text), '<table') and not contains(text, '```')")
-    raw = F.concat(F.lit("Here it is:\n```html\n<table><tr><td>"), "text", F.lit("</td></tr></table>\n```\nThat is all."))
-    return r.select("conv_id", "turn", clean_prediction(raw).alias("html"))
+    return _answers(spark, sf, X.TABLE_ANSWERS).select("conv_id", "turn", clean_prediction(F.col("raw")).alias("html"))
 
 
 @query
 def strip_thinking(spark: SparkSession, sf: str) -> DataFrame:
-    r = X.table(spark, sf, "conversations").where("text is not null and not contains(lower(text), 'think>')")
-    return r.select("conv_id", "turn", without_thinking(F.concat(F.lit("<THINK>first\nthis</think> answer "), "text")).alias("text"))
+    return _answers(spark, sf, X.THOUGHTS).select("conv_id", "turn", without_thinking(F.col("raw")).alias("text"))
 
 
 @query
@@ -397,8 +410,9 @@ def pages_table_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def grid_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    c = X.cells(spark, sf).withColumn("ord", F.col("row") * 7 + F.col("col")).withColumn("rowspan", F.lit(1)).withColumn("colspan", F.lit(1))
-    return structure.grid_tokens(c)
+    """Grids with wide first cells, whose second position they cover, and holes where a price is lost."""
+    c = X.cells(spark, sf).withColumn("ord", F.col("row") * 7 + F.col("col")).withColumn("rowspan", F.lit(1))
+    return structure.grid_tokens(c.where(~((F.col("col") == 1) & (F.col("pk") % 5 == 0)) & ~((F.col("col") == 2) & (F.col("pk") % 11 == 0))))
 
 
 @query
@@ -419,13 +433,14 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bootstrap_poisson(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.poisson_intervals(_run(spark, sf), ["difficulty"], "content_placement", resamples=50)
+    out = metrics.poisson_intervals(_run(spark, sf), ["difficulty"], "content_placement", resamples=20)
+    return out.select("difficulty", _r("mean", 6), _r("ci_low", 6), _r("ci_high", 6))
 
 
 @query
 def page_survey(spark: SparkSession, sf: str) -> DataFrame:
     rows = layout.survey(_words(spark, sf).drop("row", "col"))["rows"]
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("doc_id", "row", "kind", F.array_join("cells", "|").alias("cells"), _r("cy", 6))
 
 
 @query
@@ -441,7 +456,7 @@ def cells_html(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def skew(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.best_skew(_words(spark, sf)).select("doc_id", "degrees")
+    return structure.best_skew(_words(spark, sf)).select("doc_id", _r("degrees", 6))
 
 
 def _placing_model() -> Callable[[dict], str]:
