@@ -18,7 +18,6 @@ from gridloom.operators import corpus, fragments, layout, metrics, schema, struc
 from gridloom.plans import fixtures as X
 from gridloom.plans import models
 from gridloom.plans.oracle import ORACLES as ORACLES
-from gridloom.plans.reconstruct import Plan, reconstruct
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -468,11 +467,3 @@ def _placing_model() -> Callable[[dict], str]:
         return "```json\n" + json.dumps({"columns": [{"name": n, "kind": k} for n, k in zip(X.COLUMNS, X.KINDS, strict=True)], "cells": cell}) + "\n```"
 
     return answer
-
-
-@query
-def pipeline_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    """Reconstruction of every document by a model that only places fragments: read, survey, draft, verify."""
-    read = fragments.merged(X.reads(_words(spark, sf)))
-    out = reconstruct(read, Plan(draw=_placing_model, drafts=1, rounds=1))
-    return out.select("doc_id", F.length("html").alias("html_length"), "n_problems", "n_flags", "repair_rounds", "table_confidence")
