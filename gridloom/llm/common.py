@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import shared_dir
+
+T = TypeVar("T")
 #: What separates words: space and 0x09-0x0D. Fixed values.
-SPACES = r"[\x20\x09-\x0D]+"
+SPACES, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+#: Bytes of an Arrow batch on its way to Python and back: batches of long texts stay small in both.
+BATCH = "8m"
 
-    Where the setting is missing (tests, one machine), a folder under the system's temporary
-    folder is used and kept for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = spark.conf.get("gridloom.scratch", None)
-    if not own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-        spark.conf.set("gridloom.scratch", own)
-    return own
+
+def lean(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session does so more tightly itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(key, BATCH)
 
 
+#: Scratch tables need no checksum files beside theirs: in a folder mounted as file:, each file made costs a process.
+SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 #: Scratch tables by owner, in the order they were made.
 _made: list[tuple[str | None, str]] = []
 _owner: list[str | None] = [None]
@@ -64,13 +64,24 @@ def release(owner: str, keep: DataFrame) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    lean(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     if _owner[-1] is not None:
         _made.append((_owner[-1], path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shipped(spark: SparkSession, value: T) -> Iterator[Broadcast[T]]:
+    """value as a broadcast for the jobs that end inside; then it goes, on the executors as well."""
+    sent = spark.sparkContext.broadcast(value)
+    try:
+        yield sent
+    finally:
+        sent.destroy()
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Deletes a table made by written() that nothing reads any more."""
     spark = df.sparkSession
@@ -81,9 +92,8 @@ def drop_scratch(df: DataFrame) -> None:
 
 
 def n_words(text: Column) -> Column:
-    """Number of words of a text; null has none. Works inside generated code."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.translate(t, " ", "")) + 1).cast("long")
+    """Number of words of a text; null has none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def chunked(df: DataFrame, group: list[str], order: list[str], size: Column, chunk: str, key: Column, n_chunks: int) -> DataFrame:
@@ -91,15 +101,15 @@ def chunked(df: DataFrame, group: list[str], order: list[str], size: Column, chu
 
     The order is by key's chunk, then by the order columns, which must start with the value
     that key falls from monotonically. A group of any size is spread over n_chunks windows; only
-    one sum for each group and chunk is carried between them.
+    one sum for each group and chunk is carried between them. The group's columns hold no null.
     """
     df = df.withColumn(chunk, key)
     sums = df.groupBy(*group, chunk).agg(F.sum(size).alias("_s"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col(chunk).alias("_c"), F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"))
     cond = F.col(chunk) == F.col("_c")
-    for g in group:
-        cond &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    for g in group:  # plain equality, so that the windows' partitioning serves the join as well
+        cond &= F.col(g) == F.col(f"_g_{g}")
     own = Window.partitionBy(*group, chunk).orderBy(*order)
     inside = df.withColumn("before", F.coalesce(F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rank", F.row_number().over(own) - 1)
     return (
@@ -110,6 +120,22 @@ def chunked(df: DataFrame, group: list[str], order: list[str], size: Column, chu
     )
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with _at, the number of rows before in the order, and of each of sums its sum over those.
+
+    By ranges of the order: no task holds all rows, and one sum a range is carried between them. The order
+    has to tell all rows apart.
+    """
+    low = written(df.withColumns({f"_v_{c}": v for c, v in sums.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = {"_at": F.count(F.lit(1)), **{c: F.sum(f"_v_{c}") for c in sums}}
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = low.groupBy("_range").agg(*[v.alias(f"_t_{c}") for c, v in totals.items()]).select("_range", *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_s_{c}") for c in totals])
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = low.withColumns({"_i__at": F.count(F.lit(1)).over(w), **{f"_i_{c}": F.coalesce(F.sum(f"_v_{c}").over(w), F.lit(0)) for c in sums}})
+    out = inside.join(F.broadcast(starts), "_range")
+    return out.select(*df.columns, *[(F.col(f"_s_{c}") + F.col(f"_i_{c}")).alias(c) for c in totals])
+
+
 def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
     """Rows of the highest counts, at most limit, found by a histogram rather than by one task's sort.
 
@@ -130,12 +156,34 @@ def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
     return df.where(n >= least) if least is not None else df.where("false")
 
 
+#: Edges of a node above which they are dealt over several tasks; rows of a table that may be broadcast.
+HUB, SMALL = 256, 100_000
+
+
+def dealt_join(rows: DataFrame, other: DataFrame, key: str, by: Column) -> DataFrame:
+    """rows joined to other's one row a key, where the rows of a frequent key go to several tasks.
+
+    Keys of more than HUB rows have their row of other once for each of the tasks; they are few beside the
+    rows (at most one in HUB), and broadcast only as long as a count says that they are SMALL.
+    """
+    hubs = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HUB).select(key, F.ceil(F.col("_n") / HUB).cast("int").alias("_salts"))
+    hubs = written(hubs, "hubs")
+    n = hubs.count()
+    if not n:
+        return rows.join(other, key)
+    hubs = F.broadcast(hubs) if n <= SMALL else hubs
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(hubs, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    right = other.join(hubs, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b): the smallest node it reaches.
 
     Alternates large-star and small-star steps, which end after about log(n) rounds. Each round's
-    edges are written to the shared folder; node pairs are distinct, so a node of very many edges
-    is spread by the partial minimum of the aggregation.
+    edges are written to the shared folder. A node of very many edges is spread: by the partial minimum of
+    the aggregation, and by dealt_join() where its edges take up that minimum.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = written(edges, "edges")
@@ -143,7 +191,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = dealt_join(both, least, "a", F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = written(small, "edges")

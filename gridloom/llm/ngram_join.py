@@ -13,15 +13,16 @@ its own that may hold a partner. Groups that are empty are equal without saying
 with more of them than the number of groups allows for has the tokens of its prefix in addition.
 
 Stages: equal sets become one class; blocks give a spanning forest of the pairs that the bounds
-leave; its components are gathered, cut to chunks of bounded size (each with its component's leaders),
-and verified exactly, skipping pairs that are already connected; where a component was cut, pairs across
-its parts that the bounds leave are verified one by one. So no link between different classes is lost.
+leave (a block of more than HOT rows is one star, which may connect more but misses nothing); its components are cut to
+chunks of bounded size (each with its component's leaders), and verified exactly, skipping pairs that are already
+connected; where a component was cut, pairs across its parts that the bounds leave are verified one by one, a large block by pairs
+of its tiles. So no link between different classes is lost, and no block or component meets in one task.
 
 Cases: a text with fewer words than n is one token, its whole sequence; null and wordless texts have
-the empty set, which links with nothing; ties at the threshold link; rows that repeat a text are in one
-component; a row without id is linked with nothing and names no component; rows
-that repeat an id are one document, which links as any of them does. An empty table gives no
-rows. Other columns are not read.
+the empty set, which links with nothing; texts of any length are taken whole; ties at the threshold link; rows that repeat a
+text are in one component; a row without id is linked with nothing and names no component; rows
+that repeat an id are one document, which links as any of them does. Ids are whole numbers; others raise an error. An empty table
+gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,19 +32,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, drop_scratch, written
-from gridloom.llm.filters import repeated
+from gridloom.llm.common import SMALL, components, dealt_join, drop_scratch, lean, shipped, written
+from gridloom.llm.filters import Repeated, repeated
 from gridloom.llm.graph import Union, local_components
 from gridloom.llm.textkernel import mix, signed, slices
 from gridloom.llm.textkernel import U as U64
 
 #: Groups of a block's points, by the most tokens that a set of its band has, and of the finer points.
 GROUPS, FINE = ((1024, 64), (4096, 256), (1 << 62, 512)), 256
-#: Tokens a verified chunk holds, about.
-CHUNK = 8_000_000
+#: Tokens and sets that a verified chunk holds, about; rows of a block that are compared in one task.
+CHUNK, SETS, HOT = 1_000_000, 256, 512
+#: Sets of a component that are in each of its chunks, about.
+LEADERS = 8
 #: Documents whose ids may be broadcast to fetch their sets; beyond, they are joined by shuffling.
 FETCH = 1_000_000
 LEAF = 32
@@ -179,15 +183,19 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long")
 
 
-def postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(s, rep, n, point): a row for each mark of a document that another one may have too."""
+def often_marked(docs: DataFrame, n: int, percent: int) -> Repeated:
+    """The filter of the marks that more than one document may have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, c = np.unique(np.concatenate([m for own in sets(batch.column(0), n) for _, m in marks_of(own, percent)] or [np.empty(0, np.uint64)]), return_counts=True)
             yield pa.record_batch({"h": signed(h), "n": pa.array(c, pa.int64())})
 
-    often = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text").mapInArrow(count, "h long, n long")))
+    return repeated(docs.select("text").mapInArrow(count, "h long, n long"))
+
+
+def postings(docs: DataFrame, n: int, percent: int, often: Broadcast[Repeated]) -> DataFrame:
+    """(s, rep, n, point): a row for each mark of a document that another one may have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,20 +220,24 @@ def postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "s long, rep long, n long, point binary")
 
 
-def _block(n: np.ndarray, points: np.ndarray, percent: int, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block's rows that the bounds leave: a spanning forest, or with part all of unlike parts."""
+def _block(n: np.ndarray, points: np.ndarray, percent: int, part: np.ndarray | None, tile: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block's rows that the bounds leave: a spanning forest, or with part all of unlike parts, and of
+    unlike tiles if there are tiles."""
 
     k = len(n)
     if k <= 48:
         i, j = np.triu_indices(k, 1)
         low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         keep = 100 * low >= percent * high
+        if part is not None:
+            keep &= part[i] != part[j]
+        if tile is not None:
+            keep &= tile[i] != tile[j]
         i, j = i[keep], j[keep]
         keep = shared(points[i], points[j]) >= needed(n[i], n[j], percent)
         i, j = i[keep], j[keep]
         if part is not None:
-            keep = part[i] != part[j]
-            return i[keep], j[keep]
+            return i, j
         root = local_components(i, j, k)
         at = np.flatnonzero(root != np.arange(k))
         return root[at], at
@@ -235,6 +247,7 @@ def _block(n: np.ndarray, points: np.ndarray, percent: int, part: np.ndarray | N
         found = tree.near(points[i], int(n[i]), percent)
         if part is not None:
             found = found[(found > i) & (part[found] != part[i])]
+            found = found if tile is None else found[tile[found] != tile[i]]
         else:
             found = found[root[found] != root[i]]
         if not len(found):
@@ -252,25 +265,36 @@ def _block(n: np.ndarray, points: np.ndarray, percent: int, part: np.ndarray | N
     return np.array(out_i, int), np.array(out_j, int)
 
 
-def block_pairs(rows: DataFrame, percent: int, parts: bool = False) -> DataFrame:
-    """(a, b): pairs of rep that the bounds leave in some block, a < b; rows as from postings()."""
-    columns = ["s", "rep", "n", "point"] + (["part"] if parts else [])
+def _compared(rows: DataFrame, percent: int, parts: bool, tiles: bool) -> DataFrame:
+    """(a, b) of the rows (s, rep, n, point and, if there, part, i, j, tile) of a key (s, i, j)."""
+    key = ["s", "i", "j"] if tiles else ["s"]
+    columns = [*key, "rep", "n", "point"] + (["part"] if parts else []) + (["tile"] if tiles else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
+        def edges(t: pa.Table) -> np.ndarray:
+            """Where the rows of another key begin, and the end."""
+            new = np.zeros(t.num_rows - 1, bool)
+            for c in key:
+                v = np.asarray(t[c])
+                new |= v[1:] != v[:-1]
+            return np.flatnonzero(np.r_[True, new, True])
+
         def pairs(t: pa.Table) -> pa.RecordBatch:
-            s, rep, n = (np.asarray(t[c]) for c in ("s", "rep", "n"))
+            rep, n = (np.asarray(t[c]) for c in ("rep", "n"))
             blobs = t["point"].to_pylist()
             part = np.asarray(t["part"]) if parts else None
-            edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+            tile, diagonal = (np.asarray(t["tile"]), np.asarray(t["i"]) == np.asarray(t["j"])) if tiles else (None, None)
+            edge = edges(t)
             a, b = [], []
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if y - x > 1:
                     # A mark's band gives its points' length; should marks of two bands be equal, points are folded.
                     own, least = blobs[x:y], min(map(len, blobs[x:y]))
                     own = [folded(p, least) if len(p) > least else p for p in own]
-                    i, j = _block(n[x:y], np.frombuffer(b"".join(own), np.uint8).reshape(y - x, -1), percent, part[x:y] if parts else None)
+                    apart = tile[x:y] if tiles and not diagonal[x] else None
+                    i, j = _block(n[x:y], np.frombuffer(b"".join(own), np.uint8).reshape(y - x, -1), percent, part[x:y] if parts else None, apart)
                     a.append(rep[x:y][i])
                     b.append(rep[x:y][j])
             a, b = (np.concatenate(v or [np.empty(0, np.int64)]) for v in (a, b))
@@ -282,16 +306,42 @@ def block_pairs(rows: DataFrame, percent: int, parts: bool = False) -> DataFrame
             t = pa.concat_tables([rest, t]) if rest is not None else t
             if not t.num_rows:
                 continue
-            s = np.asarray(t["s"])
-            cut = int(np.searchsorted(s, s[-1], "left"))  # the last block may go on
+            cut = int(edges(t)[-2])  # the last block may go on
             if cut:
                 yield pairs(t.slice(0, cut).combine_chunks())
             rest = t.slice(cut)
         if rest is not None and rest.num_rows:
             yield pairs(rest.combine_chunks())
 
-    dealt = rows.select(*columns).repartition("s").sortWithinPartitions("s", "n", "rep")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.select(*columns).repartition(*key).sortWithinPartitions(*key, "n", "rep")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def hot_marks(rows: DataFrame, hot: int) -> DataFrame:
+    """(s, tiles, star) of the marks of more than hot rows: at most a row in hot of those."""
+    many = rows.groupBy("s").agg(F.count(F.lit(1)).alias("_n"), F.min("rep").alias("star")).where(F.col("_n") > hot)
+    return written(many.select("s", F.ceil(F.col("_n") / hot).cast("int").alias("tiles"), "star"), "ngram-hot")
+
+
+def block_pairs(rows: DataFrame, percent: int, hot: DataFrame, parts: bool = False) -> DataFrame:
+    """(a, b), a < b: without parts pairs that connect what the bounds leave in some block, with parts all
+    such pairs of unlike parts; rows as from postings(), hot as from hot_marks().
+
+    A hot block's rows do not meet: without parts all are linked with the block's smallest, and what that connects
+    wrongly is told apart by the verification; with parts each pair of its tiles is a task.
+    """
+    n = hot.count()
+    if not n:
+        return _compared(rows, percent, parts, False).distinct()
+    small = F.broadcast(hot) if n <= SMALL else hot
+    some = _compared(rows.join(small.select("s"), "s", "left_anti"), percent, parts, False)
+    large = rows.join(small, "s")
+    if not parts:
+        return some.union(large.where("rep <> star").select(F.col("star").alias("a"), F.col("rep").alias("b"))).distinct()
+    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    each = large.withColumn("tile", tile).withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    each = each.withColumn("i", F.least("tile", "_u")).withColumn("j", F.greatest("tile", "_u"))
+    return some.union(_compared(each, percent, parts, True)).distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -352,9 +402,11 @@ def _fine(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, edges): rows doc_id, n, d1, d2; classes d1, d2, rep, copies; edges (a, b) of
     verified links that connect all that links connect."""
+    spark = docs.sparkSession
+    lean(spark)
     marks = written(signatures(docs, n), "ngram-sets")
     known = marks.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n")), "ngram-classes")
@@ -362,14 +414,16 @@ def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> tuple[Da
     copies = known.join(classes.where("copies > 1"), ["d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct()
     copies = written(copies.join(classes, F.col("doc_id") == F.col("rep"), "left_anti"), "ngram-copies")
     several = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(copies) if copies.count() <= FETCH else copies, "doc_id", "left_anti")
-    posted = written(postings(several, n, percent), "ngram-postings")
-    may = written(components(block_pairs(posted, percent)), "ngram-candidates")
+    with shipped(spark, often_marked(several, n, percent)) as often:
+        posted = written(postings(several, n, percent, often), "ngram-postings")
+    several_rows = hot_marks(posted, hot)
+    may = written(components(block_pairs(posted, percent, several_rows)), "ngram-candidates")
     nodes = may.select(F.col("node").alias("rep"), "component").join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
-    per = nodes.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("parts"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("lead1"), F.min("rep").alias("lead2"))
-    nodes = written(nodes.join(per, "component"), "ngram-nodes")
+    per = nodes.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / chunk), F.ceil(F.count(F.lit(1)) / SETS)).cast("int").alias("parts"), F.ceil(F.count(F.lit(1)) / LEADERS).alias("every"), F.min("rep").alias("first"))
+    nodes = written(dealt_join(nodes, per, "component", F.col("rep")), "ngram-nodes")
     tokens = written(_fetch(docs, nodes, n).dropDuplicates(["rep", "tokens"]), "ngram-sets")
-    lead = (F.col("rep") == F.col("lead1")) | (F.col("rep") == F.col("lead2"))
-    # A component's leaders go to each of its chunks, which connects the chunks of one family.
+    lead = (F.pmod(F.xxhash64("component", "rep"), F.col("every")) == 0) | (F.col("rep") == F.col("first"))
+    # A component's leaders, some LEADERS of its rows, go to each of its chunks, which connects the chunks of one family.
     chunks = F.when(lead, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
     dealt = nodes.select("rep", "component", F.explode(chunks).alias("part")).join(tokens, "rep")
     edges = written(dealt.groupBy("component", "part").applyInArrow(lambda t: _verify(t, percent), "a long, b long"), "ngram-links")
@@ -377,7 +431,7 @@ def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> tuple[Da
     if cut.limit(1).count():
         label = components(edges)
         part = cut.select("rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("part"))
-        pairs = block_pairs(posted.join(part, "rep"), percent, parts=True)
+        pairs = block_pairs(written(posted.join(part, "rep"), "ngram-parts"), percent, several_rows, parts=True)
         pairs = written(_fine(pairs, tokens, percent), "ngram-pairs")
         x, y = tokens.toDF("a", "x"), tokens.toDF("b", "y")
 
@@ -410,23 +464,25 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; rows without id stay.
+    """docs with one row of each component, that of the smallest doc_id (of rows that share it, any one); rows
+    without id stay.
 
-    Of rows that repeat an id the least one in (text, other columns) stays.
+    Rows that share an id are rows of their own here: where ids repeat, rows are numbered and joined by number.
     """
-    groups = written(ngram_components(docs, n, percent, chunk).select("doc_id", "component_id"), "ngram-groups")
-    several = written(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-repeated")
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "ngram-gone")
 
     def bounded(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= FETCH else ids
 
-    out = docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
-    if not several.limit(1).count():
-        return out
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    again = out.join(bounded(several), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
-    return out.join(bounded(several), "doc_id", "left_anti").select(*docs.columns).union(again)
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        groups = ngram_components(docs, n, percent, chunk)
+        gone = written(groups.where("doc_id <> component_id").select("doc_id"), "ngram-gone")
+        return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-rows")
+    named = rows.where("doc_id is not null")
+    groups = ngram_components(named.select(F.col("_row").alias("doc_id"), "text"), n, percent, chunk).select(F.col("doc_id").alias("_row"), "component_id")
+    first = groups.join(named.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row"))
+    stay = written(first.select("_row"), "ngram-stay")
+    return rows.join(bounded(stay), "_row", "left_semi").union(rows.where("doc_id is null").select("_row", *docs.columns)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
