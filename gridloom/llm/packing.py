@@ -5,7 +5,8 @@ of least total padding; inside a bucket, texts in a hash-shuffled order fill bat
 rows as the token budget holds at the bucket's length.
 
 Cases: null and empty texts have length 0 and go to the shortest bucket; a text longer than the
-budget is a batch of its own; ties in length share a bucket; repeated rows are rows of their own;
+budget is a batch of its own, and lengths of EXACT words or more share histogram cells of 1/OCTAVE of an octave, so that
+boundaries there are optimal among the cells' longest texts; ties in length share a bucket; repeated rows are rows of their own;
 an empty table gives no batch. Other columns stay as they are.
 """
 
@@ -115,3 +116,41 @@ def bucket_for(length: int, bounds: list[int]) -> int:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+
+
+def _rounds() -> str:
+    """The dynamic program, a table a number of buckets: least padding of the first j cells, and the cell before the last bucket."""
+    out = ["b1 AS MATERIALIZED (SELECT j, l * cn - ts AS cost, 0::BIGINT AS prev FROM h WHERE j > 0)"]
+    for k in range(2, BUCKETS + 1):
+        out.append(
+            f"b{k} AS MATERIALIZED (SELECT x.j, min(b.cost + x.l * (x.cn - g.cn) - (x.ts - g.ts)) AS cost, arg_min(g.j, struct_pack(c := b.cost + x.l * (x.cn - g.cn) - (x.ts - g.ts), i := -g.j)) AS prev"
+            f" FROM h x JOIN b{k - 1} b ON b.j < x.j JOIN h g ON g.j = b.j GROUP BY x.j)"
+        )
+    return ",\n".join(out)
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS n_tokens,
+         md5(concat_ws(' ', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS k FROM documents),
+c AS (
+  SELECT CASE WHEN n_tokens < {EXACT} THEN n_tokens ELSE CAST(floor(n_tokens / (pow(2, floor(log2(n_tokens))) / {OCTAVE})) * (pow(2, floor(log2(n_tokens))) / {OCTAVE}) AS BIGINT) END AS cell, n_tokens FROM d),
+z AS (
+  SELECT max(n_tokens) AS l, count(*) AS n, CAST(sum(n_tokens) AS BIGINT) AS s FROM c GROUP BY cell),
+h AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY l) AS j, l, CAST(sum(n) OVER (ORDER BY l) AS BIGINT) AS cn, CAST(sum(s) OVER (ORDER BY l) AS BIGINT) AS ts FROM z UNION ALL SELECT 0, 0, 0, 0),
+{_rounds()},
+e AS ({" UNION ALL ".join(f"SELECT {k} AS k, j, cost, prev FROM b{k}" for k in range(1, BUCKETS + 1))}),
+t AS (
+  SELECT min(k) AS k FROM (SELECT k, cost, lead(cost) OVER (ORDER BY k) AS more FROM e WHERE j = (SELECT max(j) FROM h)) WHERE more IS NULL OR more >= cost),
+p AS (
+  SELECT CAST(t.k AS INT) AS k, (SELECT max(j) FROM h) AS j FROM t UNION ALL
+  SELECT p.k - 1, e.prev FROM p JOIN e ON e.k = p.k AND e.j = p.j WHERE e.prev > 0),
+o AS (
+  SELECT list(h.l ORDER BY h.l) AS bounds FROM p JOIN h ON h.j = p.j),
+b AS (
+  SELECT doc_id, n_tokens, k, bounds, len(list_filter(bounds, lambda x: x < n_tokens)) AS bucket FROM d, o),
+r AS (
+  SELECT *, bounds[bucket + 1] AS bucket_length, greatest(1, {BUDGET} // greatest(1, bounds[bucket + 1])) AS per, row_number() OVER (PARTITION BY bucket ORDER BY k, n_tokens) - 1 AS rank FROM b)
+SELECT doc_id, n_tokens, CAST(bucket AS INT) AS bucket, bucket_length, rank // per AS batch, rank % per AS batch_row, bucket_length - n_tokens AS padding FROM r
+"""

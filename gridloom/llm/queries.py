@@ -20,6 +20,8 @@ ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_exact_topk": topk.ORACLE,
     "op3_ngram_jaccard": ngram_join.ORACLE,
+    "op4_chunk_dedup": chunks.ORACLE,
     "op6_suffix_dedup": suffixes.ORACLE,
     "op8_vector_dedup": vector_dedup.ORACLE,
+    "op9_pack_lengths": packing.ORACLE,
 }
