@@ -9,10 +9,13 @@ by doc_id and place, stays; every word of a later one is marked.
 
 A minimiser that occurs once in the corpus is left out by a filter of bounded size. Minimisers of very many
 suffixes are dealt out over salts: each salt finds its own first windows, then the salts' firsts
-are compared.
+are compared window by window.
 
-Cases: null, empty and short texts have no window and no mark; a passage repeated inside one text
-is marked from its second occurrence on; rows that repeat a text are marked from the second row on;
+The marks are those of a full suffix array, which is why the windows are compared and not only a sorted suffix's two
+neighbours: the earlier occurrence that matches farthest to the left is not always the one that matches farthest to the right.
+
+Cases: null, empty and short texts have no window and no mark; texts of any length are taken whole; a passage repeated inside
+one text is marked from its second occurrence on; rows that repeat a text are marked from the second row on;
 a row without id comes first in order; an empty table gives no rows. Case and white space do not
 count. Other columns are kept or not read.
 """
@@ -23,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
-from gridloom.llm.filters import repeated
+from gridloom.llm.common import lean, shipped, written
+from gridloom.llm.filters import Repeated, repeated
 from gridloom.llm.passages import cut, merged, totals
 from gridloom.llm.textkernel import U as U64
 from gridloom.llm.textkernel import Tally, Words, signed, slices
@@ -35,7 +39,7 @@ from gridloom.llm.textkernel import Tally, Words, signed, slices
 #: Words of the shortest repeat that is found, and of the pieces that minimisers are chosen from.
 WORDS, PIECE = 50, 16
 #: Suffixes of a minimiser that one task compares.
-GROUP = 4000
+GROUP = 1000
 
 
 def runs(w: Words, words: int = WORDS, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,10 +87,9 @@ def _minimisers(words: int, piece: int):
     return run
 
 
-def suffixes(rows: DataFrame, words: int = WORDS, piece: int = PIECE) -> DataFrame:
+def suffixes(rows: DataFrame, often: Broadcast[Repeated], words: int = WORDS, piece: int = PIECE) -> DataFrame:
     """(doc_id, _row, n_words, found): of each text its suffixes at minimisers that may be repeated,
     as (h, at, windows): the minimiser, the first window's word, the windows' hashes."""
-    often = rows.sparkSession.sparkContext.broadcast(repeated(rows.select("text").mapInArrow(_minimisers(words, piece), "h long, n long")))
     kind = dict(rows.dtypes)["doc_id"]
     item = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("windows", pa.binary())])
 
@@ -117,8 +120,8 @@ def suffixes(rows: DataFrame, words: int = WORDS, piece: int = PIECE) -> DataFra
 def _compare(rows: DataFrame, words: int, firsts: bool) -> DataFrame:
     """Rows (h, salt, doc_id, _row, at, windows), of which those of an (h, salt) are compared.
 
-    Returns (_row, start, end) marks; with firsts also, under h, what is left of each suffix: its
-    windows that no earlier one of the salt has, by 0 in the place of others (at, windows).
+    Returns (_row, start, end) marks; with firsts also the windows that no earlier one of the salt has, as (x, doc_id,
+    _row, at), the others' columns null.
     """
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -147,23 +150,20 @@ def _compare(rows: DataFrame, words: int, firsts: bool) -> DataFrame:
             columns = {"_row": pa.array(rows_[row[hit[new]]], pa.int64()), "start": pa.array(place[hit[new]], pa.int32()), "end": pa.array(place[hit[last]] + words, pa.int32())}
             if not firsts:
                 return pa.record_batch(columns)
-            left = np.where(late, np.uint64(0), x)
-            keep = np.flatnonzero((np.add.reduceat((left != 0).astype(int), begin) if len(x) else np.zeros(0)) > 0)
-            blob = [left[begin[i] : begin[i] + size[i]].tobytes() for i in keep]
-            m = len(keep)
-            none = lambda k, kind: pa.nulls(k, kind)
-            take = pa.array(keep)
+            first = np.flatnonzero(~late & (x != 0))
+            own = pa.array(row[first])
+            m = len(first)
+            none = pa.nulls
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([columns["_row"], pa.array(rows_[keep], pa.int64())]),
+                    pa.concat_arrays([columns["_row"], pa.array(rows_[row[first]], pa.int64())]),
                     pa.concat_arrays([columns["start"], none(m, pa.int32())]),
                     pa.concat_arrays([columns["end"], none(m, pa.int32())]),
-                    pa.concat_arrays([none(n, pa.int64()), t["h"].combine_chunks().take(take)]),
-                    pa.concat_arrays([none(n, t["doc_id"].type), t["doc_id"].combine_chunks().take(take)]),
-                    pa.concat_arrays([none(n, pa.int32()), t["at"].combine_chunks().take(take)]),
-                    pa.concat_arrays([none(n, pa.binary()), pa.array(blob, pa.binary())]),
+                    pa.concat_arrays([none(n, pa.int64()), signed(x[first])]),
+                    pa.concat_arrays([none(n, t["doc_id"].type), t["doc_id"].combine_chunks().take(own)]),
+                    pa.concat_arrays([none(n, pa.int32()), pa.array(place[first], pa.int32())]),
                 ],
-                ["_row", "start", "end", "h", "doc_id", "at", "windows"],
+                ["_row", "start", "end", "x", "doc_id", "at"],
             )
 
         for batch in batches:
@@ -180,7 +180,7 @@ def _compare(rows: DataFrame, words: int, firsts: bool) -> DataFrame:
         if rest is not None:
             yield compare(rest.append_column("_g", pa.array(np.zeros(rest.num_rows, np.int64))))
 
-    schema = "_row long, start int, end int" + (f", h long, doc_id {kind}, at int, windows binary" if firsts else "")
+    schema = "_row long, start int, end int" + (f", x long, doc_id {kind}, at int" if firsts else "")
     dealt = rows.select("h", "salt", "doc_id", "_row", "at", "windows").repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "_row", "at")
     return dealt.mapInArrow(run, schema)
 
@@ -190,7 +190,10 @@ def repeats(rows: DataFrame, words: int = WORDS, piece: int = PIECE, group: int
 
     texts: doc_id, _row, n_words; spans: _row, start, end, the merged marks in words.
     """
-    found = written(suffixes(rows, words, piece), "suffixes")
+    spark = rows.sparkSession
+    lean(spark)
+    with shipped(spark, repeated(rows.select("text").mapInArrow(_minimisers(words, piece), "h long, n long"))) as often:
+        found = written(suffixes(rows, often, words, piece), "suffixes")
     each = found.select("doc_id", "_row", F.explode("found").alias("s")).select("doc_id", "_row", "s.h", "s.at", "s.windows")
     hot = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("h", F.ceil(F.col("n") / group).cast("int").alias("salts"))
     hot = written(hot, "suffix-hot")
@@ -198,7 +201,10 @@ def repeats(rows: DataFrame, words: int = WORDS, piece: int = PIECE, group: int
         each = each.join(hot, "h", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("_row", "at"), F.col("salts")) + 1).otherwise(0).cast("int"))
         plain = _compare(each.where("salt = 0"), words, False)
         parts = written(_compare(each.where("salt > 0"), words, True), "suffix-parts")
-        again = _compare(parts.where("h is not null").withColumn("salt", F.lit(0)), words, False)
+        windows = parts.where("x is not null").select("x", "doc_id", "_row", "at")
+        first = windows.groupBy("x").agg(F.min(F.struct("doc_id", "_row", "at")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = windows.join(first, "x").where((F.col("_row") != F.col("f._row")) | (F.col("at") != F.col("f.at")))
+        again = again.select("_row", F.col("at").alias("start"), (F.col("at") + words).alias("end"))
         marks = plain.union(parts.where("start is not null").select("_row", "start", "end")).union(again)
     else:
         marks = _compare(each.withColumn("salt", F.lit(0)), words, False)
