@@ -1,13 +1,14 @@
 """URL filtering: curated host and path rules first, mined token rules for the rest.
 
-Mined rules are class association rules. A labelled url is a transaction of its tokens and, if it
-is bad, the item `label:block`; Spark's FP-growth finds the frequent token combinations, and those
-that imply the block label with enough confidence are the rules. Each rule is filed in an inverted
-index under its rarest token, so that a url is held only against rules that may fit it.
+Mined rules are class association rules. A bad url is a transaction of its tokens; Spark's FP-growth
+finds the token combinations of at least LEAST bad urls, and those of whose urls, among all labelled ones, enough
+are bad are the rules. The support is a number, so that what is a rule does not depend on how much else is
+labelled. Each rule is filed in an inverted index under its rarest token, so that a url is held only against
+rules that may fit it. A rule that a part of it is no less sure without goes.
 
 Cases: a null url, or one without `://`, has an empty host and path, fits no curated rule and no
 token; it is allowed. A url that several mined rules fit takes the most confident. Without labelled
-rows there are no mined rules. Repeated rows are judged as often as they stand there. Other columns
+rows there are no mined rules. Urls of any length are read whole. Repeated rows are judged as often as they stand there. Other columns
 of the input are not read.
 """
 
@@ -19,12 +20,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import SMALL, written
+
 #: host, start of the path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Least share and number of the labelled urls that a token combination and the label stand in
-#: together, and least share of the urls with the combination that are bad.
-SUPPORT, LEAST, CONFIDENCE = 0.002, 20, 0.7
-BLOCK = "label:block"
+#: Least number of bad urls that a token combination stands in, and least share of the urls with it that are bad.
+LEAST, CONFIDENCE = 20, 0.7
 
 
 def host_of(url: Column) -> Column:
@@ -61,22 +62,32 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(kind("h:", F.split(host, r"\.")), kind("p:", F.split(path, "/")), kind("q:", keys))))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame | None:
-    """(rule_id, antecedent, confidence, support, key) from (url, blocked); key: the rarest token.
+def mine(labelled: DataFrame, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame | None:
+    """(rule_id, antecedent, confidence, support, key) from (url, blocked); support: bad urls; key: the rarest token.
 
     All labelled rows take part. None if fewer than least of them are bad.
     """
-    rows = labelled.where("blocked is not null").select(F.when(F.col("blocked"), F.array_append(tokens(F.col("url")), F.lit(BLOCK))).otherwise(tokens(F.col("url"))).alias("items"), "blocked")
-    n, bad = rows.agg(F.count(F.lit(1)), F.count_if("blocked")).first()
+    rows = labelled.where("blocked is not null").groupBy(tokens(F.col("url")).alias("items")).agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("bad"))
+    rows = written(rows.where(F.size("items") > 0), "url-sets")
+    n, bad = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     if bad < least:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(rows.where(F.size("items") > 0))
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("lift") > 1))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").withColumn("rule_id", F.array_join("antecedent", " "))
-    singles = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    parts = rules.select("rule_id", F.explode("antecedent").alias("token")).join(singles, "token")
-    key = parts.groupBy("rule_id").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
-    return rules.join(key, "rule_id")
+    each = rows.where("bad > 0").select("items", F.explode(F.sequence(F.lit(1), "bad")).alias("_i")).select("items")
+    # A little below least / bad, so that no combination of just least is lost to rounding.
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / bad).fit(each)
+    sets = model.freqItemsets.where(F.col("freq") >= least).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("support"))
+    sets = sets.withColumn("rule_id", F.array_join("antecedent", " "))
+    rare = rows.select(F.explode("items").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("freq"))
+    key = sets.select("rule_id", F.explode("antecedent").alias("token")).join(rare, "token").groupBy("rule_id").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
+    sets = written(sets.join(key, "rule_id"), "url-combinations")
+    all_ = rows.withColumn("key", F.explode("items")).join(sets.select("rule_id", "antecedent", "key"), "key").where(F.size(F.array_except("antecedent", "items")) == 0)
+    sure = sets.join(all_.groupBy("rule_id").agg(F.sum("n").alias("all")), "rule_id").withColumn("confidence", F.col("support") / F.col("all"))
+    sure = written(sure.where((F.col("confidence") >= confidence) & (F.col("confidence") > bad / n)), "url-rules")
+    # A part of a rule that is as sure fits all that the rule does.
+    part = sure.select(F.col("key").alias("token"), F.col("antecedent").alias("_a"), F.col("confidence").alias("_c"))
+    wider = sure.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token")).join(part, "token")
+    wider = wider.where((F.size("_a") < F.size("antecedent")) & (F.size(F.array_except("_a", "antecedent")) == 0) & (F.col("_c") >= F.col("confidence")))
+    return sure.join(wider.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "antecedent", "confidence", "support", "key")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -87,20 +98,28 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("url_tokens").agg(best.alias("_b")).select("url_tokens", F.col("_b.rule_id").alias("mined_rule"), F.col("_b.confidence").alias("mined_confidence"))
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
-    """(page_id, host, path, rule, verdict, mined_rule, mined_confidence) of every page."""
-    mined = mine(labelled, support, confidence, least)
+def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
+    """(page_id, host, path, rule, verdict, mined_rule, mined_confidence) of every page.
+
+    Pages that a curated rule fits are held against no mined one.
+    """
+    mined = mine(labelled, confidence, least)
     url = F.col("url")
     out = pages.select("page_id", "url").withColumn("host", host_of(url)).withColumn("path", path_of(url))
     rule, verdict = curated(F.col("host"), F.col("path"), rules)
-    out = out.withColumn("rule", rule).withColumn("_v", verdict)
-    if mined is None:
-        out = out.withColumn("mined_rule", F.lit(None).cast("string")).withColumn("mined_confidence", F.lit(None).cast("double"))
+    out = out.withColumn("rule", rule).withColumn("verdict", verdict)
+    none = {"mined_rule": F.lit(None).cast("string"), "mined_confidence": F.lit(None).cast("double")}
+    found = None
+    if mined is not None:
+        some = out.where("rule is null").withColumn("url_tokens", tokens(url))
+        found = written(match(some, mined), "url-verdicts")
+    n = 0 if found is None else found.count()
+    if not n:
+        out = out.withColumns(none)
     else:
-        out = out.withColumn("url_tokens", F.when(F.col("rule").isNull(), tokens(url)))
-        found = match(out.where("url_tokens is not null"), mined)
-        out = out.join(found, "url_tokens", "left")
-    verdict = F.coalesce("_v", F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+        some = some.join(F.broadcast(found) if n <= SMALL else found, "url_tokens", "left").drop("url_tokens")
+        out = out.where("rule is not null").withColumns(none).unionByName(some)
+    verdict = F.coalesce("verdict", F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "mined_rule", "mined_confidence")
 
 
