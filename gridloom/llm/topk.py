@@ -17,12 +17,15 @@ A score that does not fit 53 bits raises an error rather than being rounded.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import lean, shipped, written
 from gridloom.llm.vectors import matrix
 
 #: Queries whose vectors are sent to all tasks at once; rows of a shard's piece.
@@ -92,19 +95,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE,
     """(query_id, rank, vec_id, score): for each query its k best other rows of (vec_id, embedding).
 
     Queries go through in blocks of about query_block, each a broadcast of bounded size against
-    one scan of all rows; the blocks' results are united.
+    one scan of all rows, freed when the block's lists are written; the lists are united.
     """
     spark = vectors.sparkSession
+    lean(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
     asked = rows.where(is_query & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = written(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     n_blocks = -(-asked.count() // query_block)
-    out = None
-    for b in range(n_blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).orderBy("vec_id").toArrow()
-        block = spark.sparkContext.broadcast((np.asarray(part["vec_id"]), quantised(matrix(part["embedding"])[0], scale)))
+    lists: list[DataFrame] = []
 
-        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    def block_lists(block: Broadcast[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*block.value, k)
             for batch in batches:
                 m, ok = matrix(batch.column("embedding"))
@@ -116,12 +118,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE,
                     at = to
             yield searcher.table()
 
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         found = rows.mapInArrow(search, "query_id long, vec_id long, score long")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    for b in range(n_blocks):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).orderBy("vec_id").toArrow()
+        with shipped(spark, (np.asarray(part["vec_id"]), quantised(matrix(part["embedding"])[0], scale))) as block:
+            lists.append(written(block_lists(block), "top-k"))
+    return reduce(DataFrame.union, lists) if lists else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
