@@ -5,16 +5,17 @@ against a clean document under an informative Dirichlet prior (the pooled rates)
 counts differ surely (by the log-likelihood ratio) keep them, all tokens lose a small drift, so that
 clean text scores below 0 on average. A longer word that is not in the model goes by its first bytes. A linear-time scan finds all maximal scoring segments of a text.
 Under the clean tokens' distribution their scores follow an extreme-value law, whose scale is
-the root of a moment equation and whose constant comes from clean documents; a segment is significant
-by its expected number of equals in clean text as long. A text's significant normalised scores add up,
-and a logistic curve fitted on the sample turns the sum into a probability.
+the root of a moment equation and whose constant comes from the number of high segments in clean documents; a segment is
+significant by its expected number of equals in clean text as long. A text's significant normalised scores add up,
+and a logistic curve fitted on the sample turns the sum into a probability. Constant and curve are fitted across two
+folds: each half of the sample is scanned by a model of the other half's tokens.
 
 Tokens are runs of letters and digits, A-Z lower-cased, over the whole text. Labels, language,
 source and id are no input of a score. Near copies count once in the fit: sampled documents that
 share a minimum hash of their 5-token shingles are one.
 
-Cases: a null or empty text has no segment and gets the score of such texts; ids repeated in the
-labels are toxic if any row says so, null labels are as none; without labels every score is the
+Cases: a null or empty text has no segment and gets the score of such texts; texts of any length are scanned whole; ids
+repeated in the labels are toxic if any row says so, null labels are as none; without labels every score is the
 prior's 0.5; documents without id are scored and are never held out. Other columns are not read.
 """
 
@@ -25,24 +26,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
+from gridloom.llm.common import lean, shipped, written
 from gridloom.llm.textkernel import PUNCTUATION, U, Lookup, mix, slices
 
 #: Most labelled documents that the model is fitted on, taken by a hash of their id.
 SAMPLE = 30_000
 #: Most tokens in the model, the surest first; the standard deviations that a token's counts must be
 #: from the pooled rate's; and the bytes at a word's start that are a token too.
-FEATURES, SURE, HEAD = 65_536, 5.0, 5
+FEATURES, SURE, HEAD = 65_536, 4.0, 5
 #: Weight of the prior in documents: so many at least, or this share of the fitted ones; and the
 #: least loss of score a token.
 PRIOR, PRIOR_SHARE, DRIFT = 50.0, 0.04, 0.05
 #: Expected number of clean equals that a significant segment may have.
 EXPECTED = 0.05
-#: The law's constant; 1 is an upper bound, so that no segment is called significant too easily.
-CONSTANT = 1.0
+#: The law's constant is at most 1, and at least this, so that few clean documents do not make every segment significant;
+#: it is counted from the segments of a normalised score of HIGH or more.
+CONSTANT, HIGH = 1e-3, 1.0
 #: Minimum hashes by which near copies in the sample are found.
 LOWS = 4
 THRESHOLD = 0.7
@@ -92,9 +95,9 @@ class Scanner:
     def __init__(self, model: Model):
         self.model, self.lookup = model, Lookup(model.keys)
 
-    def scan(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
+    def scan(self, column: pa.Array, least: float = -np.log(EXPECTED)) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
         """Of each text the summed significant scores, the number of tokens, and the significant
-        segments as (first token, last token, expected number)."""
+        segments (those of a normalised score over least) as (first token, last token, expected number)."""
         m = self.model
         strength, sizes, segments = [], [], []
         for _, _, words in slices(column, space=PUNCTUATION):
@@ -115,7 +118,7 @@ class Scanner:
                 base = np.log(max(m.constant * size[d], 1.0))
                 for left, right, i, j in maximal_segments(total[p], total[p + 1]):
                     normal = m.scale * (right - left) - base
-                    if normal > -np.log(EXPECTED):
+                    if normal > least:
                         sums[d] += normal
                         own[d].append((int(p[i] - words.doc_first[d]), int(p[j] - words.doc_first[d]), float(np.exp(-normal))))
             strength.append(sums)
@@ -198,6 +201,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic). At most sample labelled documents are used."""
     spark = docs.sparkSession
+    lean(spark)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = known.count()
     if n > 2 * sample:  # a first cut by hash, so that the last one sorts little
@@ -212,39 +216,75 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     for i in range(LOWS):
         first = first.groupBy(F.col("low")[i]).agg(F.min_by("low", "doc_id").alias("low"), F.min("doc_id").alias("doc_id")).select("doc_id", "low")
     first = first.select("doc_id").distinct()
-    used = seen.join(F.broadcast(first), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    n0, n1, t0 = used.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0))).first()
+    used = written(seen.join(F.broadcast(first), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2))), "toxicity-used")
+    token = used.select("toxic", "fold", F.explode("tokens").alias("t"))
+    sides = (None, 0, 1)  # all, and each fold
+    inside = lambda f: F.lit(True) if f is None else F.col("fold") == f
+    y = lambda f, t: F.count_if((F.col("toxic") == t) & inside(f))
+    of = lambda f: "" if f is None else f"_{f}"
+    token = token.groupBy(F.col("t.h").alias("h")).agg(
+        *[y(f, t).alias(f"y{t}{of(f)}") for f in sides for t in (0, 1)],
+        *[F.sum(F.when((F.col("toxic") == 0) & inside(f), F.col("t.n")).otherwise(0)).alias(f"c0{of(f)}") for f in sides],
+    )
+    token = written(token, "toxicity-counts")
+    totals = used.agg(*[c for f in sides for c in (y(f, 0), y(f, 1), F.coalesce(F.sum(F.when((F.col("toxic") == 0) & inside(f), F.col("n"))), F.lit(0)))]).first()
+    models = [_learnt(token, of(f), *totals[3 * i : 3 * i + 3], features) for i, f in enumerate(sides)]
+    model = models[0]
+    if not len(model.keys):
+        return model
+    texts = rows.join(F.broadcast(used.select("doc_id", "fold")), "doc_id").dropDuplicates(["doc_id"])
+    texts = written(texts, "toxicity-texts")
+    with shipped(spark, (models[2], models[1])) as other:
+        clean_high = texts.where("toxic = 0").select("text", "fold").mapInArrow(_high(other), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    constant = float(np.clip(clean_high * np.exp(HIGH) / max(totals[0], 1), CONSTANT, 1.0))
+    for m in models:
+        m.constant = constant
+    with shipped(spark, (models[2], models[1])) as other:
+        got = texts.select("text", "toxic", "fold").mapInArrow(_strengths(other), "s double, t int").toArrow()
+    model.curve = _curve(np.asarray(got["s"]), np.asarray(got["t"]))
+    return model
+
+
+def _learnt(token: DataFrame, of: str, n0: int, n1: int, t0: int, features: int) -> Model:
+    """Token scores and their law from the counts (y0, y1, c0) of documents and clean tokens."""
     if n0 == 0 or n1 == 0:
         return Model(np.empty(0, np.uint64), np.empty(0), DRIFT, 1.0, 1.0, (0.0, float(np.log((n1 + 1) / (n0 + 1)))))
-    token = used.select("toxic", F.explode("tokens").alias("t")).groupBy(F.col("t.h").alias("h")).agg(F.count_if(F.col("toxic") == 1).alias("y1"), F.count_if(F.col("toxic") == 0).alias("y0"), F.sum(F.when(F.col("toxic") == 0, F.col("t.n")).otherwise(0)).alias("c0"))
+    y0, y1 = F.col(f"y0{of}"), F.col(f"y1{of}")
     prior = max(PRIOR, PRIOR_SHARE * (n0 + n1))
-    a = F.lit(prior / (n0 + n1)) * (F.col("y1") + F.col("y0"))
-    odds = lambda y, n: F.log((F.col(y) + a) / (F.lit(n + prior) - F.col(y) - a))
-    token = token.withColumn("delta", odds("y1", n1) - odds("y0", n0))
-    part = lambda y, n: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) * (n0 + n1) / ((F.col("y1") + F.col("y0")) * n))).otherwise(0.0)
-    token = token.withColumn("z", F.sqrt(2 * F.greatest(F.lit(0.0), part("y1", n1) + part("y0", n0))))
-    top = token.where(F.col("z") >= SURE).orderBy(F.desc("z"), "h").limit(features).toPandas()
+    a = F.lit(prior / (n0 + n1)) * (y1 + y0)
+    odds = lambda y, n: F.log((y + a) / (F.lit(n + prior) - y - a))
+    part = lambda y, n: F.when(y > 0, y * F.log(y * (n0 + n1) / ((y1 + y0) * n))).otherwise(0.0)
+    z = F.sqrt(2 * F.greatest(F.lit(0.0), part(y1, n1) + part(y0, n0)))
+    top = token.where(y0 + y1 > 0).select("h", (odds(y1, n1) - odds(y0, n0)).alias("delta"), z.alias("z"), F.col(f"c0{of}").alias("c0"))
+    top = top.where(F.col("z") >= SURE).orderBy(F.desc("z"), "h").limit(features).toPandas()
     keys, scores = top["h"].to_numpy(np.int64).view(np.uint64), top["delta"].to_numpy(float)
-    rate = (top["c0"].to_numpy(float) + 0.5) / max(float(t0), 1.0)
-    drift, scale = _law(keys, scores, rate)
-    model = Model(keys, scores, drift, scale, CONSTANT, (0.0, 0.0))
-    got = _strengths(spark, rows, model)
-    strength, toxic = np.array([g[0] for g in got], float), np.array([g[1] for g in got], int)
-    model.curve = _curve(strength, toxic)
-    return model
+    drift, scale = _law(keys, scores, (top["c0"].to_numpy(float) + 0.5) / max(float(t0), 1.0))
+    return Model(keys, scores, drift, scale, 1.0, (0.0, 0.0))
+
+
+def _by_fold(models: Broadcast[tuple[Model, Model]], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Scanner, pa.RecordBatch]]:
+    """Each batch's rows of a fold beside the scanner of the other one's model; models: by fold."""
+    scanners = [Scanner(m) for m in models.value]
+    for batch in batches:
+        fold = np.asarray(batch.column("fold"))
+        for f in (0, 1):
+            yield scanners[f], batch.filter(pa.array(fold == f))
+
+
+def _high(models: Broadcast[tuple[Model, Model]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(sum(map(len, scanner.scan(part.column("text"), HIGH)[2])) for scanner, part in _by_fold(models, batches))
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
 
+    return run
 
-def _strengths(spark: SparkSession, rows: DataFrame, model: Model) -> list[tuple[float, int]]:
-    sent = spark.sparkContext.broadcast(model)
 
+def _strengths(models: Broadcast[tuple[Model, Model]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(sent.value)
-        for batch in batches:
-            s, _, _ = scanner.scan(batch.column("text"))
-            yield pa.record_batch({"s": pa.array(s, pa.float64()), "t": batch.column("toxic").cast(pa.int32())})
+        for scanner, part in _by_fold(models, batches):
+            yield pa.record_batch({"s": pa.array(scanner.scan(part.column("text"))[0], pa.float64()), "t": part.column("toxic").cast(pa.int32())})
 
-    table = rows.select("text", "toxic").mapInArrow(run, "s double, t int").toArrow()
-    return list(zip(table["s"].to_pylist(), table["t"].to_pylist(), strict=True))
+    return run
 
 
 def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
