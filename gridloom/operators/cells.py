@@ -101,10 +101,10 @@ def overlaps(c: DataFrame) -> DataFrame:
     return at.withColumn("n", F.row_number().over(w)).withColumn("by", F.first("ord").over(w)).where("n > 1").select("doc_id", "ord", "r", "c", "y", "x", "by")
 
 
-def validate(payloads: DataFrame, n_pages: int = 1, grounded: bool = False) -> DataFrame:
+def validate(payloads: DataFrame, n_pages: int | DataFrame = 1, grounded: bool = False) -> DataFrame:
     """Findings on shape, positions, overlaps, texts, boxes and pages of (doc_id, payload).
 
-    grounded: cells that cite fragments need no text, box or page of their own.
+    n_pages: of all documents, or (doc_id, n_pages) of each, 1 where it has none. grounded: cells that cite fragments need no text, box or page of their own.
     """
     p = F.col("payload")
     shape = F.when(p.isNull(), "the output is no object with columns and cells").when(F.coalesce(F.size(p["columns"]), F.lit(0)) < 1, "columns are missing").when(F.coalesce(F.size(p["cells"]), F.lit(0)) < 1, "cells are missing")
@@ -123,12 +123,13 @@ def validate(payloads: DataFrame, n_pages: int = 1, grounded: bool = False) -> D
     over = overlaps(c)
     out.append(_found(over, "structure", F.format_string("cell r=%d c=%d: position (%d, %d) is taken by cell number %d", "r", "c", "y", "x", "by"), r_, c_))
     own = c.where(~(F.coalesce(F.size("f"), F.lit(0)) > 0)) if grounded else c
+    own = own.withColumn("n_pages", F.lit(n_pages)) if isinstance(n_pages, int) else own.join(n_pages.select("doc_id", "n_pages"), "doc_id", "left").fillna(1, ["n_pages"])
     b = F.col("b")
     four = F.coalesce((F.size(b) == 4) & ~F.exists(b, lambda v: v.isNull()), F.lit(False))
     out.append(_found(own.where(norm(F.coalesce("t", F.lit(""))) == ""), "structure", say("no text; blank cells are left out"), r_, c_))
     out.append(_found(own.where(~four), "structure", say("the box is not four numbers"), r_, c_))
     out.append(_found(own.where(four & ((b[2] <= b[0]) | (b[3] <= b[1]))), "structure", say("the box has no area"), r_, c_))
-    out.append(_found(own.where(F.coalesce((F.col("p") < 1) | (F.col("p") > n_pages), F.lit(True))), "structure", say(f"the page is outside 1..{n_pages}"), r_, c_))
+    out.append(_found(own.where(F.coalesce((F.col("p") < 1) | (F.col("p") > F.col("n_pages")), F.lit(True))), "structure", F.concat(say("the page is outside 1.."), F.col("n_pages").cast("string")), r_, c_))
     return reduce(DataFrame.unionByName, out)
 
 

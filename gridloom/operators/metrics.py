@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gridloom.functions import teds
 from gridloom.functions.html import CELL, exploded, table_of
-from gridloom.functions.kinds import folded
+from gridloom.functions.kinds import folded, number
 from gridloom.sources.scratch import kept
 
 #: Resamples, confidence and seed of the bootstrap.
@@ -197,8 +197,6 @@ def rewards(cells: DataFrame) -> DataFrame:
     """(uid, validity, total_reconciles): self-checks of one table. validity: half for any cell, a quarter for two
     rows and columns, a quarter by the share of filled cells. total_reconciles: 1 - relative error of the last
     total row against the sum of the rows above in the rightmost numeric column; null without one."""
-    from gridloom.functions.kinds import number  # noqa: PLC0415
-
     s = cells.groupBy("uid").agg(F.max(F.col("row") + F.col("rowspan")).alias("rows"), F.max(F.col("col") + F.col("colspan")).alias("cols"), (F.count_if(F.trim("text") != "") / F.count(F.lit(1))).alias("fill"))
     validity = F.lit(0.5) + F.when((F.col("rows") >= 2) & (F.col("cols") >= 2), 0.25).otherwise(0.0) + 0.25 * F.least(F.lit(1.0), "fill")
     v = cells.withColumn("v", number(F.col("text")))
@@ -210,6 +208,29 @@ def rewards(cells: DataFrame) -> DataFrame:
     return s.select("uid", validity.alias("validity")).join(checked, "uid", "left")
 
 
+def correctness(answer: Column, true: Column, tag: str = "SOLUTION", points: float = 2.0) -> Column:
+    """Points for an answer whose text between the tags is the true one, white space at the ends aside, else none."""
+    inside = F.regexp_extract(F.coalesce(answer, F.lit("")), f"(?s)<{tag}>(.*?)</{tag}>", 1)
+    return F.when((F.trim(inside) != "") & (F.trim(inside) == F.trim(true)), points).otherwise(0.0)
+
+
+def totals(cells: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """(uid, col, items, subtotal, tax, total, items_reconcile, total_reconciles): whether the lines above a subtotal
+    sum up to it, and it and the tax to the total, by column of numbers; null where one of them is missing.
+
+    Rows go by their first text: subtotal, then tax, then total."""
+    v = cells.withColumn("v", number(F.col("text")))
+    label = cells.where("trim(text) <> ''").groupBy("uid", "row").agg(F.lower(F.min_by("text", "col")).alias("label"))
+    kind = F.when(F.col("label").rlike(r"sub-?\s?total"), "subtotal").when(F.col("label").rlike(r"\b(tax|vat|gst)\b"), "tax").when(F.col("label").rlike(r"\btotal\b"), "total").otherwise("item")
+    rows = v.where("v is not null").join(label.select("uid", "row", kind.alias("kind")), ["uid", "row"])
+    first = rows.where("kind = 'subtotal'").groupBy("uid", "col").agg(F.min("row").alias("_row"))
+    rows = rows.join(first, ["uid", "col"])
+    one = lambda k: F.min_by("v", F.when(F.col("kind") == k, F.col("row")))
+    s = rows.groupBy("uid", "col").agg(F.sum(F.when((F.col("kind") == "item") & (F.col("row") < F.col("_row")), F.col("v"))).alias("items"), *[one(k).alias(k) for k in ("subtotal", "tax", "total")])
+    near = lambda a, b: F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
+    return s.withColumn("items_reconcile", near(F.col("items"), F.col("subtotal"))).withColumn("total_reconciles", near(F.col("subtotal") + F.coalesce("tax", F.lit(0.0)), F.col("total")))
+
+
 def diagnostics(pred: DataFrame, true: DataFrame) -> DataFrame:
     """(uid, row_error, col_error, over_split, under_split, empty_recall): where a structure went wrong."""
     s = schema_match(pred, true)

@@ -46,7 +46,19 @@ def append_labels(new: DataFrame, path: str, known: DataFrame | None = None, tab
     rows.write.mode("append").json(path)
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
+def manifest_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def manifest_of(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The manifest at path; where there is none, what build() makes is written there first."""
+    if not manifest_exists(spark, path):
+        write_manifest(build(), path)
+    return read_manifest(spark, path)
+
+
+def images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, image): pictures decoded by Spark's own source; those it can't decode are left out."""
     return spark.read.format("image").option("dropInvalid", True).load(path).select(F.col("image.origin").alias("path"), "image")
 

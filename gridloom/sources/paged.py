@@ -1,7 +1,8 @@
 """A table behind a paged REST interface, as a Spark data source: one partition a page.
 
 spark.dataSource.register(PagedSource); spark.read.format("paged_rows").options(url=..., dataset=...,
-split=..., rows=20000).load(). Where the fetch option names 'module:function', pages come from that
+split=..., rows=20000).load(). With the option until_empty=true pages are asked for one after the other, by one
+task, until one is empty: where the table's size is not known. Where the fetch option names 'module:function', pages come from that
 function (url, params, headers) -> dict, which is how tests do without a network.
 """
 
@@ -55,9 +56,20 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[Page]:
         rows, start = int(self.options.get("rows", PAGE)), int(self.options.get("start", 0))
+        if self.options.get("until_empty", "").lower() == "true":
+            return [Page(start, rows)]
         return [Page(o, min(PAGE, start + rows - o)) for o in range(start, start + rows, PAGE)]
 
     def read(self, page: Page) -> Iterator[tuple]:
+        for offset in range(page.offset, page.offset + page.length, PAGE):
+            found = 0
+            for row in self._page(Page(offset, min(PAGE, page.offset + page.length - offset))):
+                found += 1
+                yield row
+            if not found:
+                return
+
+    def _page(self, page: Page) -> Iterator[tuple]:
         get = fetch
         if name := self.options.get("fetch"):
             module, _, function = name.partition(":")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.functions.text import clean_prediction
 from gridloom.operators import cells as C
@@ -35,18 +39,32 @@ def run(scores: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return scores.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
 
 
+def complete(landed: DataFrame, drafts: int = 3) -> DataFrame:
+    """(doc_id, draft, raw) of the documents all of whose drafts are there, once: the state holds those that are not."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = dict(zip(*state.get, strict=True)) if state.exists else {}
+        done = len(known) >= drafts
+        for frame in frames:
+            for draft, raw in zip(frame["draft"], frame["raw"], strict=True):
+                known.setdefault(int(draft), raw)
+        if not done and len(known) >= drafts:
+            yield pd.DataFrame({"doc_id": key[0], "draft": list(known), "raw": list(known.values())})
+        # Of a document that is done only the numbers stay, so that late copies are known.
+        state.update((list(known), list(known.values()) if len(known) < drafts else [""] * len(known)))
+
+    return landed.groupBy("doc_id").applyInPandasWithState(run, "doc_id string, draft int, raw string", "drafts array<int>, raws array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def voted(spark: SparkSession, folder: str, out: str, checkpoint: str, drafts: int = 3) -> StreamingQuery:
     """Votes over the drafts (doc_id, draft, raw) of each document once all of a document's drafts are there.
 
-    Drafts wait in the out folder's pending table; each batch votes on the documents that it completes.
+    A batch reads its own documents only, and one that is run again takes the place of what it wrote.
     """
     landed = spark.readStream.schema("doc_id string, draft int, raw string").json(folder)
 
-    def batch(new: DataFrame, no: int) -> None:
-        new.select("doc_id", "draft", "raw", F.lit(no).alias("batch")).write.mode("append").parquet(f"{out}/drafts")
-        every = spark.read.parquet(f"{out}/drafts").where(F.col("batch") <= no).dropDuplicates(["doc_id", "draft"])
-        full = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("batch").alias("last")).where((F.col("n") >= drafts) & (F.col("last") == no))
-        payloads = every.join(full, "doc_id", "left_semi").select("doc_id", "draft", C.payload_of(F.col("raw")).alias("payload"))
-        C.vote(payloads)[0].withColumn("batch", F.lit(no)).write.mode("append").parquet(f"{out}/cells")
+    def batch(full: DataFrame, no: int) -> None:
+        payloads = full.select("doc_id", "draft", C.payload_of(F.col("raw")).alias("payload"))
+        C.vote(payloads)[0].write.mode("overwrite").parquet(f"{out}/batch={no}")
 
-    return landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return complete(landed, drafts).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
