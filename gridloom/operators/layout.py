@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.boxes import beside_separator, column_index
 from gridloom.functions.kinds import VALUE_KINDS, induced, kind_of
 from gridloom.operators.folds import Rows, by_page, medians, numbers
+from gridloom.sources.scratch import kept
 
 KEY = ["doc_id", "page"]
 # Labels that mark a summary row.
@@ -85,7 +86,11 @@ def placed(words: DataFrame, row_tol: float = 0.6, col_gap: float = 1.0) -> Data
 
 def grid(words: DataFrame, row_tol: float = 0.6, col_gap: float = 1.0) -> DataFrame:
     """(doc_id, page, row, col, text): every cell of the grid, blank ones included."""
-    at = placed(words, row_tol, col_gap)
+    return grid_of(placed(words, row_tol, col_gap))
+
+
+def grid_of(at: DataFrame) -> DataFrame:
+    """grid() of placed() words."""
     filled = at.groupBy(*KEY, "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda e: e["text"]), " ").alias("text"))
     rows = at.groupBy(*KEY, "row").agg(F.max("n_cols").alias("n_cols"))
     every = rows.select(*KEY, "row", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col"))
@@ -135,10 +140,15 @@ def layout_text(words: DataFrame, style: str = "grid", row_tol: float = 0.6, col
 
 def pitch(words: DataFrame, row_tol: float = 0.6) -> DataFrame:
     """(doc_id, page, pitch): median distance of neighbouring rows' centres, else the median height."""
-    rows = with_rows_of(words, row_tol).groupBy(*KEY, "row").agg(F.avg(F.col("y") + F.col("h") / 2).alias("cy"))
+    return pitch_of(with_rows_of(words, row_tol))
+
+
+def pitch_of(at: DataFrame) -> DataFrame:
+    """pitch() of words with rows."""
+    rows = at.groupBy(*KEY, "row").agg(F.avg(F.col("y") + F.col("h") / 2).alias("cy"))
     gaps = rows.withColumn("gap", F.col("cy") - F.lag("cy").over(Window.partitionBy(*KEY).orderBy("cy")))
     middle = gaps.groupBy(*KEY).agg(F.percentile(F.when(F.col("gap") > 0, F.col("gap")), 0.5).alias("p"))
-    return _both(middle, median_height(words)).select(*KEY, F.coalesce("p", "height").alias("pitch"))
+    return _both(middle, median_height(at)).select(*KEY, F.coalesce("p", "height").alias("pitch"))
 
 
 def alignment(at: DataFrame) -> DataFrame:
@@ -201,16 +211,17 @@ def row_kinds(rows: DataFrame, anchor: DataFrame, track: DataFrame) -> DataFrame
 def survey(words: DataFrame, row_tol: float = 0.6, col_gap: float = 1.0) -> dict[str, DataFrame]:
     """tracks, rows, anchors, pitch and contested of each page.
 
-    Tracks' kinds and alignments are taken again from what is neither header nor empty.
+    Tracks' kinds and alignments are taken again from what is neither header nor empty. Placed words, the first
+    tracks and the rows, which several of these start from, are written once.
     """
-    at = placed(words, row_tol, col_gap)
-    first = tracks(at)
+    at = kept(placed(words, row_tol, col_gap), "placed")
+    first = kept(tracks(at), "tracks")
     anchor = anchors(first)
-    rows = row_kinds(grid_rows(grid(words, row_tol, col_gap)), anchor, first)
+    rows = kept(row_kinds(grid_rows(grid_of(at)), anchor, first), "rows")
     centre = at.groupBy(*KEY, "row").agg(F.avg(F.col("y") + F.col("h") / 2).alias("cy"))
     body = _both(at, rows.where("kind not in ('header', 'empty')").select(*KEY, "row"), more=("row",))
     kinds = induced(_in_reading_order(body), [*KEY, "col"], "text", "seen").withColumnRenamed("kind", "k")
     sides = alignment(body).withColumnRenamed("align", "a")
     again = _both(_both(first, kinds, "left", ("col",)), sides, "left", ("col",))
     again = again.withColumn("kind", F.coalesce("k", "kind")).withColumn("align", F.coalesce("a", "align")).drop("k", "a")
-    return {"tracks": again, "rows": _both(rows, centre, more=("row",)), "anchors": anchor, "pitch": pitch(words, row_tol), "contested": contested(words, col_gap)}
+    return {"tracks": again, "rows": _both(rows, centre, more=("row",)), "anchors": anchor, "pitch": pitch_of(at), "contested": contested(words, col_gap)}
