@@ -84,7 +84,7 @@ def best_skew(words: DataFrame, most: float = 3.0, steps: int = 61) -> DataFrame
     """(doc_id, page, degrees): the angle that piles the words' centres into the sharpest columns.
 
     All angles are tried at once: counts by angle and bin, the largest sum of squares wins, the smallest
-    turn among equals.
+    turn among equals, to the left of two as small.
     """
     height = words.groupBy("doc_id", "page").agg(F.percentile("h", 0.5).alias("m"))
     angles = F.array(*[F.lit(-most + 2 * most * i / (steps - 1)) for i in range(steps)])
@@ -92,7 +92,7 @@ def best_skew(words: DataFrame, most: float = 3.0, steps: int = 61) -> DataFrame
     x = (F.col("x") + F.col("w") / 2) * F.cos(F.radians("a")) + (F.col("y") + F.col("h") / 2) * F.sin(F.radians("a"))
     bins = each.groupBy("doc_id", "page", "a", F.floor(x / F.greatest("m", F.lit(1e-9))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     sharp = bins.groupBy("doc_id", "page", "a").agg(F.sum(F.col("n") * F.col("n")).alias("s"))
-    return sharp.groupBy("doc_id", "page").agg(F.max_by("a", F.struct("s", -F.abs("a"))).alias("degrees"))
+    return sharp.groupBy("doc_id", "page").agg(F.max_by("a", F.struct("s", -F.round(F.abs("a"), 9), "a")).alias("degrees"))
 
 
 def edge_accuracy(pred: DataFrame, true: DataFrame) -> DataFrame:

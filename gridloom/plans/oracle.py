@@ -296,6 +296,6 @@ html AS (SELECT doc_id, '<table>' || string_agg(s, '' ORDER BY row) || '</table>
 ORACLES["cells_html"] = with_base(_HTML.format(dx="0"), last="SELECT doc_id, html FROM html")
 ORACLES["skew"] = with_base(
     "a AS (SELECT doc_id, -3.0::DOUBLE + 2 * 3.0::DOUBLE * i / 60 AS a, x + w / 2 AS cx, y + h / 2 AS cy FROM words, (SELECT unnest(range(61)) AS i)), b AS (SELECT doc_id, a, floor((cx * cos(radians(a)) + cy * sin(radians(a))) / 12.0::DOUBLE) AS bin, count(*) AS n FROM a GROUP BY ALL)",
-    "s AS (SELECT doc_id, a, sum(n * n) AS s FROM b GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, abs(a)) AS k FROM s)",
+    "s AS (SELECT doc_id, a, sum(n * n) AS s FROM b GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, round(abs(a), 9), a DESC) AS k FROM s)",
     last="SELECT doc_id, round(a, 6) AS degrees FROM k WHERE k = 1",
 )

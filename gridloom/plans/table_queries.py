@@ -135,15 +135,15 @@ def rewards(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("uid", F.round("validity", 9).alias("validity"), F.round("total_reconciles", 9).alias("total_reconciles"))
 
 
-_PRINTED = "p AS (SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN '(' || printf('%.2f', abs(s_acctbal)) || ')' WHEN 1 THEN '$' || format('{:,}', CAST(floor(abs(s_acctbal)) AS BIGINT)) WHEN 2 THEN '€ ' || printf('%.2f', s_acctbal) WHEN 3 THEN printf('%.1f', s_acctbal) || ' %' WHEN 4 THEN s_name ELSE '  ' END AS t, s_acctbal AS b FROM supplier)"
+_PRINTED = "p AS (SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN '(' || printf('%.2f', abs(s_acctbal)) || ')' WHEN 1 THEN '$' || format('{:,}', CAST(floor(abs(s_acctbal)) AS BIGINT)) WHEN 2 THEN '€ ' || printf('%.2f', s_acctbal) WHEN 3 THEN printf('%.2f', s_acctbal) || ' %' WHEN 4 THEN s_name ELSE '  ' END AS t, s_acctbal AS b FROM supplier)"
 
 
-@query(f"WITH {_PRINTED} SELECT k, t, CASE k % 6 WHEN 0 THEN -CAST(printf('%.2f', abs(b)) AS DOUBLE) WHEN 1 THEN floor(abs(b)) WHEN 2 THEN CAST(printf('%.2f', b) AS DOUBLE) WHEN 3 THEN CAST(printf('%.1f', b) AS DOUBLE) END AS v, k % 6 = 9 AS plain FROM p")
+@query(f"WITH {_PRINTED} SELECT k, t, CASE k % 6 WHEN 0 THEN -CAST(printf('%.2f', abs(b)) AS DOUBLE) WHEN 1 THEN floor(abs(b)) WHEN 2 THEN CAST(printf('%.2f', b) AS DOUBLE) WHEN 3 THEN CAST(printf('%.2f', b) AS DOUBLE) END AS v, k % 6 = 9 AS plain FROM p")
 def printed_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers as accounts print them: parentheses, currencies, grouping, percent marks, names and blanks."""
     s = X.table(spark, sf, "supplier")
     k, b = F.col("s_suppkey"), F.col("s_acctbal")
-    shapes = [F.concat(F.lit("("), F.format_string("%.2f", F.abs(b)), F.lit(")")), F.concat(F.lit("$"), F.format_string("%,d", F.floor(F.abs(b)))), F.concat(F.lit("€ "), F.format_string("%.2f", b)), F.concat(F.format_string("%.1f", b), F.lit(" %")), F.col("s_name"), F.lit("  ")]
+    shapes = [F.concat(F.lit("("), F.format_string("%.2f", F.abs(b)), F.lit(")")), F.concat(F.lit("$"), F.format_string("%,d", F.floor(F.abs(b)))), F.concat(F.lit("€ "), F.format_string("%.2f", b)), F.concat(F.format_string("%.2f", b), F.lit(" %")), F.col("s_name"), F.lit("  ")]
     text = F.element_at(F.array(*shapes), (k % 6 + 1).cast("int"))
     return s.select(k.alias("k"), text.alias("t"), number(text).alias("v"), is_number(text).alias("plain"))
 
