@@ -9,11 +9,11 @@ shapes. A text's probability is the product of class transitions and of the word
 both smoothed; the text's end is a token in a class of its own.
 
 All counts are over all training documents and whole texts. Words are known by 64-bit hashes; their
-counts and classes stay a distributed table. The driver holds what is bounded: HEAD units, their class
-neighbours, and the counts and classes of the KNOWN most frequent words, which tasks look up themselves;
-rarer words are joined.
+counts and classes stay a distributed table. Classes, and with them the words clustered by full exchange and those placed
+on the driver, grow with the cube root of the vocabulary, from CLASSES to MOST_CLASSES (a class is a byte). The driver holds what
+that bounds, and the counts and classes of the KNOWN most frequent words, which tasks look up themselves; rarer words are joined.
 
-Cases: a null or empty text is the end token alone; words never seen in training share the mass of
+Cases: a null or empty text is the end token alone; texts of any length are scored whole; words never seen in training share the mass of
 one unseen word in their shape; without training documents all counts are 0; rows that repeat are
 scored as often as they stand there; documents without id are trained on. Other columns are not read.
 """
@@ -25,15 +25,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_scratch, most_frequent, written
+from gridloom.llm.common import drop_scratch, lean, most_frequent, shipped, written
 from gridloom.llm.textkernel import Lookup, Tally, Words, mix, signed, slices
 
-#: Classes besides the end's; words clustered by full exchange; words placed on the driver; words whose
-#: counts and classes every task holds; sweeps at most.
-CLASSES, CORE, HEAD, KNOWN, SWEEPS = 64, 1024, 8192, 1 << 18, 10
+#: Classes besides the end's, at least and at most; words that are clustered by full exchange, and that are placed on
+#: the driver, as (so many, and so many a class); words whose counts and classes every task holds; sweeps at most.
+CLASSES, MOST_CLASSES, CORE, HEAD, KNOWN, SWEEPS = 64, 255, (512, 8), (4096, 64), 1 << 18, 10
 SHAPES = 16
 #: Pseudo-count of the unigram class distribution in a class's transitions.
 BACKOFF = 10.0
@@ -105,7 +106,6 @@ class Units:
 
 def _pairs(docs: DataFrame, units: Units, code, n_left: int, n_right: int) -> np.ndarray:
     """Dense (n_left, n_right) counts of code(units of all pairs) -> pairs of small numbers."""
-    sent = docs.sparkSession.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_left * n_right, np.int64)
@@ -118,7 +118,8 @@ def _pairs(docs: DataFrame, units: Units, code, n_left: int, n_right: int) -> np
         at = np.flatnonzero(total)
         yield pa.record_batch({"k": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    with shipped(docs.sparkSession, units) as sent:
+        rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n_left * n_right, np.int64)
     out[np.asarray(rows["k"])] = np.asarray(rows["n"])
     return out.reshape(n_left, n_right)
@@ -211,23 +212,30 @@ def place(n: np.ndarray, own: np.ndarray, word: np.ndarray, left: np.ndarray, ri
 
 def tail_words(docs: DataFrame, units: Units, now: np.ndarray) -> DataFrame:
     """(h, n, class) of every word but the heads; now: counts of the class bigrams of the others."""
-    spark = docs.sparkSession
-    sent, c1 = spark.sparkContext.broadcast((units, now)), len(now)
+    c1 = len(now)
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = sent.value[0]
+        hashes, pairs, have = [], [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, pair = np.concatenate([*hashes, np.empty(0, np.uint64)]), np.concatenate([*pairs, np.empty(0, np.int64)])
+            _, first, n = np.unique(mix(h ^ mix(pair.astype(np.uint64))), return_index=True, return_counts=True)
+            # One number for the classes and how often: fewer bytes to shuffle.
+            return pa.record_batch({"h": signed(h[first]), "k": pa.array(n * c1**3 + pair[first], pa.int64())})
+
         for batch in batches:
-            hashes, pairs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for _, _, w in slices(batch.column(0)):
                 seq, _ = u.sequence(w)
                 c = u.classes[seq]
                 at = np.flatnonzero((seq >= len(u.heads)) & (seq != u.end))
                 hashes.append(w.hash[(np.cumsum(seq != u.end) - 1)[at]])
                 pairs.append((c[at] * c1 + c[at - 1]) * c1 + c[at + 1])
-            h, pair = np.concatenate(hashes), np.concatenate(pairs)
-            _, first, n = np.unique(mix(h ^ mix(pair.astype(np.uint64))), return_index=True, return_counts=True)
-            # One number for the classes and how often: fewer bytes to shuffle.
-            yield pa.record_batch({"h": signed(h[first]), "k": pa.array(n * c1**3 + pair[first], pa.int64())})
+                have += len(at)
+            if have > 1 << 20:
+                yield counted()
+                hashes, pairs, have = [], [], 0
+        yield counted()
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(h: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
@@ -248,8 +256,9 @@ def tail_words(docs: DataFrame, units: Units, now: np.ndarray) -> DataFrame:
         if len(h):
             yield out(h, k)
 
-    found = docs.select("text").mapInArrow(beside, "h long, k long").repartition("h").sortWithinPartitions("h")
-    return written(found.mapInArrow(placed, "h long, n long, class int"), "lm-words")
+    with shipped(docs.sparkSession, (units, now)) as sent:
+        found = docs.select("text").mapInArrow(beside, "h long, k long").repartition("h").sortWithinPartitions("h")
+        return written(found.mapInArrow(placed, "h long, n long, class int"), "lm-words")
 
 
 @dataclass
@@ -270,12 +279,22 @@ class Model:
         return len(self.mass) - 1
 
 
-def learnt(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = HEAD, known: int = KNOWN) -> tuple[Model, DataFrame]:
-    """The model from all texts but for its transitions, and the table (h, n, class) of all words but the heads."""
-    if classes > 255:
-        raise ValueError("a class is a byte")
+def n_classes(types: int) -> int:
+    return int(np.clip(round(types ** (1 / 3)), CLASSES, MOST_CLASSES))
+
+
+def learnt(docs: DataFrame, classes: int | None = None, core: int | None = None, head: int | None = None, known: int = KNOWN) -> tuple[Model, DataFrame]:
+    """The model from all texts but for its transitions, and the table (h, n, class) of all words but the heads.
+
+    classes, core and head go by the vocabulary unless given.
+    """
+    lean(docs.sparkSession)
     counts = written(count_words(docs), "lm-counts")
     n_docs = docs.count()
+    classes = n_classes(counts.count()) if classes is None else classes
+    if classes > MOST_CLASSES:
+        raise ValueError("a class is a byte")
+    core, head = (a + b * classes if given is None else given for (a, b), given in ((CORE, core), (HEAD, head)))
     # Bounded: the `known` most frequent words.
     top = most_frequent(counts, "n", known).orderBy(F.desc("n"), "h").toArrow()
     hashes, n = np.asarray(top["h"]).view(np.uint64), np.asarray(top["n"])
@@ -351,8 +370,11 @@ def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def coded(docs: DataFrame, model: Model, words: DataFrame, keep: list[str]) -> DataFrame:
     """keep's columns of docs and _seq (a byte a word: its class), _known, _base, _emit (log10 of the words' shares in their classes) of every text."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    with shipped(docs.sparkSession, model) as sent:
+        return _coded(docs, sent, words, keep)
+
+
+def _coded(docs: DataFrame, sent: Broadcast[Model], words: DataFrame, keep: list[str]) -> DataFrame:
     fields = [docs.schema[c] for c in keep]
     kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "_seq binary, _known long, _base double, _emit double"
     half = float(np.log10(0.5))
@@ -475,10 +497,10 @@ def scored(table: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return table.mapInArrow(run, kind)
 
 
-def fit(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = HEAD, known: int = KNOWN) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, classes: int | None = None, core: int | None = None, head: int | None = None, known: int = KNOWN) -> tuple[Model, DataFrame]:
     """The model from all texts, and the table (h, n, class) of all words but the heads."""
     model, words = learnt(docs, classes, core, head, known)
-    model.transition = transitions(coded(docs, model, words, []), classes + 1)
+    model.transition = transitions(coded(docs, model, words, []), model.end + 1)
     return model, words
 
 
