@@ -1,7 +1,7 @@
 """Near-duplicate vectors by int8 tile products with rigorous error bounds.
 
 Vectors of a label are dealt into tiles of bounded size and every pair of tiles of the label is one
-task. A unit vector is rounded to int8 steps of its own size; what is lost is its error, whose
+task; tiles are as large as a task can hold, since each vector is shipped once for each tile of its label. A unit vector is rounded to int8 steps of its own size; what is lost is its error, whose
 norm is kept. The tiles' int8 product (integers, exact in float32 since they stay below 2**24)
 times the step sizes is at most |e_x| + |e_y| * |x'| off the true cosine, so that only pairs possibly
 at or above the threshold are computed again, in double precision. A task returns each vector's
@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, written
+from gridloom.llm.common import components, lean, written
 from gridloom.llm.graph import local_components
 from gridloom.llm.vectors import matrix
 
 THRESHOLD = 0.93
-#: Vectors in a tile, about.
-TILE = 2048
+#: Vectors in a small label's tile, about; tiles that a label is cut into at least if it has so many vectors, for the tasks'
+#: sake; bytes of a large label's tile.
+TILE, SPREAD, TILE_BYTES = 2048, 8, 1 << 24
 #: Above any rounding of the bounds' own arithmetic.
 SLACK = 1e-5
 
@@ -70,34 +71,32 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, y)
 
 
-def near(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows of x, rows of y, pairs computed again) at or above the threshold; x, y: unit rows."""
+def near(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows of x, rows of y, pairs computed again) at or above the threshold, piece by piece; x, y: unit rows."""
     width = max(x.shape[1], y.shape[1])
     x, y = (np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in (x, y))
     qx, sx, ex, nx = int8(x)
     qy, sy, ey, _ = int8(y)
-    found_i, found_j, again = [], [], 0
-    fy = qy.astype(np.float32).T
-    step = 1024 if width < 1000 else 256
-    for a in range(0, len(x), step):
-        # float32 holds the integer sums exactly up to 2**24; wider vectors go in double.
-        tile = qx[a : a + step].astype(np.float32) @ fy if width * 127 * 127 < 1 << 24 else qx[a : a + step].astype(np.float64) @ fy.astype(np.float64)
-        bound = tile * sx[a : a + step, None] * sy[None, :] + ex[a : a + step, None] + nx[a : a + step, None] * ey[None, :] + SLACK
-        i, j = np.nonzero(bound >= threshold)
-        again += len(i)
-        for b in range(0, len(i), 1 << 16):  # bounded memory where all pairs are near
-            ii, jj = i[b : b + (1 << 16)] + a, j[b : b + (1 << 16)]
-            good = cosines(x[ii], y[jj]) >= threshold
-            found_i.append(ii[good])
-            found_j.append(jj[good])
-    none = np.empty(0, int)
-    return np.concatenate(found_i or [none]), np.concatenate(found_j or [none]), again
-
-
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Pairs that connect what the pairs (a, b) connect, at most n - 1."""
-    root = local_components(a, b, n)
-    return [(int(r), i) for i, r in enumerate(root.tolist()) if r != i]
+    # float32 holds the integer sums exactly up to 2**24; wider vectors go in double.
+    exact = np.float32 if width * 127 * 127 < 1 << 24 else np.float64
+    step, wide = (1024, 2048) if width < 1000 else (256, 2048)
+    for c in range(0, len(y), wide):
+        fy = qy[c : c + wide].astype(exact).T
+        for a in range(0, len(x), step):
+            tile = qx[a : a + step].astype(exact) @ fy
+            bound = tile * sx[a : a + step, None] * sy[None, c : c + wide] + ex[a : a + step, None] + nx[a : a + step, None] * ey[None, c : c + wide] + SLACK
+            i, j = np.nonzero(bound >= threshold)
+            for b in range(0, len(i), 1 << 16):  # bounded memory where all pairs are near
+                ii, jj = i[b : b + (1 << 16)] + a, j[b : b + (1 << 16)] + c
+                good = cosines(x[ii], y[jj]) >= threshold
+                yield ii[good], jj[good], len(ii)
+
+
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each node the smallest one that it is connected with, after the pairs (a, b) as well."""
+    x, y = root[a], root[b]
+    apart = x != y
+    return local_components(x[apart], y[apart], len(root))[root] if apart.any() else root
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -108,11 +107,13 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
     that is linked.
     """
     kind = dict(vectors.dtypes)
+    lean(vectors.sparkSession)
     rows = vectors.select("vec_id", "label", "embedding").mapInArrow(_keys, f"vec_id {kind['vec_id']}, label {kind['label']}, key binary, vector binary")
     rows = written(rows, "vectors")
     classes = rows.where("label is not null and key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"))
     classes = written(classes, "vector-classes")
-    per = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    n, size = F.count(F.lit(1)), F.max(F.length("vector"))
+    per = classes.groupBy("label").agg(F.least(F.ceil(n / tile), F.greatest(F.lit(SPREAD), F.ceil(n * size / TILE_BYTES))).cast("int").alias("tiles"))
     dealt = classes.join(per, "label").withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     # Each vector goes to the tasks of its tile with every tile of the label.
     task = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("label", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "key", "rep", "copies", "vector")
@@ -123,17 +124,18 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
         reps = table["rep"].to_pylist()
         one = np.flatnonzero(t == i)
         two = one if i[0] == j[0] else np.flatnonzero(t == j)
-        a, b, _ = near(vectors_[one], vectors_[two], threshold)
-        a, b = one[a], two[b]
-        if i[0] == j[0]:
-            keep = a < b
-            a, b = a[keep], b[keep]
         n = len(t)
-        count = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
-        # Only then the forest: its roots would else be dropped with all that they connect.
-        named = np.array([r is not None for r in reps], bool)
-        named = named[a] & named[b]
-        edges = forest(a[named], b[named], n)
+        count, root, named = np.zeros(n), np.arange(n), np.array([r is not None for r in reps], bool)
+        for a, b, _ in near(vectors_[one], vectors_[two], threshold):
+            a, b = one[a], two[b]
+            if i[0] == j[0]:
+                keep = a < b
+                a, b = a[keep], b[keep]
+            count += np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+            # Rows without id connect nothing: as roots they would be dropped with all below them.
+            own = named[a] & named[b]
+            root = joined(root, a[own], b[own])
+        edges = [(int(r), k) for k, r in enumerate(root.tolist()) if r != k]
         some = np.flatnonzero(count)
         label = table["label"][0].as_py()
         m = len(some) + len(edges)
