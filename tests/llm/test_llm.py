@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gridloom.llm import queries as llm_queries
 from gridloom.llm import chunks, class_lm, mixing, ngram_join, packing, suffixes, textkernel, topk, toxicity, url_rules, vector_dedup
 from gridloom.llm.common import components, most_frequent
 from gridloom.llm.filters import repeated
@@ -108,6 +109,15 @@ def test_mixing_meets_targets(spark):
         assert r["size"] == len(split(texts[r["doc_id"]])) and r["taken"] <= 2 * r["size"] and math.isclose(r["target"], target[r["source"]])
         taken[r["source"]] += r["taken"]
     assert len(out) == len(texts) and all(abs(taken[s] - target[s]) <= 1 for s in order)
+    # The slots are van der Corput's: the first document of a source is met where the sequence first falls on its arc.
+    blocks = {s: -(-round(target[s]) // 16) for s in order}
+    n = sum(blocks.values())
+    bits, low = max(1, n.bit_length()), 0
+    for s in order:
+        high = low + blocks[s]
+        want = next(i for i in range(n) if low / n <= int(f"{i:0{bits}b}"[::-1], 2) / 2**bits < high / n)
+        assert min(r["first_slot"] for r in out if r["source"] == s and r["taken"]) == want
+        low = high
     again = {(r["doc_id"], r["taken"], r["first_slot"]) for r in mixing.taken_words(d, block=16).collect()}
     assert again == {(r["doc_id"], r["taken"], r["first_slot"]) for r in out}
 
@@ -117,7 +127,16 @@ def test_mixture_is_even_along_the_way(spark):
     slots = mixing.mixture(d, block=16).select("slot", "source").distinct().orderBy("slot").toPandas()
     share = (slots["source"] == "b").cumsum() / np.arange(1, len(slots) + 1)
     assert abs(share[20:] - share.iloc[-1]).max() < 0.12
-    assert mixing.mixed_documents(d).columns == d.columns
+    mixed = mixing.mixed_documents(d, block=16)
+    assert mixed.columns == d.columns
+    # The schedule's order is the table's: along the way too, each source has its share.
+    order = mixed.toPandas()
+    words = order["text"].str.split().str.len()
+    share = (words * (order["source"] == "b")).cumsum() / words.cumsum()
+    assert abs(share[40:] - share.iloc[-1]).max() < 0.12
+    first = {r["doc_id"]: r["first_slot"] for r in mixing.taken_words(d, block=16).collect()}
+    seen = [first[i] for i in order.drop_duplicates("doc_id")["doc_id"]]
+    assert seen == sorted(seen) and len(set(first.values())) > 10
     assert mixing.taken_words(docs(spark, []).limit(0)).count() == 0
 
 
@@ -184,6 +203,33 @@ def test_join_against_all_pairs(spark, n, percent, chunk):
     assert got == brute_join(texts, n, percent)
 
 
+@pytest.mark.parametrize(("sets", "hot", "leaders"), [(4, 3, 1), (1000, 2, 8), (6, 1000, 2)])
+def test_join_with_split_blocks_and_components(spark, monkeypatch, sets, hot, leaders):
+    """One family holds half of all rows, and whoever is near it: chains, texts near only to a part of it."""
+    rng = random.Random(hot)
+    base = prose(rng, 60, 3000).split()
+    texts = near_copies(rng)
+    for _ in range(40):
+        own = list(base)
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(own))
+    monkeypatch.setattr(ngram_join, "SETS", sets)
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    _, classes, edges = ngram_join.links(docs(spark, texts), 4, 85, 400, hot)
+    label = {r["node"]: r["component"] for r in components(edges).collect()}
+    rep = {r["rep"]: r["copies"] for r in classes.collect()}
+    want = brute_join(texts, 4, 85)
+    assert {i: label.get(i, i) for i in rep} == {i: want[i][1] for i in rep}
+
+
+def test_components_of_a_hub(spark):
+    n = 3000
+    edges = [(0, i) for i in range(1, n)] + [(n + i, n - 1) for i in range(1, 700)] + [(9000, 9001)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(n), *range(n + 1, n + 700)]} | {9000: 9000, 9001: 9000}
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(4)
     own = [np.unique(rng.integers(0, 300, rng.integers(50, 90), dtype=np.uint64)) for _ in range(200)]
@@ -200,7 +246,10 @@ def test_join_rows_without_id_and_repeated_ids(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(d).collect())
     assert got == [(False, 3, 3), (False, 7, 3), (False, 7, 3), (False, 7, 3), (True, None, None)]
     kept = ngram_join.one_of_each(d)
-    assert kept.columns == d.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3]
+    # As rows, unlike texts of an id stay; of the copies that of the smallest id does.
+    assert kept.columns == d.columns and sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == sorted([(-1, t), (3, t + " more"), (7, "other text here now")])
+    once = ngram_join.one_of_each(docs(spark, [t, t, "x y", None, ""], ids=[5, 2, 3, 4, 6]))
+    assert sorted(r["doc_id"] for r in once.collect()) == [2, 3, 4, 6]
 
 
 # 4 chunks and 6 suffixes
@@ -216,6 +265,8 @@ def test_chunks_find_passages_wherever_they_stand(spark):
     d = docs(spark, texts)
     out = {r["doc_id"]: r for r in chunks.report(d).collect()}
     assert out[0]["dup_words"] == out[1]["dup_words"] == out[7]["dup_words"] == 0
+    short = chunks.report(docs(spark, ["only four words here", "other", "Only four\twords here"])).collect()
+    assert sorted((r["doc_id"], r["dup_words"], r["repeated_words"]) for r in short) == [(0, 0, 0), (1, 0, 0), (2, 4, 4)]
     assert 45 <= out[2]["dup_words"] <= 70 and 45 <= out[3]["dup_words"] <= 70 and len(out) == len(texts)
     kept = {r["doc_id"]: r for r in chunks.deduplicated(d).collect()}
     assert kept[1]["text"] == texts[1] and len(split(kept[2]["text"])) == 70 - out[2]["dup_words"] and kept[3]["n_chars"] == len(kept[3]["text"])
@@ -224,11 +275,65 @@ def test_chunks_find_passages_wherever_they_stand(spark):
 
 def test_gear_is_the_rolling_hash():
     data = np.frombuffer(b"the quick brown fox jumps over the lazy dog", np.uint8)
-    for i in (3, 20, 42):
-        h = 0
-        for b in data[max(0, i - chunks.REACH + 1) : i + 1]:
-            h = ((h << 1) + int(chunks._GEAR[b])) & 0xFFFFFFFF
-        assert int(chunks.gear(data)[i]) == h
+    for starts in ([0], [0, 1, 9, 9, 35], [0, 40]):
+        got = chunks.gear(data, np.array(starts))
+        for i in range(len(data)):
+            h = 0
+            for b in data[max(0, i - chunks.REACH + 1, max(s for s in starts if s <= i)) : i + 1]:
+                h = ((h << 1) + int(chunks._GEAR[b])) & 0xFFFFFFFF
+            assert int(got[i]) == h
+
+
+def brute_chunks(text, radius, most):
+    """Chunks as lists of words, straight from the definition."""
+    words = split(text)
+    h = []
+    for i in range(len(words)):
+        x = 0
+        for b in b"".join(words[: i + 1])[-chunks.REACH :]:
+            x = ((x << 1) + int(chunks._GEAR[b])) & 0xFFFFFFFF
+        h.append(x)
+    out, own = [], []
+    for i, w in enumerate(words):
+        own.append(w)
+        ends = all(h[i] < h[j] for j in range(max(0, i - radius), i)) and all(h[i] <= h[j] for j in range(i + 1, min(len(words), i + radius + 1)))
+        if ends or len(own) == most:
+            out.append(own)
+            own = []
+            # A stretch without a cut is counted from its own start.
+    return out + ([own] if own else [])
+
+
+@pytest.mark.parametrize(("radius", "least", "most"), [(2, 28, 64), (1, 1, 4), (4, 10, 20)])
+def test_chunks_against_the_definition(spark, radius, least, most):
+    rng = random.Random(radius)
+    texts, _ = shared_passage(rng)
+    texts += ["a b " * 90, "a b " * 70, "one two three", "one  TWO\nthree", "z " * 200, "z " * 129, texts[0], texts[1][:400], None, "é ü " * 3]
+    cut = [brute_chunks(t, radius, most) for t in texts]
+    seen, want = set(), {}
+    for i, own in enumerate(cut):
+        late = []
+        for c in own:
+            late.append(tuple(c) in seen)
+            seen.add(tuple(c))
+        runs, k = [], 0
+        while k < len(own):
+            j = k
+            while j < len(own) and late[j]:
+                j += 1
+            if j > k:
+                runs.append((j - k, sum(map(len, own[k:j]))))
+            k = max(j, k + 1)
+        n = sum(map(len, own))
+        good = [r for r in runs if r[1] >= least or r[1] == n]
+        want[i] = (n, len(own), sum(r[0] for r in good), sum(r[1] for r in good), len(good), sum(r[0] for r in runs), sum(r[1] for r in runs))
+    got = {r["doc_id"]: tuple(r)[1:] for r in chunks.report(docs(spark, texts), radius, least) .collect()} if most == chunks.MOST else None
+    if got is not None:
+        assert got == want
+    for t, own in zip(texts, cut):
+        for _, _, w in textkernel.texts([t]):
+            at = chunks.cuts(w, radius, most)
+            assert [int(b - a) for a, b in zip(at, np.r_[at[1:], len(w.hash)])] == [len(c) for c in own]
 
 
 def brute_windows(texts, n):
@@ -278,6 +383,49 @@ def test_curated_rules(spark):
     assert (out[1]["host"], out[1]["path"], out[6]["host"], out[8]["path"]) == ("m.example.com", "/en/", "", "")
 
 
+def test_mined_rules_against_enumeration(spark):
+    """Every combination of at least `least` bad urls that is sure enough, but for those that a part of is as sure."""
+    from itertools import combinations
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        host, path, key = rng.choice("abc"), rng.choice(["x", "y", "x/y"]), rng.choice("pq")
+        bad = rng.random() < (0.9 if (host, key) == ("a", "p") else 0.75 if path == "x/y" else 0.1)
+        rows.append((f"http://{host}.org/{path}?{key}=1", bad if i % 25 else None))
+    rows += [(None, True), ("nohost", True)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    sets = [(frozenset(r["t"]), r["blocked"]) for r in labelled.where("blocked is not null").select(url_rules.tokens(F.col("url")).alias("t"), "blocked").collect()]
+    sets = [(t, b) for t, b in sets if t]
+    base = sum(b for _, b in sets) / len(sets)
+    found = {}
+    for size in range(1, 7):
+        for c in {c for t, _ in sets for c in combinations(sorted(t), size)}:
+            of = [b for t, b in sets if set(c) <= t]
+            if sum(of) >= 10 and sum(of) / len(of) >= 0.7 and sum(of) / len(of) > base:
+                found[c] = (sum(of), sum(of) / len(of))
+    want = {c: v for c, v in found.items() if not any(set(o) < set(c) and w[1] >= v[1] for o, w in found.items())}
+    got = {tuple(r["antecedent"]): (r["support"], r["confidence"]) for r in url_rules.mine(labelled, least=10).collect()}
+    assert want and got == want
+    # The index finds what trying every rule on every url finds, and a curated rule goes first.
+    urls = sorted({u for u, _ in rows if u}) + ["http://a.com/x/y?p=1"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    toks = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    for r in url_rules.judge(pages, labelled, least=10).collect():
+        fits = [v[1] for c, v in want.items() if set(c) <= toks[r["page_id"]]]
+        if r["rule"] is None:
+            assert (r["verdict"], r["mined_confidence"]) == (("block", max(fits)) if fits else ("allow", None))
+        else:
+            assert (r["rule"], r["verdict"], r["mined_rule"]) == ("com/", "allow", None)
+
+
+def test_support_is_the_same_at_every_size(spark):
+    bad = [(f"http://casino.org/{i}", True) for i in range(30)]
+    rest = [(f"http://h{i % 50}.org/a{i % 7}", i % 9 == 0) for i in range(20_000)]
+    rules = [{r["rule_id"] for r in url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean")).collect()} for rows in (bad + rest[:200], bad + rest)]
+    assert rules[0] == rules[1] == {"h:casino", "p:0"}
+
+
 def test_mined_rules(spark):
     rng = random.Random(11)
     rows = []
@@ -401,7 +549,7 @@ def test_int8_bound_holds():
     q, s, e, n = vector_dedup.int8(x)
     bound = (q.astype(float) @ q.T.astype(float)) * np.outer(s, s) + e[:, None] + n[:, None] * e[None, :]
     assert (bound >= x @ x.T - 1e-12).all()
-    assert vector_dedup.near(x, x, 0.93)[2] < 2 * 300
+    assert sum(again for _, _, again in vector_dedup.near(x, x, 0.93)) < 2 * 300
 
 
 # 9 packing
@@ -594,3 +742,66 @@ def test_long_texts(spark):
 def test_arrow_slices_of_columns():
     column = pa.chunked_array([pa.array(["a b", None]), pa.array(["c"])]).combine_chunks().slice(1)
     assert [len(w.hash) for _, _, w in textkernel.slices(column)] == [1]
+
+
+PAGES, LABELS, VECTORS = "page_id long, url string, html string", "doc_id long, quality int, toxic int", "vec_id long, embedding array<float>, label int"
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", DOCS), ("pages", PAGES), ("labels", LABELS), ("embeddings", VECTORS)):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, query in llm_queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_long_texts_and_repeated_rows_in_every_query(spark, tmp_path):
+    """All queries and the pipeline over tables of nulls, one very long text, rows twice and extra columns of clashing names."""
+    rng = random.Random(23)
+    long = " ".join(f"l{i % 1013}" for i in range(120_000))
+    texts = [prose(rng, 40) for _ in range(12)] + [None, "", " \n", long, "vile" * 50_000]
+    rows = [(i if i != 3 else None, t, None if i % 3 else "en", [None, "a", "b"][i % 3], None if i % 4 else 7) for i, t in enumerate(texts)] * 2
+    d = spark.createDataFrame(rows, DOCS)
+    for c in ("size", "rank", "h", "n", "key", "score", "_row2", "component_id", "taken", "fold", "toxic", "n_tokens"):
+        d = d.withColumn(c, F.lit(1))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 1), (0, None, 0), (1, 0, None), (2, 1, 0), (None, 1, 1), (5, 1, 0)] * 2, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    urls = ["http://a.net/es/x", None, "none", "http://b.org/" + "p/" * 50_000, "http://x.org/?q=" + "z" * 100_000]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] * 2, PAGES)
+    for c in ("host", "path", "rule", "verdict", "items", "key", "url_tokens", "blocked", "doc_id"):
+        pages = pages.withColumn(c, F.lit("x"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    vectors = [(100, [1.0, 0.0], 1), (100, [1.0, 0.0], 1), (1, [0.9, 0.1], 1), (2, [0.0, 0.0], 1), (3, [float("nan"), 1.0], 1), (4, None, 1), (None, [1.0, 0.1], 1), (5, [1.0], None), (6, [1.0, None], 2), (7, [], 2)]
+    e = spark.createDataFrame(vectors, VECTORS)
+    for c in ("key", "rep", "copies", "score", "query_id", "rank", "links", "t"):
+        e = e.withColumn(c, F.lit(2))
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {name: query(spark, str(tmp_path)).toPandas() for name, query in llm_queries.QUERIES.items()}
+    per_row = {"op1_mix_sources", "op3_ngram_jaccard", "op4_chunk_dedup", "op6_suffix_dedup", "op7_toxicity", "op9_pack_lengths", "op10_class_lm"}
+    assert {n: len(out[n]) for n in per_row} == dict.fromkeys(per_row, 2 * len(texts))
+    assert len(out["op5_url_filter"]) == 10 and len(out["op8_vector_dedup"]) == len(vectors)
+    size = {i: len(split(t)) for i, t in enumerate(texts)}
+    for name, column in (("op1_mix_sources", "size"), ("op4_chunk_dedup", "n_words"), ("op6_suffix_dedup", "n_words"), ("op9_pack_lengths", "n_tokens")):
+        assert sorted(out[name][column]) == sorted([*size.values()] * 2), name
+    assert sorted(out["op10_class_lm"]["n_tokens"]) == sorted([n + 1 for n in size.values()] * 2)
+    # A row's copy is a copy: linked with it, and a repeat but for the first.
+    linked = out["op3_ngram_jaccard"].dropna()
+    assert (linked.component_id == linked.doc_id).all()
+    assert out["op6_suffix_dedup"].set_index("doc_id").dup_words[15].tolist().count(120_000) == 1
+    assert out["op4_chunk_dedup"].groupby("doc_id").dup_words.max()[5] == 40
+    top = out["op2_exact_topk"]
+    assert set(top.query_id) == {100} and set(top.vec_id) == {1, 2, 7, 5}
+    near = out["op8_vector_dedup"].set_index("vec_id")
+    assert near.loc[100, "n_links"].tolist() == [3, 3] and near.loc[1, "n_links"] == 3 and near.loc[1, "component_id"] == 1 and near.loc[2, "n_links"] == 0
+    assert out["op5_url_filter"].groupby("page_id").verdict.first().tolist() == ["block", "allow", "allow", "allow", "allow"]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert len(packed) and set(packed.doc_id.dropna()) <= set(range(len(texts)))
+
+
+def test_ties_at_the_threshold_link(spark):
+    words = [f"t{i}" for i in range(23)]
+    # 17 of 20 shingles: just 85 of 100; with one more word 17 of 21.
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs(spark, [" ".join(words[:20]), " ".join(words), " ".join(words[:20] + ["u", "v", "w", "x"])]), 4, 85).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    e = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [3.0, 4.0], 1), (3, [3.0, 4.001], 1)], VECTORS)
+    assert {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(e, 0.6).where("vec_id < 3").collect()} == {1: 1, 2: 2}
