@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept, as documents (doc_id, text, lang, source, n_chars), and the
 folder of the input tables; the last one returns the packed batches.
+
+Cases: null and empty texts are clean, copies of nothing, and repeat nothing, and the mixture, which takes words, does
+not take them; texts of any length go through whole. Rows without id stay as they are but for toxicity, repeats and the mixture.
+Of rows that share an id each is judged by its own text: exact and near copies go, unlike texts stay. A null source is a
+source of its own. Columns beyond the five stay, unless they are called like one that packing adds. An empty table gives an
+empty one. What is not in labels, or null there, trains nothing; without labels nothing is toxic.
 """
 
 from __future__ import annotations
