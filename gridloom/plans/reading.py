@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import cells as C
@@ -16,6 +18,7 @@ from gridloom.sources import pictures
 from gridloom.sources.scratch import kept
 
 Open = Callable[[], Callable[[dict], str]]
+WORDS = ("doc_id", "page", "ord", "text", "x", "y", "w", "h", "conf")
 FIELDS = ["doc_id", "id", "text", "x", "y", "w", "h", "conf", "page", "alternates", "contested"]
 
 
@@ -85,6 +88,24 @@ def with_missed(pages: DataFrame, fragments: DataFrame, payloads: DataFrame, mod
     return with_more(fragments, new, threshold)
 
 
-def as_words(text: Column) -> Column:
-    """The parts of a read text that are not blank."""
-    return F.filter(F.split(text, " "), lambda w: w != "")
+def ocr_words(pages: DataFrame, engine: Callable[[], Callable[[np.ndarray], list[tuple]]]) -> DataFrame:
+    """(doc_id, page, ord, text, x, y, w, h, conf) of an OCR engine's lines on (doc_id, page, image): their texts without
+    white space at the ends, blank ones left out, around the corners it gives. A page without image has none.
+
+    engine is opened once a task; it takes a page as an array (height, width, channels) and returns (text, corners, confidence).
+    """
+    kind = dict(pages.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = engine()
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                lines = [] if r.data is None else [(str(t or "").strip(), c, p) for t, c, p in read(pictures.array_of(r.data, int(r.height), int(r.width), int(r.nChannels)))]
+                for ord_, (text, corners, conf) in enumerate(line for line in lines if line[0]):
+                    xs, ys = zip(*corners, strict=True)
+                    out.append((r.doc_id, r.page, ord_, text, float(min(xs)), float(min(ys)), float(max(xs) - min(xs)), float(max(ys) - min(ys)), float(conf)))
+            yield pd.DataFrame(out, columns=[*WORDS])
+
+    flat = pages.select("doc_id", "page", "image.data", "image.width", "image.height", "image.nChannels")
+    return flat.mapInPandas(run, f"doc_id {kind['doc_id']}, page {kind['page']}, ord int, text string, x double, y double, w double, h double, conf double")

@@ -152,6 +152,18 @@ def parts(pages: DataFrame, boxes: str = "boxes") -> DataFrame:
     return pages.select(*keep, boxes, "image.*").mapInPandas(run, kind)
 
 
+def resized(a: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Of just this size, by the nearest pixel, in three colours."""
+    a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[:, :, :3]
+    ys, xs = (np.arange(height) * a.shape[0] // height), (np.arange(width) * a.shape[1] // width)
+    return a[ys[:, None], xs[None, :]]
+
+
+def fitted(rows: DataFrame, width: int = 512, height: int = 512) -> DataFrame:
+    """rows with image resized(), as some models ask for."""
+    return _mapped(rows, lambda a, r: resized(a, width, height))
+
+
 def cropped(rows: DataFrame) -> DataFrame:
     """rows (image, x1, y1, x2, y2) with the part of the image in the box."""
     return _mapped(rows, lambda a, r: a[max(0, int(r["y1"])) : int(r["y2"]), max(0, int(r["x1"])) : int(r["x2"])])
