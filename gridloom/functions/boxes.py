@@ -6,18 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Intersection over union of two boxes given by x1, y1, x2, y2; 0 where they do not meet."""
-    w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
-    h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
-    area = lambda r: (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
-    return F.when(w * h > 0, w * h / (area(a) + area(b) - w * h)).otherwise(0.0)
-
-
-def corners(x: Column, y: Column, w: Column, h: Column) -> dict[str, Column]:
-    return {"x1": x, "y1": y, "x2": x + w, "y2": y + h}
-
-
 def axis_box(poly: Column) -> Column:
     """The (x, y, w, h) struct around a polygon given as an array of [x, y] arrays."""
     xs, ys = F.transform(poly, lambda p: p[0]), F.transform(poly, lambda p: p[1])

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import html as H
-from gridloom.functions.boxes import iou
 from gridloom.functions.kinds import accepts, induced, kind_of, number
 from gridloom.functions.text import clean_prediction, fits_length, without_thinking
 from gridloom.operators import cells as C
@@ -326,11 +325,8 @@ def plan_tiles(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping pairs of enlarged word boxes of a document."""
-    b = _words(spark, sf).select("doc_id", "ord", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w") * 1.5).alias("x2"), (F.col("y") + 26).alias("y2"))
-    o = b.toDF("doc_id", "b", "u1", "v1", "u2", "v2")
-    pairs = b.join(o, "doc_id").where("ord < b and x1 < u2 and u1 < x2 and y1 < v2 and v1 < y2")
-    box = lambda *n: dict(zip(("x1", "y1", "x2", "y2"), map(F.col, n), strict=True))
-    return pairs.select("doc_id", F.col("ord").alias("a"), "b", F.round(iou(box("x1", "y1", "x2", "y2"), box("u1", "v1", "u2", "v2")), 6).alias("iou"))
+    large = _words(spark, sf).withColumn("w", F.col("w") * 1.5).withColumn("h", F.lit(26.0))
+    return fragments.overlaps(large).select("doc_id", "a", "b", _r("iou", 6))
 
 
 @query
