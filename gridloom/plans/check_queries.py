@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import cells as C
-from gridloom.operators import corpus, fragments, layout, metrics, schema, structure
+from gridloom.operators import corpus, fragments, layout, metrics, schema, structure, verify
 from gridloom.plans import fixtures as X
 from gridloom.plans import prompts
 from gridloom.plans.oracle import _GRID, _HTML, _PLACED, _RUN, _SURVEY, _TRACKS, kind, with_base
 from gridloom.plans.queries import _fragments, _placing_model
 from gridloom.plans.reconstruct import Plan, reconstruct
+from gridloom.plans.table_queries import _json_shape
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -132,6 +133,27 @@ def schema_hint(spark: SparkSession, sf: str) -> DataFrame:
     return schema.hint(own.withColumn("columns", changed))
 
 
+@query(with_base(last="SELECT doc_id, 'said to be missed: ''' || substr(text, 1, 40) || ''' on page ' || CASE WHEN pk % 4 = 1 THEN '?' ELSE CAST(pk % 3 + 1 AS VARCHAR) END AS message FROM words WHERE pk % 4 < 2"))
+def missed_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Flags for the text that an answer says was not read."""
+    word = _words(spark, sf)
+    page = F.when(F.col("pk") % 4 == 0, (F.col("pk") % 3 + 1).cast("int"))
+    claim = F.when(F.col("pk") % 4 < 2, F.struct(F.concat(F.lit(" "), "text").alias("t"), F.lit(None).cast("array<double>").alias("b"), page.alias("p")))
+    claims = word.groupBy("doc_id").agg(F.collect_list(claim).alias("m"))
+    return verify.missed_claims(claims.select("doc_id", F.struct(F.col("m").alias("ocr_missed")).alias("payload"))).select("doc_id", "message")
+
+
+@query(with_base("k AS (SELECT DISTINCT uid AS doc_id FROM lines), e AS (SELECT doc_id, unnest([0, 1, 3]) AS cand FROM k WHERE doc_id % 5 <> 4)", last="SELECT doc_id, cand, CASE cand WHEN 0 THEN 'a text true null|b amount false top' WHEN 1 THEN 'c' || doc_id || ' date true null' ELSE 'd other true null' END AS columns, CASE cand WHEN 1 THEN 'why' ELSE '' END AS justification FROM e"))
+def candidates_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Schemas in JSON answers of all shapes; columns without name or kind and schemas without columns are left out."""
+    k = X.lines(spark, sf).select(F.col("uid").alias("doc_id")).distinct()
+    one = '{"candidates": [{"columns": [{"name": "a", "kind": "text"}, {"name": "x"}, {"name": "b", "kind": "amount", "printed": false, "parent": "top"}]}, {"columns": [{"name": "c#", "kind": "date"}], "justification": "why"}, {"columns": [{"kind": "text"}]}, {"columns": [{"name": "d", "kind": "other", "printed": null}]}]}'
+    body = F.replace(F.lit(one), F.lit("#"), F.col("doc_id").cast("string"))
+    out = schema.candidates(k.select("doc_id", _json_shape(body, F.col("doc_id"), '{"candidates": 1}').alias("raw")))
+    show = F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["kind"], c["printed"].cast("string"), F.coalesce(c["parent"], F.lit("null"))))
+    return out.select("doc_id", "cand", F.array_join(show, "|").alias("columns"), "justification")
+
+
 @query(with_base(
     "c AS (SELECT doc_id, ord, row, col, text FROM words WHERE pk % 9 <> 0), m AS (SELECT doc_id, row, count(DISTINCT col) AS filled, list(DISTINCT col) AS cols, avg(y + h / 2) AS cy FROM words GROUP BY ALL), n AS (SELECT *, lead(cols) OVER w AS nc, lead(cy) OVER w - cy AS gap FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY row)), g AS (SELECT doc_id, quantile_cont(gap, 0.5) AS mid FROM n GROUP BY doc_id)",
     last="SELECT n.doc_id, row, round(gap / greatest(mid, 1e-9), 6) AS gap_in_pitches, filled, len(nc) AS next_filled, len(list_intersect(cols, nc)) AS both_filled, NOT list_contains(nc, 0) AS starts_blank FROM n JOIN g USING (doc_id) WHERE nc IS NOT NULL"))

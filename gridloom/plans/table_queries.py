@@ -180,12 +180,12 @@ def html_of_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Shapes of a model's JSON answer around a body (@).
-_JSON = ("@", "```json\n@\n```", "<think>{\"cells\": 1}</think> so: @ done", "```\n{\"other\": 1}\n```\nthen ```json\n@\n```", "no answer")
+_JSON = ("@", "```json\n@\n```", "<think>%</think> so: @ done", "```\n{\"other\": 1}\n```\nthen ```json\n@\n```", "no answer")
 
 
-def _json_shape(body, key):
+def _json_shape(body, key, thought: str = '{"cells": 1}'):
     shape = F.element_at(F.array(*map(F.lit, _JSON)), (F.pmod(key, F.lit(len(_JSON))) + 1).cast("int"))
-    return F.replace(shape, F.lit("@"), body)
+    return F.replace(F.replace(shape, F.lit("%"), F.lit(thought)), F.lit("@"), body)
 
 
 @query(with_base(last="SELECT doc_id, row AS r, col AS c, text AS t, CASE WHEN pk % 3 = 0 THEN NULL ELSE ord END AS f FROM words WHERE doc_id % 5 <> 4"))
