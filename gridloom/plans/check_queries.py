@@ -272,3 +272,21 @@ def pipeline_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     read = fragments.merged(X.reads(_words(spark, sf)))
     out = reconstruct(read, Plan(draw=_placing_model, drafts=1, rounds=1))
     return out.select("doc_id", F.length("html").alias("html_length"), "n_problems", "n_flags", "repair_rounds", "table_confidence")
+
+
+@query(with_base(_SURVEY, f"""bc AS (SELECT p.* FROM plc p JOIN sv ON sv.doc_id = p.doc_id AND sv.row = p.row WHERE sv.kind NOT IN ('header', 'empty')),
+bk AS (SELECT doc_id, gcol AS col, {kind('text')} AS k, count(*) AS n, min(struct_pack(r := row, x := x, o := ord)) AS f FROM bc GROUP BY ALL), bkind AS (SELECT doc_id, col, arg_min(k, struct_pack(n := -n, f := f)) AS kind FROM bk GROUP BY ALL),
+al AS (SELECT doc_id, gcol AS col, count(*) AS n, round(stddev_pop(x), 9) AS l, round(stddev_pop(x + w), 9) AS r, round(stddev_pop(x + w / 2), 9) AS c FROM bc GROUP BY ALL), fa AS (SELECT doc_id, gcol AS col, count(*) AS n, round(stddev_pop(x), 9) AS l, round(stddev_pop(x + w), 9) AS r, round(stddev_pop(x + w / 2), 9) AS c FROM plc GROUP BY ALL),
+nr AS (SELECT doc_id, count(DISTINCT row) AS n_rows FROM plc GROUP BY doc_id),
+tr AS (SELECT p.doc_id, p.gcol AS col, min(p.x) AS x1, max(p.x + p.w) AS x2, count(DISTINCT p.row) AS fill, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.gcol) - 1 AS pos FROM plc p GROUP BY p.doc_id, p.gcol),
+bv AS (SELECT g.doc_id, g.col, g.row, g.text, row_number() OVER (PARTITION BY g.doc_id, g.col ORDER BY g.row) AS n FROM grid g JOIN sv ON sv.doc_id = g.doc_id AND sv.row = g.row WHERE sv.kind IN ('data', 'summary') AND trim(g.text) <> ''),
+sm AS (SELECT doc_id, col, string_agg(substr(text, 1, 16), ', ' ORDER BY row) AS s FROM bv WHERE n <= 4 GROUP BY ALL),
+ln AS (SELECT tr.doc_id, tr.pos, printf('track %d: x %d to %d, aligned ', tr.pos, CAST(round_even(x1, 0) AS BIGINT), CAST(round_even(x2, 0) AS BIGINT)) || CASE WHEN coalesce(al.n, fa.n) < 2 OR (coalesce(al.l, fa.l) <= coalesce(al.r, fa.r) AND coalesce(al.l, fa.l) <= coalesce(al.c, fa.c)) THEN 'left' WHEN coalesce(al.r, fa.r) <= coalesce(al.c, fa.c) THEN 'right' ELSE 'center' END
+  || ', mostly ' || coalesce(b.kind, t.kind) || printf(', filled in %d of %d rows; such as: ', fill, n_rows) || coalesce(sm.s, '(none)') AS line
+  FROM tr JOIN nr USING (doc_id) JOIN fa ON fa.doc_id = tr.doc_id AND fa.col = tr.col LEFT JOIN al ON al.doc_id = tr.doc_id AND al.col = tr.col JOIN tkind t ON t.doc_id = tr.doc_id AND t.col = tr.col LEFT JOIN bkind b ON b.doc_id = tr.doc_id AND b.col = tr.col LEFT JOIN sm ON sm.doc_id = tr.doc_id AND sm.col = tr.col),
+hd AS (SELECT g.doc_id, g.row, string_agg('''' || g.text || ''' over track ' || g.col, '; ' ORDER BY g.col) AS s FROM grid g JOIN sv ON sv.doc_id = g.doc_id AND sv.row = g.row WHERE sv.kind = 'header' AND trim(g.text) <> '' GROUP BY ALL), hh AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY row) AS s FROM hd GROUP BY doc_id)""",
+    last="SELECT ln.doc_id, string_agg(line, chr(10) ORDER BY pos) || chr(10) || coalesce('header rows:' || chr(10) || max(hh.s), 'no printed header row') AS dossier FROM ln LEFT JOIN hh USING (doc_id) GROUP BY ln.doc_id"))
+def dossier(spark: SparkSession, sf: str) -> DataFrame:
+    """What a survey says in words, for a schema prompt."""
+    found = layout.survey(_placed(spark, sf))
+    return schema.dossier(found["tracks"], found["rows"])

@@ -299,3 +299,8 @@ ORACLES["skew"] = with_base(
     "s AS (SELECT doc_id, a, sum(n * n) AS s FROM b GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, round(abs(a), 9), a DESC) AS k FROM s)",
     last="SELECT doc_id, round(a, 6) AS degrees FROM k WHERE k = 1",
 )
+# The predicted trees lack cells and nothing else, and no edit script is shorter than the difference of the sizes.
+ORACLES["teds"] = with_base(
+    "t AS (SELECT uid, 1 + count(DISTINCT row) + count(*) AS n FROM tru GROUP BY uid), p AS (SELECT uid, 1 + count(DISTINCT row) + count(*) AS n FROM pred GROUP BY uid)",
+    last="SELECT uid, round(1 - (t.n - p.n) / t.n::DOUBLE, 9) AS teds_struct FROM t JOIN p USING (uid)",
+)

@@ -414,7 +414,7 @@ def grid_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def teds(spark: SparkSession, sf: str) -> DataFrame:
     pred, true = _pair(spark, sf)
     both = X.html(true).join(X.html(pred).withColumnRenamed("html", "pred_html"), "uid", "left")
-    return both.select("uid", metrics.teds_score("pred_html", "html").alias("teds_struct"))
+    return both.select("uid", F.round(metrics.teds_score("pred_html", "html"), 9).alias("teds_struct"))
 
 
 @query
