@@ -61,9 +61,14 @@ def release(owner: str, keep: DataFrame) -> None:
             _made.remove((owner, path))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors.
+
+    small: rows are few bytes beside what their tasks read; they are brought together into files of the advised
+    partition size, where else each task would leave a tiny one.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if small else df
     lean(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**SCRATCH).parquet(path)

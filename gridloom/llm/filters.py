@@ -43,7 +43,7 @@ def _place(h: np.ndarray, j: int, bits: int) -> np.ndarray:
 
 def repeated(hashes: DataFrame) -> Repeated:
     """From rows (h, n), n times each: the filter of the hashes whose sum of n is over 1."""
-    keys = written(hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
+    keys = written(hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated", small=True)
     n = keys.count()
     bits = int(min(MOST, max(SEGMENT, (BITS_A_KEY * max(n, 1) - 1).bit_length())))
 

@@ -28,8 +28,8 @@ WEIGHTS = (3, 1, 2)
 FACTOR, EPOCHS = 1.5, 2
 #: Cells of the unit interval by which slots meet the sources' shares.
 CELLS = 1024
-#: Slots ranked in one window.
-RUN = 1 << 16
+#: Slots ranked in one window; slots of the mixture that stand in one partition (some 8 million words).
+RUN, PART = 1 << 16, 1 << 14
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, epochs: int = EPOCHS) -> DataFrame:
@@ -92,7 +92,7 @@ def layout(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float =
     rows = rows.withColumn("_mix_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_mix_text", F.xxhash64("text"))
     rows = rows.select(*keep, "size", "_mix_key", "_mix_text")
     if "text" not in keep:
-        rows = written(rows, "mix-sizes")
+        rows = written(rows, "mix-sizes", small=True)
     t = written(targets(rows.select("source", "size"), weights, factor, epochs).withColumn("_mix_need", F.floor(F.col("target") + 0.5).cast("long")), "mix-targets")
     n = t.count() and rows.count()
     digits = 1
@@ -170,14 +170,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor:
     placed, t = layout(rows, weights, factor, epochs, block, keep=["doc_id", "source", "_mix_row"])
     taken = pieces(placed, epochs, block).join(schedule(docs.sparkSession, blocks_of(t, block)), ["_mix_no", "block"])
     reads = taken.groupBy("_mix_row", "epoch").agg(F.sum(F.col("end") - F.col("begin")).alias("_mix_words"), F.any_value("size").alias("_mix_size"), F.min_by("slot", "block").alias("_mix_slot"), F.min("rank").alias("_mix_rank")).drop("epoch")
-    out = rows.join(written(reads, "mix-reads"), "_mix_row")
+    reads = written(reads, "mix-reads")
+    slots = (reads.agg(F.max("_mix_slot")).first()[0] or 0) + 1
+    out = rows.join(reads, "_mix_row")
     whole = F.col("_mix_words") >= F.col("_mix_size")
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_mix_words").cast("int")), " ")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    order = ["_mix_slot", "_mix_rank", "_mix_row"]
-    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    # Slots are of equal size, so that the range a row belongs to is known without a look at the joined rows.
+    n = -(-slots // PART)
+    part = F.floor(F.col("_mix_slot") / PART).cast("int")
+    return out.repartitionById(n, part).sortWithinPartitions("_mix_slot", "_mix_rank", "_mix_row").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -407,7 +407,7 @@ def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK, hot: int =
     verified links that connect all that links connect."""
     spark = docs.sparkSession
     lean(spark)
-    marks = written(signatures(docs, n), "ngram-sets")
+    marks = written(signatures(docs, n), "ngram-sets", small=True)
     known = marks.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n")), "ngram-classes")
     # Classes of one document are the most; only the others' further documents are left out.

@@ -122,7 +122,8 @@ def test_mixing_meets_targets(spark):
     assert again == {(r["doc_id"], r["taken"], r["first_slot"]) for r in out}
 
 
-def test_mixture_is_even_along_the_way(spark):
+def test_mixture_is_even_along_the_way(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 100)
     d = docs(spark, [prose(random.Random(i), 40) for i in range(200)], ["a" if i % 4 else "b" for i in range(200)])
     slots = mixing.mixture(d, block=16).select("slot", "source").distinct().orderBy("slot").toPandas()
     share = (slots["source"] == "b").cumsum() / np.arange(1, len(slots) + 1)
