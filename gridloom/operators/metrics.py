@@ -244,17 +244,25 @@ def diagnostics(pred: DataFrame, true: DataFrame) -> DataFrame:
 def adjacency(cells: DataFrame) -> DataFrame:
     """(uid, a, b, direction): neighbouring non-blank texts in rows and columns."""
     c = cells.where("trim(text) <> ''").select("uid", "row", "col", "rowspan", "colspan", folded(F.col("text")).alias("t"))
-    o = c.select("uid", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("t").alias("t2"))
-    beside = F.explode(F.array(F.struct("row", (F.col("col") + F.col("colspan")).alias("col"), F.lit("right").alias("direction")), F.struct((F.col("row") + F.col("rowspan")).alias("row"), "col", F.lit("down").alias("direction"))))
-    at = c.select("uid", F.col("t").alias("a"), beside.alias("n")).select("uid", "a", "n.direction", F.col("n.row").alias("r2"), F.col("n.col").alias("c2"))
-    return at.join(o, ["uid", "r2", "c2"]).select("uid", "a", F.col("t2").alias("b"), "direction")
+    return _adjacency(c, ["uid"]).select("uid", "a", "b", "direction")
+
+
+def _adjacency(c: DataFrame, key: list[str]) -> DataFrame:
+    """adjacency() of (key, row, col, rowspan, colspan, t). Cells and what looks for them meet by position in one
+    grouping, so that rows that lie together by table stay there."""
+    at = lambda r, x, d: F.struct(r.alias("r"), x.alias("x"), F.lit(d).alias("direction"))
+    row, col = F.col("row"), F.col("col")
+    each = c.select(*key, "t", F.explode(F.array(at(row, col, ""), at(row, col + F.col("colspan"), "right"), at(row + F.col("rowspan"), col, "down"))).alias("n"))
+    own = F.col("n.direction") == ""
+    met = each.groupBy(*key, F.col("n.r").alias("r"), F.col("n.x").alias("x")).agg(F.collect_list(F.when(own, F.col("t"))).alias("here"), F.collect_list(F.when(~own, F.struct(F.col("t").alias("a"), F.col("n.direction").alias("direction")))).alias("near"))
+    found = met.where("size(here) > 0 and size(near) > 0").select(*key, "here", F.explode("near").alias("n"))
+    return found.select(*key, "n.a", F.explode("here").alias("b"), "n.direction")
 
 
 def adjacency_f1(pred: DataFrame, true: DataFrame) -> DataFrame:
     """(uid, adjacency_f1): agreement of neighbour relations, as bags."""
-    key = ["uid", "a", "b", "direction"]
-    n = lambda d, name: adjacency(d).groupBy(*key).agg(F.count(F.lit(1)).alias(name))
-    both = n(true, "t").join(n(pred, "p"), key, "full").fillna(0, ["t", "p"])
+    of = lambda d, side: d.where("trim(text) <> ''").select("uid", F.lit(side).alias("side"), "row", "col", "rowspan", "colspan", folded(F.col("text")).alias("t"))
+    both = _adjacency(of(true, 1).unionByName(of(pred, 0)), ["uid", "side"]).groupBy("uid", "a", "b", "direction").agg(F.count_if(F.col("side") == 1).alias("t"), F.count_if(F.col("side") == 0).alias("p"))
     s = both.groupBy("uid").agg(F.sum(F.least("t", "p")).alias("hit"), F.sum("t").alias("t"), F.sum("p").alias("p"))
     return s.select("uid", F.when(F.col("t") + F.col("p") == 0, 1.0).otherwise(2 * F.col("hit") / (F.col("t") + F.col("p"))).alias("adjacency_f1"))
 

@@ -25,6 +25,18 @@ def test_lines_equal_their_sql_and_stay_together(spark):
     assert exchanges(X.words(X.cells(spark, SF)).groupBy("doc_id", "ord").agg(F.max("text"))) == 1
 
 
-@pytest.mark.parametrize("name", ["order_ensemble"])
+@pytest.mark.parametrize("name", ["order_ensemble", "adjacency_f1"])
 def test_queries_that_need_the_lines_exchange_only(spark, name):
     assert exchanges(queries()[name](spark, SF)) == 1
+
+
+def test_adjacency_counts_every_pair_of_shared_places(spark):
+    from gridloom.operators import metrics
+
+    cell = "uid string, row int, col int, rowspan int, colspan int, text string"
+    rows = [("t", 0, 0, 1, 2, "A"), ("t", 0, 0, 1, 2, "a"), ("t", 0, 2, 1, 1, "b"), ("t", 0, 2, 1, 1, "c"), ("t", 1, 0, 1, 1, " "), ("t", 2, 2, 1, 1, "d"), ("u", 0, 2, 1, 1, "x")]
+    true = spark.createDataFrame(rows, cell)
+    got = sorted(tuple(r) for r in metrics.adjacency(true).collect())
+    assert got == [("t", "a", "b", "right")] * 2 + [("t", "a", "c", "right")] * 2
+    pred = spark.createDataFrame([rows[0], rows[2], ("t", 1, 2, 1, 1, "z"), ("v", 0, 0, 1, 1, "y")], cell)
+    assert {r["uid"]: r["adjacency_f1"] for r in metrics.adjacency_f1(pred, true).collect()} == {"t": 2 * 1 / (4 + 2)}
