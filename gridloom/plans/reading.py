@@ -19,9 +19,20 @@ from gridloom.sources.scratch import kept
 
 Open = Callable[[], Callable[[dict], str]]
 WORDS = ("doc_id", "page", "ord", "text", "x", "y", "w", "h", "conf")
+#: Bytes of pictures that a task holds.
+TASK = 32 << 20
 FIELDS = ["doc_id", "id", "text", "x", "y", "w", "h", "conf", "page", "alternates", "contested"]
 
 
+def dealt(pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page, image) dealt out by page, so that a task holds some TASK bytes of pictures.
+
+    Exchanges are planned by compressed bytes, of which blank pages have next to none: all of them came to one task.
+    """
+    size = pages.agg(F.sum(F.col("image.height").cast("long") * F.col("image.width") * F.col("image.nChannels"))).first()[0]
+    return pages.repartition((size or 0) // TASK + 1, "doc_id", "page")
+
+
 def _asked(parts: DataFrame, model: Open) -> DataFrame:
     """(doc_id, page, read, id, text, x, y, w, h) that the model reads in parts (doc_id, page, read, x1, y1, image)."""
     requests = parts.withColumn("prompt", F.lit(prompts.READING)).withColumn("schema", F.lit(FRAGMENTS))
@@ -54,7 +65,7 @@ def _boxed(pages: DataFrame, regions: DataFrame) -> DataFrame:
 
 def reread(pages: DataFrame, regions: DataFrame, model: Open, threshold: float = 0.5) -> DataFrame:
     """Fragments read from regions of the pages only, merged."""
-    return R.merged(_numbered(_asked(_boxed(pages, regions), model)), threshold)
+    return R.merged(_numbered(_asked(_boxed(dealt(pages), regions), model)), threshold)
 
 
 def claimed(payloads: DataFrame) -> DataFrame:
@@ -75,6 +86,7 @@ def with_more(fragments: DataFrame, new: DataFrame, threshold: float = 0.5) -> D
 def read_pages(pages: DataFrame, model: Open, tile: int = 1024, overlap: float = 0.2, offsets: tuple[int, ...] = (0,), threshold: float = 0.5, sweep: bool = True) -> DataFrame:
     """Fragments of (doc_id, page, image), numbered by document. sweep: patches of ink that no fragment meets are
     read once more, and what is found there is merged in."""
+    pages = dealt(pages)
     merged = kept(R.merged(_numbered(_asked(tiled(pages, tile, overlap, offsets), model)), threshold), "fragments")
     if not sweep:
         return merged.select(*FIELDS)
@@ -84,6 +96,7 @@ def read_pages(pages: DataFrame, model: Open, tile: int = 1024, overlap: float =
 
 def with_missed(pages: DataFrame, fragments: DataFrame, payloads: DataFrame, model: Open, threshold: float = 0.5) -> DataFrame:
     """fragments and what a second reading finds where payloads claim missed text."""
+    pages = dealt(pages)
     new = kept(_asked(_boxed(pages, claimed(payloads)), model), "missed")
     return with_more(fragments, new, threshold)
 

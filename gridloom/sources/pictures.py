@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 # Spark's modes of 8-bit images by channels.
 MODES = {1: 0, 3: 16, 4: 24}
+#: Bytes of parts of pages that go back to Spark at once.
+BATCH = 8 << 20
 
 
 def array_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -138,16 +140,22 @@ def parts(pages: DataFrame, boxes: str = "boxes") -> DataFrame:
     kind = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{f.name}` {f.dataType.simpleString()}" for f in item.fields] + [f"image {IMAGE}"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for frame in frames:
             for r in frame.to_dict("records"):
-                a, out = array_of(r["data"], r["height"], r["width"], r["nChannels"]), []
+                a = array_of(r["data"], r["height"], r["width"], r["nChannels"])
                 for b in r[boxes] if r[boxes] is not None else []:
                     x1, y1, x2, y2 = max(0, int(b["x1"])), max(0, int(b["y1"])), min(r["width"], int(b["x2"])), min(r["height"], int(b["y2"]))
                     if x2 - x1 >= 2 and y2 - y1 >= 2:
                         own = np.ascontiguousarray(a[y1:y2, x1:x2])
                         image = {"origin": r["origin"], "height": y2 - y1, "width": x2 - x1, "nChannels": r["nChannels"], "mode": r["mode"], "data": own.tobytes()}
                         out.append({**{c: r[c] for c in keep}, **{n: b[n] for n in names}, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "image": image})
-                yield pd.DataFrame(out, columns=[*keep, *names, "image"])
+                        size += own.nbytes
+                if size >= BATCH:
+                    yield pd.DataFrame(out, columns=[*keep, *names, "image"])
+                    out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=[*keep, *names, "image"])
 
     return pages.select(*keep, boxes, "image.*").mapInPandas(run, kind)
 

@@ -40,3 +40,14 @@ def test_adjacency_counts_every_pair_of_shared_places(spark):
     assert got == [("t", "a", "b", "right")] * 2 + [("t", "a", "c", "right")] * 2
     pred = spark.createDataFrame([rows[0], rows[2], ("t", 1, 2, 1, 1, "z"), ("v", 0, 0, 1, 1, "y")], cell)
     assert {r["uid"]: r["adjacency_f1"] for r in metrics.adjacency_f1(pred, true).collect()} == {"t": 2 * 1 / (4 + 2)}
+
+
+def test_blank_pages_are_dealt_out_by_the_bytes_of_their_pictures(spark, monkeypatch):
+    from gridloom.plans import reading
+    from gridloom.plans.source_queries import HEIGHT, WIDTH, _pages
+
+    monkeypatch.setattr(reading, "TASK", 20 * HEIGHT * WIDTH)
+    pages = _pages(spark, SF).select("doc_id", "page", "image").where("doc_id <= 100")
+    assert reading.dealt(pages).rdd.getNumPartitions() == pages.count() // 20 + 1
+    assert reading.dealt(pages.limit(0)).count() == 0
+    assert reading.dealt(pages).exceptAll(pages).count() == pages.exceptAll(reading.dealt(pages)).count() == 0
