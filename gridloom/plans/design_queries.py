@@ -58,10 +58,10 @@ def same_cell_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_base(last="SELECT doc_id, row AS r, col AS c, 'cell r=' || row || ' c=' || col || ': its box does not hold fragment ' || ord || ' ''' || substr(text, 1, 30) || '''' AS message FROM words WHERE pk % 6 = 0 AND w > 6 OR pk % 6 = 1"))
 def audit(spark: SparkSession, sf: str) -> DataFrame:
     """Cells whose box is cut short on the right, or lies one row too low."""
-    x, y, w, h, pk = (F.col(c) for c in ("x", "y", "w", "h", "pk"))
-    box = F.when(pk % 6 == 0, F.array(x, y, x + w / 2 + 2, y + h)).when(pk % 6 == 1, F.array(x, y + 20, x + w, y + h + 20)).otherwise(F.array(x, y, x + w, y + h))
+    b, pk = F.col("b"), F.col("pk")
+    box = F.when(pk % 6 == 0, F.array(b[0], b[1], b[0] + (b[2] - b[0]) / 2 + 2, b[3])).when(pk % 6 == 1, F.array(b[0], b[1] + 20, b[2], b[3] + 20)).otherwise(b)
     word = _words(spark, sf)
-    return design.audit(X.cell_list(word.withColumn("b", box)).drop("b").join(word.select("doc_id", "ord", box.alias("b")), ["doc_id", "ord"]), _fragments(word)).select("doc_id", "r", "c", "message")
+    return design.audit(X.cell_list(word).withColumn("b", box), _fragments(word)).select("doc_id", "r", "c", "message")
 
 
 @query(

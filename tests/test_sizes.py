@@ -25,7 +25,7 @@ def test_lines_equal_their_sql_and_stay_together(spark):
     assert exchanges(X.words(X.cells(spark, SF)).groupBy("doc_id", "ord").agg(F.max("text"))) == 1
 
 
-@pytest.mark.parametrize("name", ["order_ensemble", "adjacency_f1", "vote_cells"])
+@pytest.mark.parametrize("name", ["order_ensemble", "adjacency_f1", "vote_cells", "audit"])
 def test_queries_that_need_the_lines_exchange_only(spark, name):
     assert exchanges(queries()[name](spark, SF)) == 1
 
@@ -51,3 +51,12 @@ def test_blank_pages_are_dealt_out_by_the_bytes_of_their_pictures(spark, monkeyp
     assert reading.dealt(pages).rdd.getNumPartitions() == pages.count() // 20 + 1
     assert reading.dealt(pages.limit(0)).count() == 0
     assert reading.dealt(pages).exceptAll(pages).count() == pages.exceptAll(reading.dealt(pages)).count() == 0
+
+
+def test_audit_holds_each_cell_against_each_fragment_of_its_id(spark):
+    from gridloom.operators import design
+
+    cells = spark.createDataFrame([("d", 0, 0, 0, [0.0, 0.0, 9.0, 9.0], [1, 2, 7, None]), ("d", 1, 1, 0, [0.0, 0.0, 2.0, 2.0], [1]), ("d", 2, 2, 0, [0.0], [1]), (None, 3, 3, 0, [0.0, 0.0, 1.0, 1.0], [1])], "doc_id string, ord int, r int, c int, b array<double>, f array<int>")
+    read = spark.createDataFrame([("d", 1, "one", 0.0, 0.0, 8.0, 8.0), ("d", 2, "two", 5.0, 5.0, 9.0, 1.0), ("d", 2, "to", 5.0, 5.0, 1.0, 9.0), ("d", 3, "three", 0.0, 0.0, 90.0, 1.0)], "doc_id string, id long, text string, x double, y double, w double, h double")
+    got = sorted((r["r"], r["message"].partition("fragment ")[2]) for r in design.audit(cells, read).collect())
+    assert got == [(0, "2 'to'"), (0, "2 'two'"), (1, "1 'one'")]
