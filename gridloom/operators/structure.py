@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.cells import positions
+from gridloom.operators.folds import Rows, by_page, numbers
 
 # Scores above which a table is accepted, or looked at; share that a fallback may add.
 ACCEPT, REVIEW = 0.92, 0.70
@@ -86,13 +91,35 @@ def best_skew(words: DataFrame, most: float = 3.0, steps: int = 61) -> DataFrame
     All angles are tried at once: counts by angle and bin, the largest sum of squares wins, the smallest
     turn among equals, to the left of two as small.
     """
-    height = words.groupBy("doc_id", "page").agg(F.percentile("h", 0.5).alias("m"))
-    angles = F.array(*[F.lit(-most + 2 * most * i / (steps - 1)) for i in range(steps)])
-    each = words.join(height, ["doc_id", "page"]).withColumn("a", F.explode(angles))
-    x = (F.col("x") + F.col("w") / 2) * F.cos(F.radians("a")) + (F.col("y") + F.col("h") / 2) * F.sin(F.radians("a"))
-    bins = each.groupBy("doc_id", "page", "a", F.floor(x / F.greatest("m", F.lit(1e-9))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    sharp = bins.groupBy("doc_id", "page", "a").agg(F.sum(F.col("n") * F.col("n")).alias("s"))
-    return sharp.groupBy("doc_id", "page").agg(F.max_by("a", F.struct("s", -F.round(F.abs("a"), 9), "a")).alias("degrees"))
+    angles = sorted((-most + 2 * most * i / (steps - 1) for i in range(steps)), key=lambda a: (round(abs(a), 9), -a))
+
+    def fold(rows: Rows, at: np.ndarray) -> tuple[np.ndarray, Rows]:
+        pages = len(at) - 1
+        page = np.repeat(np.arange(pages), np.diff(at))
+        x, y, w, h = (numbers(rows[c]) for c in ("x", "y", "w", "h"))
+        there = ~np.isnan(h)
+        by = np.lexsort((h[there], page[there]))
+        n = np.bincount(page[there], minlength=pages)
+        tall, first = np.append(h[there][by], np.nan), np.cumsum(n) - n
+        middle = (tall[np.where(n > 0, first + (n - 1) // 2, -1)] + tall[np.where(n > 0, first + n // 2, -1)]) / 2
+        middle = np.fmax(middle, 1e-9)[page]
+        best, degrees = np.full(pages, -1), np.zeros(pages)
+        for a in angles:
+            t = math.radians(a)
+            bins = np.floor(((x + w / 2) * math.cos(t) + (y + h / 2) * math.sin(t)) / middle)
+            order = np.lexsort((bins, page))
+            p, b = page[order], bins[order]
+            new = np.ones(len(p), bool)
+            new[1:] = (p[1:] != p[:-1]) | ((b[1:] != b[:-1]) & ~(np.isnan(b[1:]) & np.isnan(b[:-1])))
+            starts = np.flatnonzero(new)
+            size = np.diff(np.append(starts, len(p)))
+            sharp = np.bincount(p[starts], size * size, pages).astype(np.int64)
+            better = sharp > best
+            best[better], degrees[better] = sharp[better], a
+        return at[:-1], {"degrees": pa.array(degrees)}
+
+    place = words.where("doc_id is not null and page is not null").select("doc_id", "page", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")])
+    return by_page(place, ["doc_id", "page"], fold, "degrees double", ("x", "y", "w", "h"))
 
 
 def edge_accuracy(pred: DataFrame, true: DataFrame) -> DataFrame:

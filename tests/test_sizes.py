@@ -60,3 +60,32 @@ def test_audit_holds_each_cell_against_each_fragment_of_its_id(spark):
     read = spark.createDataFrame([("d", 1, "one", 0.0, 0.0, 8.0, 8.0), ("d", 2, "two", 5.0, 5.0, 9.0, 1.0), ("d", 2, "to", 5.0, 5.0, 1.0, 9.0), ("d", 3, "three", 0.0, 0.0, 90.0, 1.0)], "doc_id string, id long, text string, x double, y double, w double, h double")
     got = sorted((r["r"], r["message"].partition("fragment ")[2]) for r in design.audit(cells, read).collect())
     assert got == [(0, "2 'to'"), (0, "2 'two'"), (1, "1 'one'")]
+
+
+def test_skew_is_a_fold_over_the_page_and_equals_trying_all_angles(spark):
+    import math
+    import random
+    from collections import Counter, defaultdict
+    from statistics import median
+
+    from gridloom.operators import structure
+
+    assert "Generate explode([-3" not in queries()["skew"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    draw = random.Random(5)
+    rows = [(d, p, *(None if draw.random() < 0.05 else round(draw.uniform(0, m), 1) for m in (300, 200, 60)), draw.choice([None, 0.0, 9.0, 12.0, 14.0])) for d in range(20) for p in (1, 2) for _ in range(draw.choice([1, 2, 12]))]
+    rows += [(99, 1, 1.0, 1.0, 2.0, None), (None, 1, 1.0, 1.0, 2.0, 3.0)]
+    got = {(r["doc_id"], r["page"]): r["degrees"] for r in structure.best_skew(spark.createDataFrame(rows, "doc_id int, page int, x double, y double, w double, h double")).collect()}
+    pages = defaultdict(list)
+    for d, p, *box in rows:
+        pages[d, p].append(box)
+    want = {}
+    for key, boxes in pages.items():
+        tall = [b[3] for b in boxes if b[3] is not None]
+        m, tried = max(median(tall) if tall else 0, 1e-9), []
+        for a in (-3.0 + 6.0 * i / 60 for i in range(61)):
+            cos, sin = math.cos(math.radians(a)), math.sin(math.radians(a))
+            n = Counter(None if None in b else math.floor(((b[0] + b[2] / 2) * cos + (b[1] + b[3] / 2) * sin) / m) for b in boxes)
+            tried.append((sum(v * v for v in n.values()), -round(abs(a), 9), a))
+        want[key] = max(tried)[2]
+    del want[None, 1]
+    assert got == want
