@@ -89,3 +89,18 @@ def test_skew_is_a_fold_over_the_page_and_equals_trying_all_angles(spark):
         want[key] = max(tried)[2]
     del want[None, 1]
     assert got == want
+
+
+def test_equal_structures_are_compared_once_and_unlike_ones_never_mixed_up(monkeypatch):
+    from gridloom.functions import teds
+
+    seen, plain = [], teds.tree_distance
+    monkeypatch.setattr(teds, "_known", {})
+    monkeypatch.setattr(teds, "tree_distance", lambda x, y: seen.append(1) or plain(x, y))
+    one = "<table><tr><td>{}</td><td>{}</td></tr></table>"
+    assert len({teds.score(one.format(i, i), one.format("a", i)) for i in range(5)}) == 1 and len(seen) == 1
+    # Equal tags in postorder, unlike trees.
+    assert teds.score("<table><tr><td>a</td></tr><tr></tr></table>", "<table><tr><td>a</td></tr><tr></tr></table>") == 1.0
+    assert teds.score("<table><tr></tr><tr><td>a</td></tr></table>", "<table><tr><td>a</td></tr><tr></tr></table>") < 1.0
+    assert teds.score("<table><thead><tr></tr></thead></table>", "<table><tr></tr><thead></thead></table>") < 1.0
+    assert teds.score(one.format("x", "y"), one.format("x", "z"), structure_only=False) < 1.0
