@@ -104,3 +104,19 @@ def test_equal_structures_are_compared_once_and_unlike_ones_never_mixed_up(monke
     assert teds.score("<table><tr></tr><tr><td>a</td></tr></table>", "<table><tr><td>a</td></tr><tr></tr></table>") < 1.0
     assert teds.score("<table><thead><tr></tr></thead></table>", "<table><tr></tr><thead></thead></table>") < 1.0
     assert teds.score(one.format("x", "y"), one.format("x", "z"), structure_only=False) < 1.0
+
+
+def test_layout_text_is_one_fold_over_the_page_and_equals_the_grid(spark):
+    import random
+
+    from gridloom.operators import layout
+
+    assert exchanges(queries()["layout_text"](spark, SF)) == 1
+    draw = random.Random(3)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -1.0]
+    some = lambda m: draw.choice(odd) if draw.random() < 0.1 else round(draw.uniform(0, m), 1)
+    rows = [(d, p, o, draw.choice(["a", "bb", " ", "c d", None, ""]), some(200), some(60), some(30), some(12)) for d in range(60) for p in (1, 2) for o in range(draw.choice([1, 2, 5, 30]))]
+    words = spark.createDataFrame(rows, "doc_id int, page int, ord int, text string, x double, y double, w double, h double")
+    at = layout.with_columns_of(layout.with_rows_of(words))
+    assert {repr(r) for r in layout.placed(words).select(at.columns).collect()} == {repr(r) for r in at.collect()}
+    assert sorted(map(repr, layout.layout_text(words).collect())) == sorted(map(repr, layout.grid_text(layout.grid_of(at)).collect()))
