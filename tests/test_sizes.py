@@ -151,3 +151,7 @@ def test_a_page_is_surveyed_in_one_fold_that_equals_the_operators(spark):
     again = {tuple(r)[:3]: tuple(r)[5:7] for r in layout.tracks(body).collect()}
     old = {tuple(r)[:3]: tuple(r)[5:7] for r in first.collect()}
     assert {tuple(r)[:3]: tuple(r)[5:7] for r in found["tracks"].collect()} == old | again
+
+
+def test_survey_tracks_needs_the_lines_exchange_only(spark):
+    assert exchanges(queries()["survey_tracks"](spark, SF)) == 1
