@@ -155,3 +155,17 @@ def test_a_page_is_surveyed_in_one_fold_that_equals_the_operators(spark):
 
 def test_survey_tracks_needs_the_lines_exchange_only(spark):
     assert exchanges(queries()["survey_tracks"](spark, SF)) == 1
+
+
+def test_dossier_and_hint_of_listed_pages_equal_those_of_rows(spark):
+    from gridloom.operators import layout, schema
+
+    assert exchanges(queries()["dossier"](spark, SF)) == 1
+    words = _strewn(spark).where("page = 1 and w > 0")
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    found = layout.survey(words)
+    assert same(schema.page_dossier(layout.surveyed(words)), schema.dossier(found["tracks"], found["rows"]))
+    own = schema.baseline(layout.tracks(layout.placed(words)))
+    assert same(schema.page_baseline(layout.tracked(words)), own)
+    more = spark.createDataFrame([(1, [("a", "text", True, None), ("b", "text", None, "P"), ("c", "date", False, None), (None, "text", True, "P"), ("d", "x", True, "")]), (2, [])], "doc_id int, columns array<struct<name:string,kind:string,printed:boolean,parent:string>>")
+    assert [tuple(r) for r in schema.hint(more).collect()] == [(1, "Columns found by the survey (check them against the print):\n  a [text], c [date] (implicit), d [x]\n  P -> b [text] (implicit)")]
