@@ -445,8 +445,7 @@ def layout_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cells_html(spark: SparkSession, sf: str) -> DataFrame:
-    cell = X.cell_list(_words(spark, sf)).drop("pk")
-    return C.html(X.payloads(cell), cell)
+    return C.html(X.payloads(X.cell_list(_words(spark, sf))))
 
 
 @query

@@ -170,3 +170,34 @@ def test_dossier_and_hint_of_listed_pages_equal_those_of_rows(spark):
     assert same(schema.page_baseline(layout.tracked(words)), own)
     more = spark.createDataFrame([(1, [("a", "text", True, None), ("b", "text", None, "P"), ("c", "date", False, None), (None, "text", True, "P"), ("d", "x", True, "")]), (2, [])], "doc_id int, columns array<struct<name:string,kind:string,printed:boolean,parent:string>>")
     assert [tuple(r) for r in schema.hint(more).collect()] == [(1, "Columns found by the survey (check them against the print):\n  a [text], c [date] (implicit), d [x]\n  P -> b [text] (implicit)")]
+
+
+def test_html_is_written_from_the_payload_itself_and_shows_what_stands(spark):
+    import random
+
+    from gridloom.operators import cells as C
+
+    assert exchanges(queries()["cells_html"](spark, SF)) == 1
+    draw = random.Random(7)
+    one = lambda: None if draw.random() < 0.05 else (draw.choice([None, -1, *range(5)]), draw.choice([None, *range(5)]), draw.choice([None, 0, 1, 1, 2, 3]), draw.choice([None, 1, 1, 2, 9]), draw.choice([None, True, False]), draw.choice([None, " a  b ", "<&>", ""]), draw.choice([None, [0.5, 1.5, 2.0, 3.0], [1.0], [1.0, None, 2.0, 2.0]]), draw.choice([None, 1, 1, 1, 2]), None)
+    rows = [(d, (draw.choice([None, [], [("a", "text")] * 7]), [one() for _ in range(draw.choice([0, 1, 4, 9]))], None, None)) for d in range(80)] + [(80, None), (81, (None, None, [1], None))]
+    p = spark.createDataFrame(rows, f"doc_id int, payload {C.PAYLOAD}")
+    c = C.cells(p)
+    standing = C.occupancy(c)
+    tags, paged = {}, {d for d, payload in rows if payload and any(e is not None and (e[7] or 1) > 1 for e in payload[1] or [])}
+    for r in standing.collect():
+        many = r["p"] is not None and r["doc_id"] in paged
+        tag = "th" if r["h"] else "td"
+        box = ' data-bbox="0,2,2,3"' if r["b"] and len(r["b"]) == 4 and None not in r["b"] else ""
+        spans = "".join(f' {n}="{r[k]}"' for n, k in (("rowspan", "rs"), ("colspan", "cs")) if r[k] > 1)
+        text = " ".join((r["t"] or "").split()).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        page = f' data-page="{r["p"]}"' if many else ""
+        tags[r["doc_id"], r["r"], r["c"]] = f"<{tag}{spans}{box}{page}>{text}</{tag}>"
+    dim = C.dims(p, c)
+    tags |= {tuple(r): "<td></td>" for r in C.holes(standing, dim).collect()}
+    want = {}
+    for r in dim.collect():
+        body = ["<tr>" + "".join(tags.get((r["doc_id"], y, x), "") for x in range(r["n_cols"])) + "</tr>" for y in range(r["n_rows"])]
+        want[r["doc_id"]] = "<table>" + "".join(body) + "</table>" if body else ""
+    assert dict(map(tuple, C.html(p).collect())) == want
+    assert dict(map(tuple, C.html(p, c).collect())) == want
