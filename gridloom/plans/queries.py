@@ -219,8 +219,7 @@ def fragment_identity(spark: SparkSession, sf: str) -> DataFrame:
     word = _words(spark, sf)
     pk, own = F.col("pk"), F.col("ord").cast("int")
     cited = F.when(pk % 6 == 0, F.array(own + 50000)).when(pk % 9 == 1, F.array(own, own)).when(pk % 10 == 3, F.array().cast("array<int>")).otherwise(F.array(own))
-    passed = word.groupBy("doc_id").agg(F.array_append(F.collect_list(F.when(pk % 4 == 1, own)), F.lit(90000)).alias("ignored"))
-    payload = X.payloads(X.cell_list(word).withColumn("f", cited)).join(passed, "doc_id").select("doc_id", F.col("payload").withField("ignored", F.col("ignored")).alias("payload"))
+    payload = X.payloads(X.cell_list(word).withColumn("f", cited), passed=F.array_append(F.collect_list(F.when(pk % 4 == 1, F.col("ord").cast("int"))), F.lit(90000)))
     found = C.identity(payload, _fragments(word))
     ends = {"uncited": "cites no fragment", "invented": "(invented)", "duplicated": "(duplicated)", "dropped": "(dropped)", "both": "both used and ignored"}
     n = lambda end: F.count_if(F.col("message").endswith(end))

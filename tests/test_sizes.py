@@ -201,3 +201,41 @@ def test_html_is_written_from_the_payload_itself_and_shows_what_stands(spark):
         want[r["doc_id"]] = "<table>" + "".join(body) + "</table>" if body else ""
     assert dict(map(tuple, C.html(p).collect())) == want
     assert dict(map(tuple, C.html(p, c).collect())) == want
+
+
+def test_fragments_are_accounted_for_in_one_grouping(spark):
+    import random
+    from collections import Counter
+
+    from gridloom.operators import cells as C
+
+    assert exchanges(queries()["fragment_identity"](spark, SF)) == 1
+    draw = random.Random(2)
+    ids = lambda: draw.choice([None, [draw.choice([None, *range(8)]) for _ in range(draw.randrange(4))]])
+    docs = [(d, draw.choice([None, [(r, 0, 1, 1, False, "t", None, 1, ids()) for r in range(draw.randrange(4))]]), ids()) for d in range(60)]
+    p = spark.createDataFrame([(d, (None, cells, skip, None)) for d, cells, skip in docs] + [(70, None), (None, (None, [(9, 0, 1, 1, False, "t", None, 1, [1])], [2], None))], f"doc_id int, payload {C.PAYLOAD}")
+    frags = [(d, draw.choice([None, *range(6)]), "x") for d in [*range(62), 70, None] for _ in range(6)]
+    got = Counter((r["doc_id"], r["r"], r["message"]) for r in C.identity(p, spark.createDataFrame(frags, "doc_id int, id int, text string")).collect())
+    want = Counter()
+    for d, cells, skip in [*docs, (70, None, None), (None, [(9, 0, 1, 1, False, "t", None, 1, [1])], [2])]:
+        known = {i for e, i, _ in frags if e == d and d is not None and i is not None}
+        used = set()
+        for e in cells or []:
+            say = lambda text, r=e[0]: (d, r, None if text is None else f"cell r={r} c=0: {text}")  # noqa: B023, E731
+            if not e[8]:
+                want[say("cites no fragment")] += 1
+            for f in e[8] or []:
+                if f not in known:
+                    want[say(None if f is None else f"cites unknown fragment {f} (invented)")] += 1
+                elif f in used:
+                    want[say(f"fragment {f} is cited before (duplicated)")] += 1
+                used |= {f} & known
+        for f in skip or []:
+            if f not in known:
+                want[d, None, None if f is None else f"ignored lists unknown fragment {f}"] += 1
+            elif f in used:
+                want[d, None, f"fragment {f} is both used and ignored"] += 1
+        if d is not None:
+            for _, i, _ in [x for x in frags if x[0] == d and (x[1] is None or x[1] not in used | set(skip or []))]:
+                want[d, None, None if i is None else f"fragment {i} 'x' is neither used nor ignored (dropped)"] += 1
+    assert got == want
