@@ -268,3 +268,23 @@ def test_pairs_of_lines_are_one_fold_over_the_page(spark):
 def test_answers_are_parsed_once(spark):
     plan = queries()["payload_parse"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_merged_fragments_are_numbered_as_the_pages_are_folded(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from gridloom.operators import fragments
+
+    assert exchanges(queries()["merge_fragments"](spark, SF)) == 2  # the lines, and the query's own sums by document
+    draw = random.Random(9)
+    rows = [(d, p, o, draw.choice("abc"), draw.choice([0.0, 40.0, 80.0]) + draw.random(), draw.choice([0.05, 0.15, 0.25, 0.35, 1.0, 20.0, 30.2]), 30.0, draw.choice([12.0, 12.5])) for d in (None, *range(40)) for p in range(draw.choice([1, 2, 7])) for o in range(draw.choice([1, 5, 20]))]
+    reads = spark.createDataFrame(rows, "doc_id int, page int, ord int, text string, x double, y double, w double, h double")
+    order = Window.partitionBy("doc_id").orderBy("page", F.round(F.col("y") + F.col("h") / 2, 1), F.col("x") + F.col("w") / 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = fragments.merged(reads).withColumn("want", F.row_number().over(order) - 1).select("id", "want", "doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) > 300 and all(r["id"] == r["want"] for r in got)
