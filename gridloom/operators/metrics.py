@@ -1,21 +1,24 @@
 """Scores of predicted against true tables, their summary over a run, and the comparison of runs.
 
-Cells are rows (uid, row, col, rowspan, colspan, text), as html.cells() gives them; each table is parsed once.
+Cells are rows (uid, row, col, rowspan, colspan, text), as html.cells() gives them; evaluate() parses each table once
+and scores a pair of them where it is parsed.
 """
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gridloom.functions import teds
-from gridloom.functions.html import CELL, exploded, table_of
+from gridloom.functions.html import Node, Table, plain, plain_cells, table_of
 from gridloom.functions.kinds import folded, number
-from gridloom.sources.scratch import kept
 
 #: Resamples, confidence and seed of the bootstrap.
 RESAMPLES, CONFIDENCE, SEED = 2000, 0.95, 0
@@ -55,8 +58,11 @@ def spans(pred: DataFrame, true: DataFrame) -> DataFrame:
 
 def with_span_ratios(s: DataFrame) -> DataFrame:
     s = s.withColumn("span_recall", ratio(F.col("matched"), F.col("total"))).withColumn("span_precision", ratio(F.col("matched"), F.col("matched") + F.col("spurious")))
-    p, r = F.col("span_precision"), F.col("span_recall")
-    return s.withColumn("span_f1", F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)))
+    return s.withColumn("span_f1", span_f1(F.col("span_precision"), F.col("span_recall")))
+
+
+def span_f1(p: Column, r: Column) -> Column:
+    return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
 def shape(cells: DataFrame, prefix: str) -> DataFrame:
@@ -77,29 +83,104 @@ def teds_score(pred: pd.Series, true: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else teds.similarity(p, t) for p, t in pairs], dtype="float64")
 
 
-def _judged(pred: str | None, true: str | None) -> dict:
-    guess, truth = table_of(pred), table_of(true)
-    cells = lambda t: [] if t is None else [dict(zip(CELL.names, c, strict=True)) for c in t.cells()]
-    return {"teds_struct": None if truth is None else teds.similarity(guess, truth), "pred": cells(guess), "true": cells(truth)}
-
-
-#: Both tables' cells and their structure similarity, from one parse of each.
-judged = F.udf(_judged, StructType([StructField("teds_struct", DoubleType()), StructField("pred", ArrayType(CELL)), StructField("true", ArrayType(CELL))]), useArrow=True)
-
-
-def evaluate(records: DataFrame, predictions: DataFrame) -> DataFrame:
+#: What a pair's tables are counted by, beside their structure similarity: as placement(), spans() and schema_match() have it.
+COUNTS = ("placed", "texts", "kept", "blanks", "matched", "total", "spurious", "true_cols", "pred_cols", "cells")
+
+
+def _counted(guess: Table | None, truth: Table | None) -> list[int]:
+    """COUNTS of a pair."""
+    places, spanning, width = [], [], []
+    for table in (guess, truth):
+        found = [] if table is None else table.cells()
+        places.append({})
+        for r, c, _, _, _, text, _ in found:
+            places[-1][r, c] = max(text.lower(), places[-1].get((r, c), ""))
+        spanning.append({cell[:4] for cell in found if cell[2] > 1 or cell[3] > 1})
+        width.append(max((cell[1] + cell[3] for cell in found), default=0))
+    both = [(t, places[0].get(at, "")) for at, t in places[1].items()]
+    texts = [t == p for t, p in both if t]
+    matched = len(spanning[0] & spanning[1])
+    return [sum(texts), len(texts), sum(not t and not p for t, p in both), len(both) - len(texts), matched, len(spanning[1]), len(spanning[0]) - matched, width[1], width[0], len(both)]
+
+
+#: Similarities of plain tables that a process remembers, by their rows' numbers of cells.
+KNOWN = 1 << 16
+_known: dict[tuple[bytes, bytes], float] = {}
+
+
+def _similarity(guess: np.ndarray, truth: np.ndarray) -> float:
+    key = guess.tobytes(), truth.tobytes()
+    if key[0] == key[1]:
+        return 1.0
+    if (found := _known.get(key)) is None:
+        if len(_known) >= KNOWN:
+            _known.clear()
+        bare = lambda rows: Table(Node("table", children=[Node("tr", children=[Node("td")] * n) for n in rows.tolist()]), [])
+        found = _known[key] = teds.similarity(bare(guess) if len(guess) else None, bare(truth))
+    return found
+
+
+def _plain_pairs(pred: pa.Array, true: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities, COUNTS) of plain() true tables and predictions that are plain() or '', all at once."""
+    n = len(true)
+    of, row_of, width, first, text = plain_cells(true)
+    their_of, _, their_width, their_first, theirs = plain_cells(pred)
+    ends, their_ends = np.searchsorted(of, np.arange(n + 1)), np.searchsorted(their_of, np.arange(n + 1))
+    row = np.repeat(np.arange(len(of)), width)
+    pair, col = of[row], np.arange(len(row)) - first[row]
+    other = their_ends[pair] + row_of[row]
+    there = other < their_ends[pair + 1]
+    other = np.where(there, other, 0)
+    if len(their_width):
+        there &= col < their_width[other]
+        found = theirs.take(pa.array(np.where(there, their_first[other] + col, 0), mask=~there)).fill_null("")
+    else:
+        found = pa.repeat(pa.scalar(""), len(row))
+    blank, equal = np.asarray(pc.equal(text, "")), np.asarray(pc.equal(text, found))
+    count = lambda mark: np.bincount(pair[mark], minlength=n)
+    widest = np.zeros((2, n), np.int64)
+    np.maximum.at(widest[0], of, width)
+    np.maximum.at(widest[1], their_of, their_width)
+    none = np.zeros(n, np.int64)
+    counts = [count(~blank & equal), count(~blank), count(blank & equal), count(blank), none, none, none, widest[0], widest[1], np.bincount(pair, minlength=n)]
+    a, b = ends.tolist(), their_ends.tolist()
+    return np.array([_similarity(their_width[b[i] : b[i + 1]], width[a[i] : a[i + 1]]) for i in range(n)], float), np.stack(counts, axis=1)
+
+
+def _judged(pred: pa.Array, true: pa.Array) -> pa.StructArray:
+    pred, n = pred.fill_null(""), len(true)
+    none = np.asarray(pc.equal(pred, ""))
+    easy = np.asarray(plain(true)) & (none | np.asarray(plain(pred)))
+    score, counts = np.full(n, np.nan), np.zeros((n, len(COUNTS)), np.int64)
+    at = np.flatnonzero(easy)
+    if len(at):
+        score[at], counts[at] = _plain_pairs(pred.take(pa.array(at)), true.take(pa.array(at)))
+    for i in np.flatnonzero(~easy).tolist():
+        guess, truth = table_of(pred[i].as_py()), table_of(true[i].as_py())
+        score[i] = np.nan if truth is None else teds.similarity(guess, truth)
+        counts[i] = _counted(guess, truth)
+    return pa.StructArray.from_arrays([pa.array(score, mask=np.isnan(score)), *[pa.array(c) for c in counts.T]], ["teds_struct", *COUNTS])
+
+
+@F.arrow_udf(StructType([StructField("teds_struct", DoubleType()), *[StructField(c, LongType()) for c in COUNTS]]))
+def judged(pred: pa.Array, true: pa.Array) -> pa.Array:
+    """Structure similarity and COUNTS of two tables as HTML, from one parse of each; the similarity is null without a true table."""
+    return _judged(pred, true)
+
+
+def evaluate(records: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
     """Scores of each record (uid, html, difficulty, n_spanning, image_path); a missing prediction is ''.
 
-    predictions: (uid, html). What is read of both tables is written once; the scores start from there.
+    predictions: (uid, html); without them, records have their own as pred_html, and no join is needed. Nothing is written and no cell is dealt out: what goes through the results more than once keeps them.
     """
-    both = records.join(predictions.select("uid", F.col("html").alias("pred_html")), "uid", "left").withColumn("pred_html", F.coalesce("pred_html", F.lit(""))).withColumnRenamed("html", "true_html")
-    seen = kept(both.withColumn("_j", judged("pred_html", "true_html")))
-    true, pred = (exploded(seen.select("uid", F.col(f"_j.{side}").alias("cells")), "uid", "cells") for side in ("true", "pred"))
-    out = seen.withColumn("teds_struct", F.col("_j.teds_struct")).drop("_j").withColumn("parse_failed", F.trim("pred_html") == "")
-    out = out.join(placement(pred, true).select("uid", "content_placement", "blank_preservation"), "uid", "left")
-    out = out.join(spans(pred, true).select("uid", "span_recall", "span_f1"), "uid", "left")
-    out = out.join(schema_match(pred, true).select("uid", F.col("cols_correct").alias("schema_cols_correct")), "uid", "left")
-    return out.fillna(1.0, ["content_placement", "blank_preservation", "span_recall", "span_f1"])
+    both = records if predictions is None else records.join(predictions.select("uid", F.col("html").alias("pred_html")), "uid", "left")
+    both = both.withColumn("pred_html", F.coalesce("pred_html", F.lit(""))).withColumnRenamed("html", "true_html")
+    seen = both.withColumn("_j", judged("pred_html", "true_html"))
+    j = lambda c: F.col(f"_j.{c}")
+    recall, precision = ratio(j("matched"), j("total")), ratio(j("matched"), j("matched") + j("spurious"))
+    out = seen.withColumn("teds_struct", j("teds_struct")).withColumn("parse_failed", F.trim("pred_html") == "")
+    out = out.withColumns({"content_placement": ratio(j("placed"), j("texts")), "blank_preservation": ratio(j("kept"), j("blanks")), "span_recall": recall, "span_f1": F.when(j("cells") > 0, span_f1(precision, recall)).otherwise(1.0)})
+    return out.withColumn("schema_cols_correct", F.when(j("cells") > 0, j("true_cols") == j("pred_cols"))).drop("_j")
 
 
 def bootstrap(values: list[float], resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = SEED) -> tuple[float, float, float]:

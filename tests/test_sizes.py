@@ -305,3 +305,34 @@ def test_merged_fragments_are_numbered_as_the_pages_are_folded(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) > 300 and all(r["id"] == r["want"] for r in got)
+
+
+def test_tables_are_scored_where_they_are_parsed(spark):
+    import random
+
+    import pyarrow as pa
+
+    from gridloom.functions import html, teds
+    from gridloom.operators import metrics
+
+    assert exchanges(queries()["evaluate_run"](spark, SF)) == 1
+    assert "ArrowEvalPython" in (plan := queries()["report_cases"](spark, SF)._jdf.queryExecution().executedPlan().toString()) and "explode" not in plan
+    draw = random.Random(1)
+    text = lambda: draw.choice(["", " ", "a", "A", "a  b", " A b ", "b>c", "12", "'\"", "~;="])
+    table = lambda: "<table>" + "".join("<tr>" + "".join(f"<td>{text()}</td>" for _ in range(draw.randint(1, 4))) + "</tr>" for _ in range(draw.randint(1, 4))) + "</table>"
+    odd = ["", None, " ", "no table", "<table></table>", "<table><tr></tr></table>", "<table><tr><td>&amp;</td></tr></table>", "<table><tr><td>a</td></tr></table>\n", "<table><tr><td>\t</td></tr></table>", "<table><tr><td colspan=2>A</td><th rowspan=2>é</th></tr><tr><td>b</td></tr></table>", "<TABLE><tr><td>É<td>q</table>"]
+    pairs = [(t := table(), table() if draw.random() < 0.5 else t.replace("a", draw.choice("aAq"))) for _ in range(80)] + [(a, b) for a in [*odd, table()] for b in [*odd, table()]]
+    true, pred = (pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1))
+    assert sum(html.plain(true).to_pylist()) > 80
+    for (t, p), got in zip(pairs[3:], metrics._judged(pred.slice(3), true.slice(3)).to_pylist(), strict=True):
+        guess, truth = html.table_of(p), html.table_of(t)
+        assert tuple(got.values()) == (None if truth is None else teds.similarity(guess, truth), *metrics._counted(guess, truth))
+    records = spark.createDataFrame([(i, t, "easy", 0, "") for i, (t, _) in enumerate(pairs)], "uid int, html string, difficulty string, n_spanning int, image_path string")
+    answers = spark.createDataFrame([(i, p) for i, (_, p) in enumerate(pairs)], "uid int, html string")
+    names = ["content_placement", "blank_preservation", "span_recall", "span_f1"]
+    got = metrics.evaluate(records, answers).select("uid", *names, "schema_cols_correct")
+    c, g = html.cells(records), html.cells(answers)
+    want = records.select("uid").join(metrics.placement(g, c), "uid", "left").join(metrics.spans(g, c), "uid", "left").join(metrics.schema_match(g, c), "uid", "left").fillna(1.0, names)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select("uid", *names, F.col("cols_correct").alias("schema_cols_correct")).collect()))
+    own = metrics.evaluate(records.join(answers.withColumnRenamed("html", "pred_html"), "uid"))
+    assert sorted(map(repr, own.select(got.columns).collect())) == sorted(map(repr, got.collect()))
