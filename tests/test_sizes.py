@@ -336,3 +336,24 @@ def test_tables_are_scored_where_they_are_parsed(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select("uid", *names, F.col("cols_correct").alias("schema_cols_correct")).collect()))
     own = metrics.evaluate(records.join(answers.withColumnRenamed("html", "pred_html"), "uid"))
     assert sorted(map(repr, own.select(got.columns).collect())) == sorted(map(repr, got.collect()))
+
+
+def test_reads_of_all_pages_are_clustered_at_once_as_page_by_page():
+    import random
+
+    import numpy as np
+
+    from gridloom.operators import fragments
+
+    draw = random.Random(5)
+    odd = [float("nan"), float("inf"), -5.0, 0.0]
+    some = lambda v: draw.choice(odd) if draw.random() < 0.02 else v
+    sizes = [draw.choice([1, 2, 5, 20, 60]) for _ in range(200)]
+    at = np.append(0, np.cumsum(sizes))
+    x, y, w, h = np.array([[some(draw.choice([0.0, 10.0, 40.0]) + draw.randrange(20)), some(draw.choice([0.0, 20.0]) + draw.choice([0, 3, 5])), some(draw.randrange(5, 40)), some(12.0)] for _ in range(at[-1])]).T
+    box = np.stack([x, y, x + w, y + h], axis=1)
+    with np.errstate(invalid="ignore"):
+        want = np.concatenate([fragments.first_clusters(box[a:b], 0.5) + a for a, b in zip(at[:-1], at[1:], strict=True)])
+        got = fragments.first_clusters_of_pages(box, np.repeat(np.arange(len(sizes)), sizes), 0.5)
+    assert got.tolist() == want.tolist() and 200 < len(set(want.tolist())) < at[-1]
+    assert fragments.first_clusters_of_pages(box[:0], np.empty(0, int), 0.5).tolist() == []
