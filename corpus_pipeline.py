@@ -36,23 +36,33 @@ def stage(f: Stage) -> Stage:
     return run_
 
 
+#: Bytes of a stage's input to each file of its result, where that gives two files a core at least.
+FILE = 32 << 20
+
+
+def gathered(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """out in fewer files: as many as the documents that it was made of need, without a shuffle, in no order."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return out.coalesce(min(max(2 * out.sparkSession.sparkContext.defaultParallelism, -(-size // FILE)), 1 << 20))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on labels of rows not held out, does not reject."""
     with owned(sf_dir):
         model = toxicity.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.clean(docs, model)
+    return gathered(toxicity.clean(docs, model), docs)
 
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of 5-word Jaccard similarity of 0.8 or more."""
-    return ngram_join.one_of_each(docs, n=5, percent=80)
+    return gathered(ngram_join.one_of_each(docs, n=5, percent=80), docs)
 
 
 @stage
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that stand earlier in the corpus."""
-    return suffixes.deduplicated(docs)
+    return gathered(suffixes.deduplicated(docs), docs)
 
 
 @stage
@@ -64,7 +74,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their length bucket, batch and place in it."""
-    return packing.pack(docs)
+    return gathered(packing.pack(docs), docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_copies), ("suffix_dedup", drop_repeats), ("mixing", mix), ("packing", pack)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import TypeVar
@@ -29,8 +32,38 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
-#: Scratch tables need no checksum files beside theirs: in a folder mounted as file:, each file made costs a process.
-SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Files of scratch tables in a folder mounted as file: have no checksum files beside them, and their modes are set by
+#: java.nio. Where Hadoop's native library is absent its own classes start a chmod process for each file and folder made,
+#: which shares the JVM's memory until it is that command.
+PLAIN = """package gridloom;
+public class PlainFiles extends org.apache.hadoop.fs.RawLocalFileSystem {
+  public void setPermission(org.apache.hadoop.fs.Path p, org.apache.hadoop.fs.permission.FsPermission mode) throws java.io.IOException {
+    String bits = new org.apache.hadoop.fs.permission.FsPermission((short) (mode.toShort() & 511)).toString();
+    java.nio.file.Files.setPosixFilePermissions(pathToFile(p).toPath(), java.nio.file.attribute.PosixFilePermissions.fromString(bits));
+  }
+}"""
+SCRATCH = {"fs.file.impl": "gridloom.PlainFiles", "fs.file.impl.disable.cache": "true"}
+#: The application that has the class.
+_has_plain: list[str | None] = [None]
+
+
+def plain_files(spark: SparkSession) -> dict[str, str]:
+    """Options of a write by PLAIN, compiled once an application by the compiler that Spark's generated code goes through."""
+    sc = spark.sparkContext
+    if _has_plain[0] != sc.applicationId:
+        compiler = sc._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(PLAIN)
+        jar = f"{os.path.realpath(tempfile.mkdtemp(prefix='gridloom-'))}/plain.jar"
+        with zipfile.ZipFile(jar, "w") as z:
+            for name, code in compiler.getBytecodes().items():
+                z.writestr(f"{name.replace('.', '/')}.class", bytes(code))
+        sc._jsc.addJar(jar)  # for the executors
+        conf, urls = sc._jsc.hadoopConfiguration(), sc._gateway.new_array(sc._jvm.java.net.URL, 1)
+        urls[0] = sc._jvm.java.io.File(jar).toURI().toURL()
+        conf.setClassLoader(sc._jvm.java.net.URLClassLoader(urls, conf.getClassLoader()))
+        _has_plain[0] = sc.applicationId
+    return SCRATCH
+
 
 #: Scratch tables by owner, in the order they were made.
 _made: list[tuple[str | None, str]] = []
@@ -71,7 +104,7 @@ def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     df = df.hint("rebalance") if small else df
     lean(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**SCRATCH).parquet(path)
+    df.write.options(**plain_files(spark)).parquet(path)
     if _owner[-1] is not None:
         _made.append((_owner[-1], path))
     return spark.read.schema(df.schema).parquet(path)

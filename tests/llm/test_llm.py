@@ -1,9 +1,11 @@
 """Each operator against a plain version of itself on small tables, and its cases."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridloom.llm import queries as llm_queries
 from gridloom.llm import chunks, class_lm, mixing, ngram_join, packing, suffixes, textkernel, topk, toxicity, url_rules, vector_dedup
-from gridloom.llm.common import components, most_frequent
+from gridloom.llm.common import components, most_frequent, written
 from gridloom.llm.filters import repeated
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,6 +71,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_scratch_tables_start_no_process(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    ended = lambda: int(Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/stat").read_text().rpartition(")")[2].split()[8])  # noqa: E731  page faults of child processes
+    df = spark.range(1000).repartition(5)
+    written(df, "first")  # Hadoop's shell is looked for once
+    before = ended()
+    table = written(df, "plain")
+    assert table.count() == 1000
+    assert ended() == before
+    df.write.parquet(f"file://{tmp_path}/t")
+    modes = lambda folder: {os.stat(p).st_mode for p in Path(folder).glob("part-*")}
+    assert modes(table.inputFiles()[0].removeprefix("file://").rpartition("/")[0]) == modes(tmp_path / "t")
+
+
 def test_filter_and_most_frequent(spark):
     h = [(int(x), 1) for x in np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 500)]
     f = repeated(spark.createDataFrame(h + h[:200], "h long, n long"))
@@ -712,6 +728,14 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
+def test_stage_results_are_in_few_files(spark, tmp_path):
+    spark.range(100).withColumn("text", F.lit("a b")).write.parquet(f"file://{tmp_path}/d")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    corpus_pipeline.gathered(docs.repartition(40), docs).write.parquet(f"file://{tmp_path}/t")
+    assert len(list((tmp_path / "t").glob("part-*"))) <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r["id"] for r in spark.read.parquet(f"file://{tmp_path}/t").collect()) == list(range(100))
+
+
 def test_clashing_and_extra_columns(spark):
     """Columns that are called like added ones crash nothing; nulls in any column stay nulls."""
     rng = random.Random(20)
