@@ -24,13 +24,22 @@ TASK = 32 << 20
 FIELDS = ["doc_id", "id", "text", "x", "y", "w", "h", "conf", "page", "alternates", "contested"]
 
 
-def dealt(pages: DataFrame) -> DataFrame:
+def tasks_of(pages: DataFrame) -> int:
+    """How many tasks hold TASK bytes each of the pictures of pages (doc_id, page, image)."""
+    size = pages.agg(F.sum(F.col("image.height").cast("long") * F.col("image.width") * F.col("image.nChannels"))).first()[0]
+    return (size or 0) // TASK + 1
+
+
+def dealt(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """pages (doc_id, page, image) dealt out by page, so that a task holds some TASK bytes of pictures.
 
     Exchanges are planned by compressed bytes, of which blank pages have next to none: all of them came to one task.
     """
-    size = pages.agg(F.sum(F.col("image.height").cast("long") * F.col("image.width") * F.col("image.nChannels"))).first()[0]
-    return pages.repartition((size or 0) // TASK + 1, "doc_id", "page")
+    return pages.repartition(tasks or tasks_of(pages), "doc_id", "page")
+
+
+def _cut(pages: DataFrame, boxes: DataFrame, tasks: int | None) -> DataFrame:
+    return pictures.parts(R.beside(pages.select("doc_id", "page", "image"), boxes, tasks))
 
 
 def _asked(parts: DataFrame, model: Open) -> DataFrame:
@@ -44,28 +53,30 @@ def _numbered(each: DataFrame) -> DataFrame:
     return each.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("read", "id")))
 
 
-def tiled(pages: DataFrame, tile: int = 1024, overlap: float = 0.2, offsets: tuple[int, ...] = (0,)) -> DataFrame:
+def tiled(pages: DataFrame, tile: int = 1024, overlap: float = 0.2, offsets: tuple[int, ...] = (0,), tasks: int | None = None) -> DataFrame:
     """pages (doc_id, page, image) by tile: read, x1, y1, x2, y2 and the tile's part of the image. Each offset is a
-    read of all tiles, moved up and to the left by so much, so that what lies on a seam is whole in one of them."""
+    read of all tiles, moved up and to the left by so much, so that what lies on a seam is whole in one of them.
+    tasks: into how many the pages are dealt()."""
     plan = R.tiles(pages.select("doc_id", "page", "image.width", "image.height"), tile, overlap)
     moved = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(o).alias("o")) for i, o in enumerate(offsets)]))
     plan = plan.withColumn("_m", moved)
     back = lambda c: F.greatest(F.lit(0), F.col(c) - F.col("_m.o")).cast("int").alias(c)
     box = F.struct((F.col("_m.i") * 1_000_000 + F.col("tile_no")).cast("int").alias("read"), back("x1"), back("y1"), F.col("x2").cast("int").alias("x2"), F.col("y2").cast("int").alias("y2"))
     boxes = plan.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-    return pictures.parts(pages.select("doc_id", "page", "image").join(boxes, ["doc_id", "page"]))
+    return _cut(pages, boxes, tasks)
 
 
-def _boxed(pages: DataFrame, regions: DataFrame) -> DataFrame:
+def _boxed(pages: DataFrame, regions: DataFrame, tasks: int) -> DataFrame:
     """Parts of pages at regions (doc_id, page, x1, y1, x2, y2), read from top to bottom."""
     box = F.struct(*[F.floor(c).cast("int").alias(c) for c in ("y1", "x1", "x2", "y2")])
     boxes = regions.groupBy("doc_id", "page").agg(F.transform(F.sort_array(F.collect_list(box)), lambda b, i: F.struct(i.alias("read"), b["x1"].alias("x1"), b["y1"].alias("y1"), b["x2"].alias("x2"), b["y2"].alias("y2"))).alias("boxes"))
-    return pictures.parts(pages.select("doc_id", "page", "image").join(boxes, ["doc_id", "page"]))
+    return _cut(pages, boxes, tasks)
 
 
 def reread(pages: DataFrame, regions: DataFrame, model: Open, threshold: float = 0.5) -> DataFrame:
     """Fragments read from regions of the pages only, merged."""
-    return R.merged(_numbered(_asked(_boxed(dealt(pages), regions), model)), threshold)
+    tasks = tasks_of(pages)
+    return R.merged(_numbered(_asked(_boxed(dealt(pages, tasks), regions, tasks), model)), threshold)
 
 
 def claimed(payloads: DataFrame) -> DataFrame:
@@ -86,18 +97,19 @@ def with_more(fragments: DataFrame, new: DataFrame, threshold: float = 0.5) -> D
 def read_pages(pages: DataFrame, model: Open, tile: int = 1024, overlap: float = 0.2, offsets: tuple[int, ...] = (0,), threshold: float = 0.5, sweep: bool = True) -> DataFrame:
     """Fragments of (doc_id, page, image), numbered by document. sweep: patches of ink that no fragment meets are
     read once more, and what is found there is merged in."""
-    pages = dealt(pages)
-    merged = kept(R.merged(_numbered(_asked(tiled(pages, tile, overlap, offsets), model)), threshold), "fragments")
+    tasks = tasks_of(pages)
+    pages = dealt(pages, tasks)
+    merged = kept(R.merged(_numbered(_asked(tiled(pages, tile, overlap, offsets, tasks), model)), threshold), "fragments")
     if not sweep:
         return merged.select(*FIELDS)
-    new = kept(_asked(_boxed(pages, R.unread_ink(pages, merged)), model), "swept")
+    new = kept(_asked(_boxed(pages, R.unread_ink(pages, merged, tasks=tasks), tasks), model), "swept")
     return with_more(merged, new, threshold)
 
 
 def with_missed(pages: DataFrame, fragments: DataFrame, payloads: DataFrame, model: Open, threshold: float = 0.5) -> DataFrame:
     """fragments and what a second reading finds where payloads claim missed text."""
-    pages = dealt(pages)
-    new = kept(_asked(_boxed(pages, claimed(payloads)), model), "missed")
+    tasks = tasks_of(pages)
+    new = kept(_asked(_boxed(dealt(pages, tasks), claimed(payloads), tasks), model), "missed")
     return with_more(fragments, new, threshold)
 
 

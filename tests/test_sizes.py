@@ -357,3 +357,12 @@ def test_reads_of_all_pages_are_clustered_at_once_as_page_by_page():
         got = fragments.first_clusters_of_pages(box, np.repeat(np.arange(len(sizes)), sizes), 0.5)
     assert got.tolist() == want.tolist() and 200 < len(set(want.tolist())) < at[-1]
     assert fragments.first_clusters_of_pages(box[:0], np.empty(0, int), 0.5).tolist() == []
+
+
+def test_pictures_are_not_broadcast(spark, monkeypatch):
+    from gridloom.plans import reading
+
+    plans, kept = [], reading.kept
+    monkeypatch.setattr(reading, "kept", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    assert queries()["reading_pass"](spark, SF).count() > 100
+    assert len(plans) == 2 and all("ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan for plan in plans)
