@@ -366,3 +366,34 @@ def test_pictures_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(reading, "kept", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
     assert queries()["reading_pass"](spark, SF).count() > 100
     assert len(plans) == 2 and all("ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan for plan in plans)
+
+
+def test_reconstruction_is_planned_in_small_parts_and_collects_no_documents(spark, monkeypatch):
+    """The driver holds a plan of few tables at a time, and joins by document are not planned by the bytes of files."""
+    import json
+
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from gridloom.operators import cells, fragments
+    from gridloom.plans.reconstruct import Plan, reconstruct
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def spied(self, *a, **b):
+        plan = self._df._jdf.queryExecution()
+        plans.append((plan.optimizedPlan().collectLeaves().size(), plan.executedPlan().toString()))
+        return write(self, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    rows = [("d", 1, i, t, float(x), float(y), 20.0, 10.0) for i, (t, x, y) in enumerate([("a", 0, 0), ("b", 50, 0), ("c", 0, 20), ("5", 50, 20)])]
+    read = fragments.merged(spark.createDataFrame(rows, "doc_id string, page int, ord int, text string, x double, y double, w double, h double"))
+    answer = lambda row: json.dumps({"columns": [{"name": "p", "kind": "text"}, {"name": "q", "kind": "text"}], "cells": [{"r": i // 2, "c": i % 2, "f": [i]} for i in range(4 if "problems" in row["prompt"] else 3)]})
+    got = reconstruct(read, Plan(draw=lambda: answer)).first()
+    assert (got["n_problems"], got["repair_rounds"]) == (0, 1) and got["html"].count("<td") == 4
+    assert max(n for n, _ in plans) <= 12 and len(plans) > 20
+    assert not [plan for _, plan in plans if "BroadcastHashJoin" in plan]
+    # What is wrong with a cell is said in one pass, also where documents have their own numbers of pages.
+    payload = spark.createDataFrame([("d", {"columns": [{"name": "p", "kind": "text"}], "cells": [{"r": 0, "c": 0, "t": " ", "b": [1.0], "p": p} for p in (2, 3)]})], f"doc_id string, payload {cells.PAYLOAD}")
+    pages = spark.createDataFrame([("d", 2)], "doc_id string, n_pages int")
+    assert len(cells.validations(payload, pages)) == 3
+    assert sorted(r["message"].split(": ")[1] for r in cells.validate(payload, pages).collect()) == ["no text; blank cells are left out"] * 2 + ["position (0, 0) is taken by cell number 0"] + ["the box is not four numbers"] * 2 + ["the page is outside 1..2"]
